@@ -1,0 +1,3 @@
+"""Intentionally empty: every table is a finished daily or monthly extract, and
+none of the reports keeps state between runs, so there is no stream to process.
+"""

@@ -15,12 +15,17 @@ def _with_inf(x: Column, text: Column, tail: str = "") -> Column:
     )
 
 
+def _hundredths(x: Column) -> Column:
+    # rounds the exact binary value, ties to even
+    return F.call_function("format_number", x, F.lit("0.00"))
+
+
 def two_decimals(x: Column) -> Column:
-    return F.when(x.isNotNull(), _with_inf(x, F.format_string("%.2f", x)))
+    return F.when(x.isNotNull(), _with_inf(x, _hundredths(x)))
 
 
 def percent(x: Column) -> Column:
-    return F.when(x.isNotNull(), _with_inf(x, F.format_string("%.2f%%", x * 100), "%"))
+    return F.when(x.isNotNull(), _with_inf(x, F.concat(_hundredths(x * 100), F.lit("%")), "%"))
 
 
 def as_is(x: Column) -> Column:

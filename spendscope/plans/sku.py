@@ -31,6 +31,16 @@ from spendscope.sources.tables import drop_sparse_rows
 PRODUCT_TYPES = (n.PT1, n.PT2, n.PT3)
 
 
+def _dense_ads(ads: DataFrame) -> DataFrame:
+    """Ads sheet without sparse rows; rows without a merge key go while cleaning."""
+    return drop_sparse_rows(ads, present=SKU_DAILY.sheet_keys)
+
+
+def _dense_sensor(sensor: DataFrame) -> DataFrame:
+    """Sensor sheet without sparse rows; rows without SKU or date go while adding up."""
+    return drop_sparse_rows(sensor, present=("SKU", "Date"))
+
+
 def sensor_summary(
     sensor: DataFrame,
     spu: DataFrame,
@@ -72,7 +82,7 @@ def period_rows(
     filter_compare: bool = False,
 ) -> DataFrame:
     """SKU summary rows of every period (``period``)."""
-    ads, sensor, spu = (drop_sparse_rows(sheet) for sheet in (ads, sensor, spu))
+    ads, sensor, spu = _dense_ads(ads), _dense_sensor(sensor), drop_sparse_rows(spu)
     behaviour = sensor_summary(sensor, spu, periods, skus, condition, filter_compare)
     # a missing rate leaves a SKU out, an infinite one does not
     behaviour = drop_null_keys(behaviour, [n.CONVERSION, n.ADD_TO_CART])
@@ -145,7 +155,7 @@ def sku_cost_matrix(
     strict: bool = False,
 ) -> DataFrame:
     """Daily cost per SKU of the chosen SKUs."""
-    ads = drop_sparse_rows(ads).where(within(F.col("Date"), first, last))
+    ads = _dense_ads(ads).where(within(F.col("Date"), first, last))
     # merging matters only where repeated cells are to be refused
     rows = restrict(clean_ads(ads, SKU_DAILY, merge=strict), "SKU", skus)
     copies = count_copies(drop_sparse_rows(spu), [], "spu")

@@ -12,7 +12,7 @@ import os
 import sys
 import time
 
-from harness.registry import QUERIES
+from harness.registry import REPORTS
 from spendscope.session import build_session
 
 HEADLINE = [
@@ -35,7 +35,7 @@ def main() -> None:
 
     def run(name: str) -> float:
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        REPORTS[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
     run("q9_spu_trend")

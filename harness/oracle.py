@@ -448,7 +448,7 @@ add("q7_range_mean",
 add("q8_range_total", report(_TOTAL, scale=1.0), num=DAY)
 
 
-def as_text(inner: str, layout, keys) -> str:
+def as_text(inner: str, layout, keys, exact: bool = True) -> str:
     styles = {"2": "printf('%.2f', {x})", "%": "printf('%.2f%%', {x} * 100)", "r": "printf('%.1f', {x})"}
     shown = []
     for name, style in layout.items():
@@ -456,7 +456,10 @@ def as_text(inner: str, layout, keys) -> str:
         x = q(name)
         shown.append(f"case when {x} is null then null when {x} = 'inf'::double then 'inf{tail}' "
                      f"else {styles[style].format(x=x)} end AS {x}")
-    return f"SELECT {cols(keys) + ', ' if keys else ''}{', '.join(shown)} FROM ({inner})"
+    rounded = ", ".join(f"round({q(x)} + 1e-9, 4) AS {q(x)}" for x in layout) if exact else "*"
+    kept = f"{cols(keys)}, " if keys and exact else ""
+    return (f"SELECT {cols(keys) + ', ' if keys else ''}{', '.join(shown)} "
+            f"FROM (SELECT {kept}{rounded} FROM ({inner}))")
 
 
 add("q8_range_total_text",
@@ -527,7 +530,7 @@ _CHANGE_TEXT = ", ".join(
 )
 add("j3_comparison_text",
     f"""{as_text('SELECT * FROM base_total UNION ALL BY NAME SELECT * FROM compare_total', n.TOTAL_TEXT,
-                 ['row_kind', '日期范围'])} UNION ALL BY NAME
+                 ['row_kind', '日期范围'], exact=False)} UNION ALL BY NAME
       SELECT 'change' AS row_kind, '对比' AS "日期范围", {_CHANGE_TEXT} FROM base_total b, change_total c""",
     ["row_kind", "日期范围", *n.TOTAL_TEXT], ctes=comparison_ctes())
 add("k3_change_direction",

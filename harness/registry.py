@@ -15,7 +15,8 @@ from spendscope.plans import campaign, register, sku, spu, yearly
 from spendscope.sources import keys, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+REPORTS: dict[str, Query] = {}  # as a user gets them
+QUERIES: dict[str, Query] = {}  # made comparable with SQL
 c = F.col
 
 
@@ -43,6 +44,7 @@ def comparable(df: DataFrame) -> DataFrame:
 
 def query(name: str) -> Callable[[Query], Query]:
     def add(build: Query) -> Query:
+        REPORTS[name] = build
         QUERIES[name] = lambda spark, sf_dir: comparable(build(spark, sf_dir))
         return build
 
@@ -54,6 +56,12 @@ def counted(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("rows"))
 
 
+def shown_as_text(df: DataFrame, layout: dict[str, str]) -> DataFrame:
+    """Report text of the comparable numbers: sums that end on a rounding tie
+    would otherwise print one way or the other with the order of addition."""
+    return as_text(comparable(df), layout)
+
+
 def spu_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     return m.ads_daily(spark, d), m.sensor_daily(spark, d), m.spu_index(spark, d), m.product_label(spark, d)
 
@@ -293,7 +301,7 @@ query("q6_day_detail")(lambda s, d: spu.day_detail(*spu_tables(s, d), ch.SPUS))
 query("q7_range_mean")(lambda s, d: spu.range_mean(*spu_tables(s, d), ch.SPUS, *ch.BASE))
 query("q8_range_total")(lambda s, d: spu.range_total(*spu_tables(s, d), ch.SPUS, *ch.BASE))
 query("q8_range_total_text")(
-    lambda s, d: as_text(spu.range_total(*spu_tables(s, d), ch.SPUS, *ch.BASE), n.RANGE_TEXT)
+    lambda s, d: shown_as_text(spu.range_total(*spu_tables(s, d), ch.SPUS, *ch.BASE), n.RANGE_TEXT)
 )
 query("q9_spu_trend")(lambda s, d: spu.spu_trend(*spu_tables(s, d), *ch.BASE))
 query("q9_spu_trend_of_categories")(
@@ -306,7 +314,7 @@ query("q12_spu_lookup")(
     lambda s, d: yearly.spu_lookup(yearly.yearly_summary(*month_tables(s, d), spus=ch.SPUS), ch.SPUS)
 )
 query("q12_spu_lookup_text")(
-    lambda s, d: as_text(
+    lambda s, d: shown_as_text(
         yearly.yearly_summary(*month_tables(s, d), spus=ch.SPUS).select("SPU", "SKU", *[f"`{x}`" for x in n.YEAR_TEXT]),
         n.YEAR_TEXT,
     )
@@ -322,7 +330,7 @@ query("q13_sku_period_skus")(
     lambda s, d: sku.period_summary(*sku_tables(s, d), *ch.BASE, skus=ch.SKUS, condition=ch.CONDITION)
 )
 query("q13_sku_period_text")(
-    lambda s, d: as_text(sku.period_summary(*sku_tables(s, d), *ch.BASE), n.SKU_TEXT)
+    lambda s, d: shown_as_text(sku.period_summary(*sku_tables(s, d), *ch.BASE), n.SKU_TEXT)
     .select("SKU", "SPU", n.PT1, n.PT2, n.PT3, n.GENERATION, *[f"`{x}`" for x in n.SKU_TEXT])
 )
 query("h1_two_periods")(lambda s, d: sku.compared_totals(*sku_tables(s, d), ch.BASE, ch.OTHER))

@@ -2,9 +2,10 @@
 
 ``daily_points`` adds rows up per product, day and cost per click. ``sku_series``
 lays the points of a product out as list columns ordered by day, then cost per
-click. A product whose list would outgrow ``page_points`` comes as several
-rows, one per page: the pages in ``page`` order, joined end to end, are its
-list. So no task ever gathers more than about one page.
+click, with the cost and GMV they add up to. A SKU with very many ads rows comes
+as several rows, one per page: the pages in ``page`` order, joined end to end,
+are its lists, and their totals add up to its totals. So no task ever gathers
+more than about one page.
 """
 
 from __future__ import annotations
@@ -43,42 +44,44 @@ def _band(cost_per_click: Column, pieces: Column) -> Column:
     return F.floor(root * pieces * F.lit(10.0)) * F.signum(cost_per_click).cast("long")
 
 
-def _paged(points: DataFrame, page_points: int) -> DataFrame:
-    """Points with the totals of their product and the page they belong to.
+def long_days(rows: DataFrame, page_points: int = PAGE_POINTS) -> DataFrame:
+    """Days of SKUs with more than ``page_points`` ads rows, and into how many
+    pieces each day is to be cut.
 
-    A large product gets a page per day, and a day that is itself too long for
-    one page is split by bands of the cost per click.
+    ``rows`` are unmerged ads rows: every point stems from at least one of them,
+    so their number bounds the points, and counting them needs no join.
     """
-    day = [*PRODUCT, "Date"]
-    product = Window.partitionBy(*PRODUCT)  # one row per day: bounded by the calendar
-    days = (
-        points.groupBy(*day)
-        .agg(F.count("*").alias("day_points"), total("cost").alias("cost_sum"), total("GMV").alias("gmv_sum"))
-        .select(
-            *[f"`{c}`" for c in day], "day_points",
-            *[F.sum(c).over(product).alias(c) for c in ("cost_sum", "gmv_sum")],
-            (F.sum("day_points").over(product) > page_points).alias("large"),
-        )
+    sku = Window.partitionBy("SKU")  # one row per day: bounded by the calendar
+    return (
+        rows.groupBy("SKU", "Date")
+        .agg(F.count("*").alias("day_rows"))
+        .withColumn("sku_rows", F.sum("day_rows").over(sku))
+        .where(F.col("sku_rows") > page_points)
+        .select("SKU", "Date", F.ceil(F.col("day_rows") / F.lit(page_points)).alias("pieces"))
     )
-    pieces = F.ceil(F.col("day_points") / F.lit(page_points))
-    band = F.lpad((_band(F.col(n.CPC), pieces) + _BAND_OFFSET).cast("string"), 10, "0")
+
+
+def _with_page(points: DataFrame, days: DataFrame) -> DataFrame:
+    """A page per long day; one per band where the day alone exceeds a page."""
+    band = F.lpad((_band(F.col(n.CPC), F.col("pieces")) + _BAND_OFFSET).cast("string"), 10, "0")
     page = (
-        F.when(~F.col("large"), "")
-        .when(F.col("day_points") <= page_points, iso(F.col("Date")))
+        F.when(F.col("pieces").isNull(), "")
+        .when(F.col("pieces") == 1, iso(F.col("Date")))
         .otherwise(F.concat_ws("/", iso(F.col("Date")), band))
     )
-    return points.join(days, day).withColumn("page", page)
+    return points.join(days, ["SKU", "Date"], "left").withColumn("page", page)
 
 
-def sku_series(points: DataFrame, page_points: int = PAGE_POINTS) -> DataFrame:
+def sku_series(points: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """List columns per product, in pages where ``days`` (of ``long_days``) says so."""
+    paged = points.withColumn("page", F.lit("")) if days is None else _with_page(points, days)
     entry = F.struct(iso(F.col("Date")).alias("Date"), n.CPC, *POINT_MEASURES)
     return (
-        _paged(points, page_points)
-        .groupBy(*PRODUCT, "page")
+        paged.groupBy(*PRODUCT, "page")
         .agg(
             F.sort_array(F.collect_list(entry)).alias("entries"),
-            F.max("gmv_sum").alias("gmv_sum"),
-            F.max("cost_sum").alias("cost_sum"),
+            total("GMV").alias("gmv_sum"),
+            total("cost").alias("cost_sum"),
         )
         .select(
             *[f"`{c}`" for c in PRODUCT], "page",

@@ -18,7 +18,7 @@ from spendscope.operators.enrich import (
     normalise_index,
 )
 from spendscope.operators.rollup import distinct_values, drop_null_keys
-from spendscope.operators.series import PAGE_POINTS, daily_points, sku_series
+from spendscope.operators.series import PAGE_POINTS, daily_points, long_days, sku_series
 from spendscope.sources.keys import Keys, restrict
 
 Day = date | str
@@ -29,6 +29,11 @@ def enriched_rows(ads: DataFrame, sensor: DataFrame, spu: DataFrame, label: Data
     return enrich_campaign(clean_ads(ads, CAMPAIGN), label, sensor, normalise_index(spu))
 
 
+def _chosen(df: DataFrame, first: Day, last: Day, campaigns: Keys | None) -> DataFrame:
+    df = df.where(within(F.col("Date"), first, last))
+    return df if campaigns is None else restrict(df, "Campaign", campaigns)
+
+
 def folded_rows(
     ads: DataFrame,
     sensor: DataFrame,
@@ -39,9 +44,7 @@ def folded_rows(
     campaigns: Keys | None = None,
 ) -> DataFrame:
     """Folded campaign rows of a range, filled, with their cost per click."""
-    ads, sensor = (df.where(within(F.col("Date"), first, last)) for df in (ads, sensor))
-    if campaigns is not None:
-        ads, sensor = (restrict(df, "Campaign", campaigns) for df in (ads, sensor))
+    ads, sensor = (_chosen(df, first, last, campaigns) for df in (ads, sensor))
     # the ratio is taken before folding: rows that share it must share every bit of it
     cleaned = clean_ads(ads, CAMPAIGN).withColumn(n.CPC, protected_ratio(F.col("cost"), F.col("clicks")))
     rows = fold_enriched(
@@ -64,9 +67,11 @@ def campaign_series(
     ads: DataFrame, sensor: DataFrame, spu: DataFrame, label: DataFrame, first: Day, last: Day,
     campaigns: Keys | None = None, page_points: int = PAGE_POINTS,
 ) -> DataFrame:
-    """Series as list columns, with cost and GMV totals."""
-    points = campaign_points(ads, sensor, spu, label, first, last, campaigns)
-    return sku_series(points, page_points)
+    """Series as list columns, with cost and GMV totals; SKUs with more than
+    ``page_points`` ads rows come in pages."""
+    chosen = _chosen(ads, first, last, campaigns)
+    days = long_days(clean_ads(chosen, CAMPAIGN, merge=False), page_points)
+    return sku_series(campaign_points(ads, sensor, spu, label, first, last, campaigns), days)
 
 
 def campaigns_in_range(ads: DataFrame, first: Day, last: Day) -> DataFrame:

@@ -11,8 +11,11 @@ Two forms of the same result:
   (with map-side partial aggregation) first. A key that holds a large share of
   a table is therefore one row by the time it is joined.
 
-No join carries a broadcast hint; the product tables grow with the catalogue,
-so their size decides at run time.
+In both forms the index and the labels are joined with each other first, so
+that facts meet products in one join per side. A chain of joins on the same key
+could not be split where a SKU is skewed; a single one can. No join carries a
+broadcast hint; the product tables grow with the catalogue, so their size
+decides at run time.
 """
 
 from __future__ import annotations
@@ -46,19 +49,31 @@ def attach_label(facts: DataFrame, label: DataFrame, attributes: Sequence[str] =
     return label_generation(facts.join(label.select(*columns), "SKU", "left"))
 
 
+def products_of(spu_index: DataFrame, label: DataFrame, attributes: Sequence[str] = (n.PRICE,)) -> DataFrame:
+    """All pairs of index and label rows of a SKU, either side possibly missing.
+
+    A left join with it equals a left join with the index, then with the labels.
+    """
+    wanted = label.select("SKU", "customlabel1", *attributes)
+    return spu_index.select("SKU", "SPU").join(wanted, "SKU", "full")
+
+
+def attach_products(facts: DataFrame, products: DataFrame) -> DataFrame:
+    return label_generation(facts.join(products, "SKU", "left"))
+
+
 def repeat_by_products(sensor: DataFrame, spu_index: DataFrame, label: DataFrame) -> DataFrame:
     """Sensor rows once per product row of their SKU (no column is added)."""
-    by_spu = sensor.join(spu_index.select("SKU"), "SKU", "left")
-    return by_spu.join(label.select("SKU"), "SKU", "left")
+    return sensor.join(products_of(spu_index, label).select("SKU"), "SKU", "left")
 
 
 def enrich(
     ads: DataFrame, label: DataFrame, sensor: DataFrame, spu_index: DataFrame, period: str = "Date"
 ) -> DataFrame:
     """Cleaned ads with SPU, generation, price and sensor measures."""
-    products = attach_label(attach_spu(ads, spu_index), label)
+    rows = attach_products(ads, products_of(spu_index, label))
     repeated = repeat_by_products(sensor, spu_index, label)
-    return products.join(repeated.select("SKU", period, *n.SENSOR_MEASURES), ["SKU", period], "left")
+    return rows.join(repeated.select("SKU", period, *n.SENSOR_MEASURES), ["SKU", period], "left")
 
 
 CAMPAIGN_KEYS = ("Date", "Campaign", "Campaign ID", "SKU")
@@ -74,8 +89,8 @@ def enrich_campaign(
     ads: DataFrame, label: DataFrame, sensor: DataFrame, spu_index: DataFrame
 ) -> DataFrame:
     """Cleaned campaign ads with products and sensor measures, sorted, filled."""
-    products = attach_label(attach_spu(ads, spu_index), label, (n.PRICE, "imagelink"))
-    joined = products.withColumnRenamed("imagelink", "image").join(
+    rows = attach_products(ads, products_of(spu_index, label, (n.PRICE, "imagelink")))
+    joined = rows.withColumnRenamed("imagelink", "image").join(
         sensor.select(*CAMPAIGN_KEYS, *n.CAMPAIGN_SENSOR_MEASURES), list(CAMPAIGN_KEYS), "left"
     )
     ordered = joined.orderBy(F.asc_nulls_last("SKU"), F.desc_nulls_last("Date"))
@@ -133,18 +148,19 @@ def fold_enriched(
     if generation:
         label = label.withColumn("generation", listing_generation(F.col("customlabel1")))
         label_columns.append("generation")
-    spu_counts = count_copies(spu_index, ["SPU"], "spu")
+    products = count_copies(spu_index, ["SPU"], "spu").join(
+        count_copies(label, label_columns, "label"), "SKU", "full"
+    )
     if spus is not None:
-        spu_counts = restrict(spu_counts, "SPU", spus)
-    rows = ads.join(spu_counts, "SKU", "left" if spus is None else "inner")
-    rows = rows.join(count_copies(label, label_columns, "label"), "SKU", "left")
+        products = restrict(products, "SPU", spus)
+    rows = ads.join(products, "SKU", "left" if spus is None else "inner")
     rows = rows.join(add_up_sensor(sensor, keys, sensor_measures), list(keys), "left")
 
     ads_rows = _or_one("spu_copies") * _or_one("label_copies")
     per_sensor = _or_one("spu_rows") * _or_one("label_rows") if sensor_by_products else F.lit(1.0)
     matched = F.coalesce(F.col("sensor_rows") * per_sensor, F.lit(1.0))
     kept = [c for c in ads.columns if c not in ads_measures]
-    result = rows.select(
+    return rows.select(
         *[f"`{c}`" for c in kept],
         "SPU",
         *attributes,
@@ -153,4 +169,3 @@ def fold_enriched(
         *[(F.col(m) * ads_rows * per_sensor).alias(m) for m in sensor_measures],
         (ads_rows * matched).alias("joined_rows"),
     )
-    return result

@@ -55,7 +55,8 @@ def folded_rows(
     chosen = None
     if spus is not None:
         chosen = broadcast_when_small(restrict(index, "SPU", spus).select("SKU").distinct())
-        sensor = sensor.join(chosen, "SKU", "left_semi")
+        # the products of the chosen SKUs, all their SPUs included, suffice
+        sensor, index, label = (df.join(chosen, "SKU", "left_semi") for df in (sensor, index, label))
     return fold_enriched(
         clean_ads(ads, shape, only=chosen), label, sensor, index,
         keys=("SKU", period), generation=generation, attributes=attributes, spus=spus,

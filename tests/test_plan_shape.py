@@ -61,7 +61,7 @@ def test_outer_join_with_the_index_becomes_inner(stored):
     text = plan(spu.spu_trend(stored["ads"], stored["sensor"], stored["index"], stored["label"], *WEEK))
     tree = text.split("\n\n\n")[0]
     assert len(re.findall(r"Join Inner|JoinExec Inner|HashJoin Inner|MergeJoin Inner", tree)) == 1
-    assert len(re.findall(r"LeftOuter", tree)) == 2
+    assert len(re.findall(r"LeftOuter", tree)) == 2 and "FullOuter" not in tree
 
 
 def test_sku_list_reaches_both_fact_scans(stored):

@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import duckdb
+from pyspark.sql import DataFrame
 
 from harness.oracle import SQL
 from harness.registry import QUERIES
@@ -15,6 +16,14 @@ from spendscope.session import build_session
 TABLES = "region nation customer supplier part orders lineitem".split()
 
 
+KINDS = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "date": "DATE", "int": "INTEGER"}
+
+
+def same_types(df: DataFrame, description: list[tuple]) -> bool:
+    """Whether both results have the same columns of the same types."""
+    return {c: KINDS[kind] for c, kind in df.dtypes} == {d[0]: str(d[1]) for d in description}
+
+
 def rows_of(columns: list[str], rows: list[tuple]) -> Counter:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return Counter(tuple(None if row[i] != row[i] else row[i] for i in order) for row in rows)
@@ -40,12 +49,12 @@ def main(sf_dir: str = "/root/testdata/sf0.01", *only: str) -> int:
         result = db.execute(SQL[name])
         columns = [x[0] for x in result.description]
         want = rows_of(columns, result.fetchall())
-        same = got == want and sorted(columns) == sorted(df.columns)
+        same = got == want and same_types(df, result.description)
         bad += not same
         print(f"{name:32} {sum(got.values()):7} rows {took:6.2f}s  sql {time.time() - start:5.2f}s  "
               f"{'ok' if same else 'DIFFERENT'}", flush=True)
         if not same:
-            print("   columns only here", set(df.columns) ^ set(columns))
+            print("   types", sorted(df.dtypes), sorted((d[0], str(d[1])) for d in result.description))
             for side, extra in (("spark", got - want), ("sql", want - got)):
                 print("  ", side, sum(extra.values()), list(extra)[:2])
     print("different:", bad)

@@ -2,11 +2,13 @@
 
 Only the tables that a logical table takes columns from are joined. All foreign
 keys of the given tables are complete (a test checks it), so a join that adds
-no column would change nothing.
+no column would change nothing. Each table is set up once per session.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spendscope import names as n, schemas as s
@@ -91,10 +93,12 @@ def _ads_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineitem.join(part, c("l_partkey") == c("p_partkey")).join(supplier, c("l_suppkey") == c("s_suppkey"))
 
 
+@cache
 def ads_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ads_sku_daily(spark, sf_dir).select(*[f"`{f}`" for f in s.ADS_DAILY.fieldNames()])
 
 
+@cache
 def ads_sku_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ads rows of the SKU page; rows may lack country and up to two labels."""
     return _ads_base(spark, sf_dir).select(
@@ -108,6 +112,7 @@ def ads_sku_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def ads_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         ads_daily(spark, sf_dir)
@@ -125,6 +130,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def ads_campaign_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ads_base(spark, sf_dir).join(_orders(spark, sf_dir), c("l_orderkey") == c("o_orderkey"))
     return rows.select(
@@ -151,15 +157,18 @@ def _sensor_sums(sale: str) -> list[Column]:
     ]
 
 
+@cache
 def sensor_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sensor_base(spark, sf_dir).groupBy("SKU", "Date").agg(*_sensor_sums("Sale"))
 
 
+@cache
 def sensor_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sensor_base(spark, sf_dir).withColumn("Month", F.trunc("Date", "month"))
     return rows.groupBy("SKU", "Month").agg(*_sensor_sums("Sale"))
 
 
+@cache
 def sensor_campaign_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sensor_base(spark, sf_dir).join(_orders(spark, sf_dir), c("l_orderkey") == c("o_orderkey"))
     return rows.groupBy("SKU", "Campaign", "Campaign ID", "Date").agg(
@@ -167,6 +176,7 @@ def sensor_campaign_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def spu_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SPU index with odd blanks in every third SKU and a second SPU for some.
 
@@ -188,6 +198,7 @@ def spu_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(F.inline(F.array_compact(F.array(regular, second))))
 
 
+@cache
 def product_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = c("p_partkey")
     return _table(spark, sf_dir, "part").where(key % 19 != 0).select(
@@ -198,6 +209,7 @@ def product_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def spu_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Register rows; every eleventh has no SPU yet."""
     key = c("p_partkey")

@@ -89,7 +89,7 @@ raw AS (
            case when l_returnflag = 'R' then '-hm' else '' end,
            case when l_linestatus = 'F' then '-xx' else '' end,
            case when l_linestatus = 'O' and l_linenumber = 6 then chr(10) else '' end) AS sku,
-    case when l_linestatus = 'F' then 569301767 else 9174985 end AS mc,
+    cast(case when l_linestatus = 'F' then 569301767 else 9174985 end as bigint) AS mc,
     date '2023-01-01' + cast(date_diff('day', date '1995-01-02', cast(l_shipdate as date)) % 425 as int) AS d,
     cast(date_trunc('month', date '2023-01-01'
          + cast(date_diff('day', date '1995-01-02', cast(l_shipdate as date)) % 425 as int)) as date) AS mon,

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # hash joins without sorting where every partition is known to be small
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # no Python call sites per column expression; they cost more than the plans do
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

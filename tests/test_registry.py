@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, db, name):
     got = check.rows_of(df.columns, [tuple(r) for r in df.collect()])
     result = db.execute(SQL[name])
     columns = [c[0] for c in result.description]
-    assert sorted(columns) == sorted(df.columns)
+    assert check.same_types(df, result.description)
     assert got == check.rows_of(columns, result.fetchall())
 
 

@@ -12,10 +12,10 @@ Two forms of the same result:
   a table is therefore one row by the time it is joined.
 
 In both forms the index and the labels are joined with each other first, so
-that facts meet products in one join per side. A chain of joins on the same key
-could not be split where a SKU is skewed; a single one can. No join carries a
-broadcast hint; the product tables grow with the catalogue, so their size
-decides at run time.
+that facts meet products in one join per side. The joined products are shuffled
+once more by SKU: that small stage tells adaptive execution their true size, and
+small products are then broadcast instead of shuffling the facts. No join
+carries a broadcast hint; the product tables grow with the catalogue.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def products_of(spu_index: DataFrame, label: DataFrame, attributes: Sequence[str
     A left join with it equals a left join with the index, then with the labels.
     """
     wanted = label.select("SKU", "customlabel1", *attributes)
-    return spu_index.select("SKU", "SPU").join(wanted, "SKU", "full")
+    return spu_index.select("SKU", "SPU").join(wanted, "SKU", "full").repartition("SKU")
 
 
 def attach_products(facts: DataFrame, products: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def fold_enriched(
     )
     if spus is not None:
         products = restrict(products, "SPU", spus)
-    rows = ads.join(products, "SKU", "left" if spus is None else "inner")
+    rows = ads.join(products.repartition("SKU"), "SKU", "left" if spus is None else "inner")
     rows = rows.join(add_up_sensor(sensor, keys, sensor_measures), list(keys), "left")
 
     ads_rows = _or_one("spu_copies") * _or_one("label_copies")

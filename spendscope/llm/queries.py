@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendscope.llm import decontamination, langid, mixing, simhash, token_files
+from spendscope.llm import decontamination, langid, mixing, repetition, simhash, token_files, toxicity, warc
+from spendscope.llm.common import shared_folder
 
 END_ID = 2
 
@@ -28,6 +29,25 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are read with their payload, revisits by their headers alone."""
+    pages, folder = table(spark, sf_dir, "pages"), shared_folder(spark, "warc")
+    name = "urn:page:"
+    warc.write(warc.deduplicated(pages, F.concat(F.lit(name), F.coalesce(F.col("page_id").cast("string"), F.lit("")))), folder)
+    number = lambda c: F.regexp_extract(c, f"{name}(-?[0-9]+)>", 1).try_cast("long")
+    full = warc.read(spark, folder).filter("record_type = 'response'")
+    full = full.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("own_digest"))
+    bare = warc.read(spark, folder, payload=False).filter("record_type = 'revisit'")
+    bare = bare.select("*", F.col("http_headers")["content-length"].cast("long").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("own_digest"))
+    return full.unionByName(bare).select(
+        number(F.col("record_id")).alias("page_id"), "payload_bytes", F.col("own_digest").alias("payload_digest"), "record_type", number(F.col("refers_to")).alias("refers_to"))
+
+
 def language_model(docs: DataFrame) -> langid.Model:
     return langid.train(docs.filter(~langid.held_out(F.col("doc_id"), 5, 0)))
 
@@ -38,6 +58,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.train(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, 0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item that it holds."""
     found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -54,7 +80,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_simhash": op3_simhash,
+    "op5_repetition": op5_repetition,
+    "op6_warc": op6_warc,
     "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }

@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendscope.llm import decontamination, langid, mixing, repetition, simhash, token_files, toxicity, warc
+from spendscope.llm import decontamination, html_extraction, langid, mixing, repetition, simhash, token_files, toxicity, url_filter, warc
 from spendscope.llm.common import shared_folder
 
 END_ID = 2
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+#: The tables hold no labels of URLs: a host with one of these words teaches label 1, any other label 0.
+BAD_HOST_WORDS = ("casino", "bets", "pills", "ads", "track", "win", "xxx", "porn", "loan", "viagra")
 
 
 def tokenizer_path() -> str:
@@ -20,6 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def labelled_urls(pages: DataFrame) -> DataFrame:
+    """(url, label) of four fifths of the pages, by hash of the url, from words of the host."""
+    host, _ = url_filter.parts(F.coalesce(F.col("url"), F.lit("")))
+    bad = F.size(F.array_intersect(F.split(host, r"[^a-z]+"), F.array(*map(F.lit, BAD_HOST_WORDS)))) > 0
+    return pages.filter("url is not null and crc32(cast(url as binary)) % 5 <> 0").select("url", bad.cast("int").alias("label"))
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filtered(pages, url_filter.train(labelled_urls(pages)), URL_RULES)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
@@ -29,6 +44,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repetition.judged(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -78,8 +97,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_token_files": op2_token_files,
     "op3_simhash": op3_simhash,
+    "op4_html_extraction": op4_html_extraction,
     "op5_repetition": op5_repetition,
     "op6_warc": op6_warc,
     "op7_language_id": op7_language_id,

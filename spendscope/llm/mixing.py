@@ -7,11 +7,12 @@ Newton's iterations run per source on the executors, as the dual's Hessian is
 diagonal.
 
 A rate r becomes floor(r) or floor(r) + 1 copies. A document's hash gives it a
-fixed place u; those below the source's threshold get the extra copy. The
-threshold is found from two histograms of 4096 bins over all documents (the
-second inside the bin that the first names) and an exact order of the places in
-the one remaining bin, so no source is ever sorted or gathered whole. What a source
-takes is off its target by half a document at most.
+fixed place; those below the source's border get the extra copy. The border is
+found from two histograms of 4096 bins over all documents (the second inside
+the bin that the first names) and an exact order of the places in the one
+remaining bin, so no source is ever sorted or gathered whole. Some WINDOW
+documents around the border then fill what is left of the target, the largest
+that still fits first, so a source misses its target by a few words.
 
 Targets: weights 1, 2, 3, repeating, over the sources in code-point order (null
 last) share all words; a target stops at `most` times its source's size, and the
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from spendscope.llm.common import stored
 
 _BINS = 4096
+WINDOW = 24
 _NEWTON = 60
 _CLOSE = 1e-9
 
@@ -82,7 +84,7 @@ def _border(hist: DataFrame, keys: list[str], bin_col: str) -> DataFrame:
 
 
 def _thresholds(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """(sid, threshold): places below it get one copy more. At most 4096 bins, or the places of one bin, are ordered at once."""
+    """(sid, border): the place at which the words of all places up to it reach `need`. At most 4096 bins, or the places of one bin, are ordered at once."""
     first, second = F.shiftright("place", 36), F.shiftright("place", 24).bitwiseAND(_BINS - 1)
     words = F.sum("size").alias("words")
     rows = rows.filter("size > 0")
@@ -92,8 +94,28 @@ def _thresholds(rows: DataFrame, sources: DataFrame) -> DataFrame:
     two = _border(two, ["sid"], "two").drop("words")
     last = rows.join(two, "sid").filter((first == F.col("one")) & (second == F.col("two"))).groupBy("sid", "need", "place").agg(words)
     last = _border(last, ["sid"], "place")
-    # the document at the border is taken if that comes nearer to the need
-    return last.select("sid", (F.col("place") + F.when(2 * F.col("need") >= F.col("words"), 1).otherwise(0)).alias("threshold"))
+    return last.select("sid", F.col("place").alias("border"))
+
+
+def _filled(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """(sid, low, high, chosen): places below `low` get one copy more, and of those from there below `high` the chosen ones.
+
+    The window around the border holds WINDOW places on average, whatever the source's size, as places are hashes.
+    """
+    rows = rows.filter("size > 0")
+    border = _thresholds(rows, sources).join(sources.select("sid", "need", "n_docs"), "sid")
+    reach = F.expr(f"{WINDOW // 2 * (1 << 48)} div n_docs")
+    border = border.select("sid", "need", (F.col("border") - reach).alias("low"), (F.col("border") + reach + 1).alias("high"))
+    near = rows.join(border, "sid").filter("place < high")
+    below = near.groupBy("sid").agg(F.sum(F.when(F.col("place") < F.col("low"), F.col("size")).otherwise(0)).alias("before"))
+    inside = near.filter("place >= low").groupBy("sid", "place").agg(F.sum("size").alias("words"))
+    inside = inside.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("less"), "place"))).alias("window"))
+    start = F.struct((F.col("need") - F.col("before")).alias("left"), F.array().cast("array<bigint>").alias("chosen"))
+    fill = F.aggregate(
+        "window", start,
+        lambda a, x: F.when(-x["less"] <= a["left"], F.struct((a["left"] + x["less"]).alias("left"), F.concat(a["chosen"], F.array(x["place"])).alias("chosen"))).otherwise(a),
+        lambda a: a["chosen"])
+    return border.join(below, "sid").join(inside, "sid").select("sid", "low", "high", fill.alias("chosen"))
 
 
 def _sid(source: Column) -> Column:
@@ -103,22 +125,24 @@ def _sid(source: Column) -> Column:
 def plan(
     docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """(sid, source, source_size, weight, target, tilt, rate, base, threshold), one row per source."""
+    """(sid, source, source_size, weight, target, tilt, rate, base, low, high, chosen), one row per source."""
     source = F.col(f"`{source_col}`").cast("string")
     rows = stored(docs.select(
         source.alias("source"), _sid(source).alias("sid"), size_of(F.col(f"`{text_col}`")).alias("size"), place_of(F.col(f"`{id_col}`")).alias("place")), "sizes")
-    sources = tilts(targets(weights(rows.groupBy("source", "sid").agg(F.sum("size").alias("source_size")), cycle), most))
+    sources = tilts(targets(weights(rows.groupBy("source", "sid").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), cycle), most))
     sources = sources.withColumn("rate", F.exp("tilt"))
     # rounding errors of the exponential must not turn 3 copies into 2
     sources = sources.withColumn("base", F.floor(F.col("rate") + _CLOSE)).withColumn("need", F.col("target") - F.col("base") * F.col("source_size"))
     sources = stored(sources, "sources")
-    border = _thresholds(rows, sources.filter(F.col("need") > _CLOSE * (F.col("target") + 1)))
-    return stored(sources.join(border, "sid", "left").drop("need"), "mix")
+    filled = _filled(rows, sources.filter(F.col("need") > _CLOSE * (F.col("target") + 1)))
+    return stored(sources.join(filled, "sid", "left").drop("need"), "mix")
 
 
-def copies_of(place: Column) -> Column:
+def copies_of(place: Column, prefix: str = "") -> Column:
     """Copies of a document from its place and the columns of its source's plan."""
-    return (F.col("base") + F.when(place < F.col("threshold"), 1).otherwise(0)).cast("long")
+    low, high, chosen, base = (F.col(prefix + c) for c in ("low", "high", "chosen", "base"))
+    more = (place < low) | ((place < high) & F.array_contains(chosen, place))
+    return (base + F.when(more, 1).otherwise(0)).cast("long")
 
 
 def mixed(
@@ -135,7 +159,7 @@ def mixed(
 
 def repeated(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """The mix itself: every document as often as its copies say, with all its columns."""
-    sources = plan(docs, cycle, most).select(*(F.col(c).alias(f"__{c}") for c in ("sid", "base", "threshold")))
-    copies = (F.col("__base") + F.when(place_of(docs["doc_id"]) < F.col("__threshold"), 1).otherwise(0)).cast("int")
+    sources = plan(docs, cycle, most).select(*(F.col(c).alias(f"__{c}") for c in ("sid", "base", "low", "high", "chosen")))
+    copies = copies_of(place_of(docs["doc_id"]), "__").cast("int")
     both = docs.join(sources, _sid(docs["source"].cast("string")) == F.col("__sid")).withColumn("__copies", copies).filter("__copies > 0")
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

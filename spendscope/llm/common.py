@@ -41,6 +41,14 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def sampled(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """About n rows, the same on every run: those whose key's hash is below n / count; 2 n at most, should keys repeat."""
+    total = df.count()
+    if total <= n:
+        return df
+    return df.filter(F.shiftrightunsigned(F.xxhash64(F.lit(11), *key), 24) < int(n / total * (1 << 40))).limit(2 * n)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text."""
     lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)

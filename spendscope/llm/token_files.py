@@ -11,9 +11,11 @@ the index. One document is read by its index entry alone. Beside the shards
 lies `dictionary.zstd`, trained on serialized id arrays of a bounded sample of
 documents (SAMPLE_DOCS); its hash must match.
 
-White space never matters to the tokenizer's word pattern, so texts are cut at
-ASCII white space and every distinct word goes through the tokenizers library
-once per worker (a cache of CACHE_WORDS words; beyond it, it starts anew).
+White space never matters to the tokenizer's word pattern, nor case, and a comma
+or full stop after a letter is a word of its own, so texts are cut there and every
+distinct word goes through the tokenizers library once per worker (a cache of
+CACHE_WORDS words; beyond it, it starts anew). Tokenizers without a mark for the
+end of words are only cut at white space.
 
 Defined cases: null and empty texts hold the end id only; rows that repeat a
 doc_id follow each other, ordered by text hash; a row without doc_id comes
@@ -23,7 +25,9 @@ shard; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -36,16 +40,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendscope.llm.common import documents, pieces, shared_folder
+from spendscope.llm.common import documents, pieces, sampled, shared_folder
 
 #: Documents that the dictionary is trained on at most, and the bytes of each of their texts.
 SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 20_000
 DICTIONARY_BYTES = 64 << 10
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 MAGIC = b"IDSHARD1"
 _HEAD = struct.Struct("<8sHH32sQQ")  # magic, version, bytes per id, dictionary hash, documents, ids
 _FOOT = struct.Struct("<QQ8s")  # index offset, index bytes, magic
 _INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("offset", "<u8"), ("n_ids", "<u8")])
+_SIGN = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -57,23 +62,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.known, self.end = Tokenizer.from_file(path), {}, np.uint32(end_id).tobytes()
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
+        #: Ids that end a word, if the vocabulary marks them.
+        self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for w, i in self.library.get_vocab().items() if suffix and w.endswith(suffix)]] = True
 
     def learn(self, words: list[bytes]) -> None:
-        """Words that are not known yet; nothing is forgotten while a text is being joined."""
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {}
-        encoded = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for word, one in zip(words, encoded):
-            self.known[word] = np.array(one.ids, np.uint32).tobytes()
+        """Plain words, which the library cannot split, go many to a text; others each for itself."""
+        texts = [w.decode() for w in words]
+        plain = self.ends.any()
+        alone = [t for t in texts if not (plain and t.isalpha() and t == t.lower())]
+        together = [t for t in texts if plain and t.isalpha() and t == t.lower()]
+        groups = [together[i : i + 512] for i in range(0, len(together), 512)]
+        for group, one in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(one.ids, np.uint32)
+            cuts = np.r_[0, np.flatnonzero(self.ends[ids]) + 1] * 4
+            if len(cuts) != len(group) + 1 or cuts[-1] != 4 * len(ids):
+                alone += group
+                continue
+            data, cuts = ids.tobytes(), cuts.tolist()
+            self.known.update(zip([g.encode() for g in group], [data[i:j] for i, j in zip(cuts, cuts[1:])]))
+        for text, one in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[text.encode()] = np.array(one.ids, np.uint32).tobytes()
+
+    def words(self, text: bytes) -> list[bytes]:
+        """Words of a text whose ids, one after the other, are the text's: case of A-Z does not count, and a sign after a letter stands alone."""
+        return text.split() if not self.ends.any() or b"<|" in text else _SIGN.sub(rb" \1", text.lower()).split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Serialized ids of each text, with the end id, four bytes each."""
-        split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
+        split = [self.words(t) for t in texts]
+        new = set().union(*split).difference(self.known)
         if new and len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, list(set().union(*split))
+            self.known, new = {}, set().union(*split)
         if new:
-            self.learn(new)
+            self.learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) + self.end for words in split]
 
@@ -96,8 +119,8 @@ def narrow(ids: bytes, width: int) -> bytes:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """A dictionary from SAMPLE_DOCS documents at most (those first by hash); empty if the sample is too small for one."""
-    rows = documents(docs, id_col, text_col).select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_BYTES).alias("text"), F.xxhash64("id", "text").alias("h"))
-    sample = [r.text.encode() for r in rows.orderBy("h").limit(SAMPLE_DOCS).collect()]
+    rows = sampled(documents(docs, id_col, text_col), SAMPLE_DOCS, "id", "text")
+    sample = [r.t.encode() for r in rows.select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_BYTES).alias("t")).collect()]
     width = width_of(tokenizer, end_id)
     ids = [narrow(x, width) for x in encoder(tokenizer, end_id).encode(sample)]
     if sum(map(len, ids)) < 8 * DICTIONARY_BYTES or len(ids) < 16:

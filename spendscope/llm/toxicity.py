@@ -37,9 +37,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendscope.llm.common import Words, documents, mapped, utf8
+from spendscope.llm.common import Words, documents, mapped, sampled, utf8
 
-#: Labelled documents to fit on at most, of each label, and characters of a document that may be among them.
+#: Labelled documents to fit on, of each label, and characters of a document that may be among them.
 SAMPLE_DOCS, SAMPLE_CHARS = 3_000, 20_000
 LANDMARKS = 48
 LETTERS, DECAY, SPAN = 4, 0.6, 9
@@ -282,15 +282,16 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from SAMPLE_DOCS labelled documents of each label at most, the first by hash."""
+    """A model from about SAMPLE_DOCS labelled documents of each label, those first by hash."""
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("y in (0, 1)")
     rows = documents(docs, id_col, text_col).filter(F.length("text").between(1, SAMPLE_CHARS)).join(known, "id")
-    rows = rows.withColumn("h", F.xxhash64("id", F.lit(3)))
     texts, y = [], []
     for label in (0, 1):
-        for r in rows.filter(F.col("y") == label).orderBy("h", "id", "text").limit(SAMPLE_DOCS).select("text").collect():
-            texts.append(r.text)
+        for r in sampled(rows.filter(F.col("y") == label), SAMPLE_DOCS, "id", "text").select("id", "text").collect():
+            texts.append((r.id, r.text))
             y.append(label)
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    texts, y = [texts[i][1] for i in order], [y[i] for i in order]
     return fit(texts, y)
 
 

@@ -5,7 +5,7 @@ digit run, character entropy, parameter counts, hyphens, escapes, vowel share,
 and how often labelled URLs with the same suffix (last one, two and three labels
 of the host) are bad. Suffix counts run over all labelled URLs in SUFFIXES
 hashed cells, so the table that tasks get has one size; the trees are fitted
-on SAMPLE_ROWS URLs of each label at most, the first by hash.
+on about SAMPLE_ROWS URLs of each label, those first by hash.
 
 Rules are a short list given as a parameter; a rule `host/path` fits its host
 and all subdomains if the path starts with the rule's; the longest wins.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendscope.llm import boosting
-from spendscope.llm.common import mapped, per_row, utf8
+from spendscope.llm.common import mapped, per_row, sampled, utf8
 
 SUFFIXES = 1 << 15
 SAMPLE_ROWS = 10_000
@@ -133,7 +133,7 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label") -
     rates = (bad + 4 * overall) / (n + 4)
     sample = []
     for label in (0, 1):
-        sample += rows.filter(F.col("y") == label).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS).collect()
+        sample += sorted(sampled(rows.filter(F.col("y") == label), SAMPLE_ROWS, "text").collect(), key=lambda r: r.text)
     if not sample:
         return Model(boosting.fit(np.zeros((0, 1)), np.zeros(0)), rates)
     x = features(*(pa.array([r[c] for r in sample], pa.string()) for c in ("text", "host", "path")), np.array([[r.s1, r.s2, r.s3] for r in sample]), rates)

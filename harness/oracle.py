@@ -465,10 +465,12 @@ def as_text(inner: str, layout, keys, exact: bool = True) -> str:
 add("q8_range_total_text",
     as_text(report(_TOTAL, scale=1.0), n.RANGE_TEXT, ["展示", "UV"]), list(n.RANGE_TEXT), ["展示", "UV"])
 _TREND = report(rollup("day_rows", ["SPU", PT3], IN_BASE), ["SPU", PT3])
+add("e20_report_maxima", f"SELECT {', '.join(f'max({q(x)}) AS {q(x)}' for x in DAY)} FROM ({_TREND})", num=DAY)
 add("q9_spu_trend", _TREND, ["SPU", PT3], DAY)
 add("q9_spu_trend_of_categories", f"SELECT * FROM ({_TREND}) WHERE {among(PT3, ch.CATEGORIES)}", ["SPU", PT3], DAY)
 _DRILL = ("SKU", "SPU", PT3, "old_or_new")
 add("q10_spu_skus", report(rollup("day_rows", _DRILL, f"{OF_SPUS} AND {IN_BASE}"), _DRILL), _DRILL, DAY)
+add("q10_spu_skus_of_keys", report(rollup("day_rows", _DRILL, f"{OF_SPUS} AND {IN_BASE}"), _DRILL), _DRILL, DAY)
 
 WEEK = [f"2023-06-0{i}" for i in range(1, 8)]
 
@@ -487,6 +489,9 @@ _MATRIX = matrix("day_rows", ["SPU", "SKU", "old_or_new"], f"{OF_SPUS} AND {IN_B
 add("q11_spu_cost_matrix",
     f"SELECT *, {', '.join(f'{band(q(d))} AS {q(d + ' band')}' for d in WEEK)} FROM ({_MATRIX})",
     ["SPU", "SKU", "old_or_new", *[d + " band" for d in WEEK]], WEEK)
+add("q11_spu_cost_matrix_all_days",
+    f"SELECT *, {', '.join(f'{band(q(d))} AS {q(d + ' band')}' for d in WEEK)} FROM ({_MATRIX})",
+    ["SPU", "SKU", "old_or_new", *[d + " band" for d in WEEK]], WEEK)
 
 _YEAR = with_ratios(rollup("mon_rows", YEAR_KEYS, within("Month", ch.YEAR)), 1.0, "Sensor ROI")
 _YEAR_NUM = ["Sale Price", *ALL, "Sensor ROI", "ads ROI", "CTR"]
@@ -508,6 +513,7 @@ for _name, _extra in {
     "q13_sku_period": "true",
     "q13_sku_period_condition": CONDITION,
     "q13_sku_period_skus": f"{CONDITION} AND {CHOSEN}",
+    "q13_sku_period_skus_only": CHOSEN,
 }.items():
     add(_name, "SELECT * FROM base_rows", SKU_KEYS, _SKU_NUM, ctes="," + period_ctes("base", ch.BASE, _extra))
 add("q13_sku_period_text", as_text("SELECT * FROM base_rows", n.SKU_TEXT, SKU_KEYS), [*SKU_KEYS, *n.SKU_TEXT],
@@ -520,6 +526,7 @@ for _name, _base, _compare in [
     ("q14_compare_periods", "true", "true"),
     ("q14_compare_condition", CONDITION, "true"),
     ("q14_compare_condition_both", CONDITION, CONDITION),
+    ("q14_compare_skus_only", CHOSEN, CHOSEN),
     ("q14_compare_skus", f"{CONDITION} AND {CHOSEN}", f"{CONDITION} AND {CHOSEN}"),
 ]:
     add(_name, "SELECT * FROM all_totals", ["row_kind", "日期范围"], _TOTAL_NUM, ctes=comparison_ctes(_base, _compare))
@@ -546,25 +553,31 @@ LISTS = ("CPC", *POINTS)
 
 
 def series(bounds, where: str = "true") -> str:
-    lists = ", ".join(f"string_agg(printf('%.4f', {q(x)} + 1e-9), ',' ORDER BY \"Date\", \"CPC\") AS {q(x)}" for x in LISTS)
-    dates = "string_agg(strftime(\"Date\", '%Y-%m-%d'), ',' ORDER BY \"Date\", \"CPC\") AS days"
+    lists = ", ".join(f"string_agg(printf('%.4f', {q(x)} + 1e-9), ',' ORDER BY \"CPC\") AS {q(x)}" for x in LISTS)
     keys = ", ".join(f"p.{q(x)}" for x in PRODUCT)
     renamed = lists.replace('AS "', 'AS "list_')
-    return f"""SELECT {cols(PRODUCT)}, '' AS page, cost_sum, gmv_sum, days AS "Date",
-      {', '.join(f'{q("list_" + x)} AS {q(x)}' for x in LISTS)}
-      FROM (SELECT {keys}, {renamed}, {dates}, sum(cost) AS cost_sum, sum("GMV") AS gmv_sum
-            FROM ({points(bounds, where)}) p GROUP BY {keys})"""
+    return f"""SELECT {cols(PRODUCT)}, "Date", sum(day_cost) OVER w AS cost_sum, sum(day_gmv) OVER w AS gmv_sum,
+      (sum(n) OVER w)::bigint AS points, {', '.join(f'{q("list_" + x)} AS {q(x)}' for x in LISTS)}
+      FROM (SELECT {keys}, p."Date", {renamed}, sum(cost) AS day_cost, sum("GMV") AS day_gmv, count(*) AS n
+            FROM ({points(bounds, where)}) p GROUP BY {keys}, p."Date") WINDOW w AS (PARTITION BY {cols(PRODUCT)})"""
 
 
-_SERIES_TEXT = ["SKU", "SPU", PT3, "old_or_new", "image", "page", "Date", *LISTS]
-add("q16_campaign_series", series(ch.BASE), _SERIES_TEXT, ["Sale Price", "cost_sum", "gmv_sum"])
-add("q16_campaign_series_chosen", series(YEAR_DAYS, among("Campaign", ch.CAMPAIGNS)), _SERIES_TEXT,
-    ["Sale Price", "cost_sum", "gmv_sum"])
+_SERIES_TEXT = ["SKU", "SPU", PT3, "old_or_new", "image", *LISTS]
+for _name, _sql in {
+    "q16_campaign_series": series(ch.BASE),
+    "q16_campaign_series_chosen": series(YEAR_DAYS, among("Campaign", ch.CAMPAIGNS)),
+    "q16_campaign_series_of_keys": series(ch.BASE, among("Campaign", ch.CAMPAIGNS)),
+}.items():
+    add(_name, _sql, _SERIES_TEXT, ["Sale Price", "cost_sum", "gmv_sum"], day=["Date"], whole=["points"])
 add("q17_campaigns_in_range", f'SELECT DISTINCT "Campaign" FROM camp_rows WHERE {IN_BASE}', ["Campaign"])
+_LABEL_KEYS = ["SPU", "SKU", "费用", "GMV", "点击", "支付用户数", "神策ROI", "ads ROI", "customlabel2", "customlabel4",
+               "Product Type 1", "Product Type 2", "Product Type 3", "old_or_new", "神策加购率", "神策转化率"]
+_LABEL_REST = [x for x in [*SKU_KEYS, *_SKU_NUM] if x not in _LABEL_KEYS]
 add("q18_custom_labels",
-    f"""SELECT {cols([*SKU_KEYS, *_SKU_NUM])}, customlabel2, customlabel4 FROM base_rows JOIN
-      (SELECT DISTINCT {NORM.format(s='sku')} AS "SKU", lab2 AS customlabel2, lab4 AS customlabel4
-       FROM ({_fixed(0.13)}) WHERE lab2 IS NOT NULL AND lab4 IS NOT NULL) USING ("SKU")""",
+    f"""SELECT {cols(_LABEL_KEYS)}, {', '.join(f'first({q(x)}) AS {q(x)}' for x in _LABEL_REST)}
+      FROM base_rows LEFT JOIN
+      (SELECT {NORM.format(s='sku')} AS "SKU", lab2 AS customlabel2, lab4 AS customlabel4 FROM fixed_sku) USING ("SKU")
+      WHERE {present(_LABEL_KEYS)} GROUP BY {cols(_LABEL_KEYS)}""",
     [*SKU_KEYS, "customlabel2", "customlabel4"], _SKU_NUM, ctes="," + period_ctes("base", ch.BASE))
 add("q19_spu_register", 'SELECT * FROM register WHERE "SPU" IS NOT NULL', ["SPU", "图片"])
 

@@ -79,6 +79,15 @@ def campaign_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
             m.product_label(spark, d))
 
 
+def chosen_spus(s: SparkSession, d: str) -> DataFrame:
+    """The chosen SPUs as a key table."""
+    return m.spu_index(s, d).where(c("SPU").isin(*ch.SPUS)).select(c("SPU").alias("key")).distinct()
+
+
+def chosen_campaigns(s: SparkSession, d: str) -> DataFrame:
+    return m.ads_campaign_daily(s, d).where(c("Campaign").isin(*ch.CAMPAIGNS)).select(c("Campaign").alias("key")).distinct()
+
+
 # -- scans and headers --------------------------------------------------------
 
 query("a1_ads_daily")(lambda s, d: tables.conform(m.ads_sku_daily(s, d), tables.ADS_SKU_DAILY))
@@ -268,6 +277,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 query("e19_date_extremes")(lambda s, d: rollup.extremes(m.ads_daily(s, d), "Date"))
+query("e20_report_maxima")(
+    lambda s, d: rollup.column_maxima(spu.spu_trend(*spu_tables(s, d), *ch.BASE), n.DAY_REPORT)
+)
 query("e20_column_maxima")(lambda s, d: rollup.column_maxima(m.sensor_daily(s, d), n.SENSOR_MEASURES))
 query("e21_distinct_campaigns")(lambda s, d: rollup.distinct_values(m.ads_campaign_daily(s, d), "Campaign"))
 
@@ -308,7 +320,16 @@ query("q9_spu_trend_of_categories")(
     lambda s, d: spu.spu_trend(*spu_tables(s, d), *ch.BASE, categories=ch.CATEGORIES)
 )
 query("q10_spu_skus")(lambda s, d: spu.spu_skus(*spu_tables(s, d), ch.SPUS, *ch.BASE))
+query("q10_spu_skus_of_keys")(lambda s, d: spu.spu_skus(*spu_tables(s, d), chosen_spus(s, d), *ch.BASE))
 query("q11_spu_cost_matrix")(lambda s, d: spu.spu_cost_matrix(*spu_tables(s, d), ch.SPUS, *ch.BASE))
+
+
+@query("q11_spu_cost_matrix_all_days")
+def _(s: SparkSession, d: str) -> DataFrame:
+    ads, *rest = spu_tables(s, d)
+    return spu.spu_cost_matrix(ads.where(dates.within(c("Date"), *ch.BASE)), *rest, ch.SPUS)
+
+
 query("q12_yearly_summary")(lambda s, d: yearly.yearly_summary(*month_tables(s, d)))
 query("q12_spu_lookup")(
     lambda s, d: yearly.spu_lookup(yearly.yearly_summary(*month_tables(s, d), spus=ch.SPUS), ch.SPUS)
@@ -333,6 +354,7 @@ query("q13_sku_period_text")(
     lambda s, d: shown_as_text(sku.period_summary(*sku_tables(s, d), *ch.BASE), n.SKU_TEXT)
     .select("SKU", "SPU", n.PT1, n.PT2, n.PT3, n.GENERATION, *[f"`{x}`" for x in n.SKU_TEXT])
 )
+query("q13_sku_period_skus_only")(lambda s, d: sku.period_summary(*sku_tables(s, d), *ch.BASE, skus=ch.SKUS))
 query("h1_two_periods")(lambda s, d: sku.compared_totals(*sku_tables(s, d), ch.BASE, ch.OTHER))
 query("q14_compare_periods")(lambda s, d: sku.compare_periods(*sku_tables(s, d), ch.BASE, ch.OTHER))
 query("q14_compare_condition")(
@@ -348,6 +370,9 @@ query("q14_compare_skus")(
         *sku_tables(s, d), ch.BASE, ch.OTHER, skus=ch.SKUS, condition=ch.CONDITION
     )
 )
+query("q14_compare_skus_only")(
+    lambda s, d: sku.compare_periods(*sku_tables(s, d), ch.BASE, ch.OTHER, skus=ch.SKUS)
+)
 query("j3_comparison_text")(
     lambda s, d: compare.comparison_text(sku.compared_totals(*sku_tables(s, d), ch.BASE, ch.OTHER))
 )
@@ -369,12 +394,17 @@ query("q16_campaign_series")(lambda s, d: campaign.campaign_series(*campaign_tab
 query("q16_campaign_series_chosen")(
     lambda s, d: campaign.campaign_series(*campaign_tables(s, d), *YEAR_DAYS, campaigns=ch.CAMPAIGNS)
 )
+query("q16_campaign_series_of_keys")(
+    lambda s, d: campaign.campaign_series(*campaign_tables(s, d), *ch.BASE, campaigns=chosen_campaigns(s, d))
+)
 query("q17_campaigns_in_range")(lambda s, d: campaign.campaigns_in_range(m.ads_campaign_daily(s, d), *ch.BASE))
 
 
 @query("q18_custom_labels")
 def _(s: SparkSession, d: str) -> DataFrame:
     ads, sensor, index = sku_tables(s, d)
+    filled = [x for x in ads.columns if x not in ("Country", "customlabel1", "customlabel4")]
+    ads = tables.drop_sparse_rows(ads, present=filled)
     labels = cleaning.repair_rows(ads, cleaning.SKU_DAILY).transform(cleaning.normalise_sku)
     return sku.with_custom_labels(sku.period_summary(ads, sensor, index, *ch.BASE), labels)
 

@@ -30,8 +30,8 @@ def percent(x: Column) -> Column:
 
 def as_is(x: Column) -> Column:
     """Shortest decimal text without exponent; whole numbers keep one decimal."""
-    digits = F.regexp_replace(x.cast("string").try_cast("decimal(38,12)").cast("string"), "0+$", "")
-    text = F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
+    # shortest digits that name the double, as many places as a double can have; 0.0 added turns -0.0 into 0.0
+    text = F.call_function("format_number", x + 0.0, F.lit("0.0" + "#" * 330))
     return F.when(x.isNotNull(), _with_inf(x, text))
 
 

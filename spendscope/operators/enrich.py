@@ -12,10 +12,10 @@ Two forms of the same result:
   a table is therefore one row by the time it is joined.
 
 In both forms the index and the labels are joined with each other first, so
-that facts meet products in one join per side. The joined products are shuffled
-once more by SKU: that small stage tells adaptive execution their true size, and
-small products are then broadcast instead of shuffling the facts. No join
-carries a broadcast hint; the product tables grow with the catalogue.
+that facts meet products in one join. No join carries a broadcast hint, as the
+product tables grow with the catalogue, and no shuffle is asked for by hand:
+adaptive execution sees the true sizes, broadcasts what is small and splits a
+SKU that holds a large share of the facts.
 """
 
 from __future__ import annotations
@@ -36,6 +36,11 @@ def normalise_index(spu_index: DataFrame) -> DataFrame:
     return normalise_sku(spu_index.select("SKU", "SPU").where(F.col("SKU").isNotNull()))
 
 
+def only_skus_of(spu_index: DataFrame, spus: Keys) -> DataFrame:
+    """SKUs of the chosen SPUs, once each, in a normalised index."""
+    return restrict(spu_index, "SPU", spus).select("SKU").distinct()
+
+
 # -- full form --------------------------------------------------------------
 
 
@@ -49,19 +54,35 @@ def attach_label(facts: DataFrame, label: DataFrame, attributes: Sequence[str] =
     return label_generation(facts.join(label.select(*columns), "SKU", "left"))
 
 
-def products_of(spu_index: DataFrame, label: DataFrame, attributes: Sequence[str] = (n.PRICE,)) -> DataFrame:
+def products_of(
+    spu_index: DataFrame, label: DataFrame, attributes: Sequence[str] = (n.PRICE,), of_index: Sequence[str] = ("SPU",)
+) -> DataFrame:
     """All pairs of index and label rows of a SKU, either side possibly missing.
 
     A left join with it equals a left join with the index, then with the labels.
     """
     wanted = label.select("SKU", "customlabel1", *attributes)
-    return spu_index.select("SKU", "SPU").join(wanted, "SKU", "full").repartition("SKU")
+    return spu_index.select("SKU", *of_index).join(wanted, "SKU", "full")
 
 
 def attach_products(facts: DataFrame, products: DataFrame) -> DataFrame:
     return label_generation(facts.join(products, "SKU", "left"))
 
 
+def counted_products(spu_index: DataFrame, label: DataFrame, attributes: Sequence[str] = (n.PRICE,)) -> DataFrame:
+    """``products_of`` with ``product_rows``, the number of product rows of the SKU.
+
+    Each table counts its own rows per SKU before the two meet. The join's key is
+    then one that no shuffle below has, so the facts' join gets a shuffle of its own
+    on either side, which adaptive execution can split.
+    """
+    def own(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn(name, F.count("*").over(Window.partitionBy("SKU")))
+
+    both = products_of(own(spu_index, "spu_rows"), own(label, "label_rows"), (*attributes, "label_rows"), ("SPU", "spu_rows"))
+    return both.withColumn("product_rows", F.coalesce("spu_rows", F.lit(1)) * F.coalesce("label_rows", F.lit(1))).drop("spu_rows", "label_rows")
+
+
 def repeat_by_products(sensor: DataFrame, spu_index: DataFrame, label: DataFrame) -> DataFrame:
     """Sensor rows once per product row of their SKU (no column is added)."""
     return sensor.join(products_of(spu_index, label).select("SKU"), "SKU", "left")
@@ -70,10 +91,18 @@ def repeat_by_products(sensor: DataFrame, spu_index: DataFrame, label: DataFrame
 def enrich(
     ads: DataFrame, label: DataFrame, sensor: DataFrame, spu_index: DataFrame, period: str = "Date"
 ) -> DataFrame:
-    """Cleaned ads with SPU, generation, price and sensor measures."""
-    rows = attach_products(ads, products_of(spu_index, label))
-    repeated = repeat_by_products(sensor, spu_index, label)
-    return rows.join(repeated.select("SKU", period, *n.SENSOR_MEASURES), ["SKU", period], "left")
+    """Cleaned ads with SPU, generation, price and sensor measures.
+
+    Sensor rows repeat per product row of their SKU. They are joined once, as
+    they are, and the joined row is repeated afterwards, so that products are
+    built and sensor rows shuffled only once.
+    """
+    rows = attach_products(ads, counted_products(spu_index, label))
+    visits = sensor.select("SKU", period, *n.SENSOR_MEASURES, F.lit(True).alias("visited"))
+    joined = rows.join(visits, ["SKU", period], "left")
+    times = F.when(F.col("visited"), F.coalesce("product_rows", F.lit(1))).otherwise(F.lit(1))
+    repeated = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
+    return repeated.drop("copy", "visited", "product_rows")
 
 
 CAMPAIGN_KEYS = ("Date", "Campaign", "Campaign ID", "SKU")
@@ -88,13 +117,17 @@ def fill_missing(df: DataFrame) -> DataFrame:
 def enrich_campaign(
     ads: DataFrame, label: DataFrame, sensor: DataFrame, spu_index: DataFrame
 ) -> DataFrame:
-    """Cleaned campaign ads with products and sensor measures, sorted, filled."""
+    """Cleaned campaign ads with products and sensor measures, filled."""
     rows = attach_products(ads, products_of(spu_index, label, (n.PRICE, "imagelink")))
     joined = rows.withColumnRenamed("imagelink", "image").join(
         sensor.select(*CAMPAIGN_KEYS, *n.CAMPAIGN_SENSOR_MEASURES), list(CAMPAIGN_KEYS), "left"
     )
-    ordered = joined.orderBy(F.asc_nulls_last("SKU"), F.desc_nulls_last("Date"))
-    return fill_missing(ordered)
+    return fill_missing(joined)
+
+
+def presented(rows: DataFrame) -> DataFrame:
+    """Campaign rows in the order in which they are shown: by SKU, the last day first."""
+    return rows.orderBy(F.asc_nulls_last("SKU"), F.desc_nulls_last("Date"))
 
 
 # -- folded form ------------------------------------------------------------
@@ -137,9 +170,13 @@ def fold_enriched(
     attributes: Sequence[str] = (),
     sensor_by_products: bool = True,
     spus: Keys | None = None,
+    ads_count: str | None = None,
 ) -> DataFrame:
     """Folded form of the joins; see the module text.
 
+    ``ads_count`` names a column that tells how many ads rows a given one is
+    the sum of; without it, each is one.
+
     ``generation`` and ``attributes`` name what is needed of the label table;
     without any it only counts. ``sensor_by_products`` tells whether sensor
     rows, too, repeat per product row. ``spus`` keeps the given SPUs only.
@@ -153,19 +190,20 @@ def fold_enriched(
     )
     if spus is not None:
         products = restrict(products, "SPU", spus)
-    rows = ads.join(products.repartition("SKU"), "SKU", "left" if spus is None else "inner")
+    rows = ads.join(products, "SKU", "left" if spus is None else "inner")
     rows = rows.join(add_up_sensor(sensor, keys, sensor_measures), list(keys), "left")
 
     ads_rows = _or_one("spu_copies") * _or_one("label_copies")
     per_sensor = _or_one("spu_rows") * _or_one("label_rows") if sensor_by_products else F.lit(1.0)
     matched = F.coalesce(F.col("sensor_rows") * per_sensor, F.lit(1.0))
-    kept = [c for c in ads.columns if c not in ads_measures]
+    kept = [c for c in ads.columns if c not in ads_measures and c != ads_count]
+    each = F.col(ads_count) if ads_count else F.lit(1.0)
     return rows.select(
         *[f"`{c}`" for c in kept],
         "SPU",
         *attributes,
         *([F.coalesce("generation", F.lit(n.OLD_LISTING)).alias(n.GENERATION)] if generation else []),
         *[(F.col(m) * ads_rows * matched).alias(m) for m in ads_measures],
-        *[(F.col(m) * ads_rows * per_sensor).alias(m) for m in sensor_measures],
-        (ads_rows * matched).alias("joined_rows"),
+        *[(F.col(m) * each * ads_rows * per_sensor).alias(m) for m in sensor_measures],
+        (each * ads_rows * matched).alias("joined_rows"),
     )

@@ -1,28 +1,24 @@
 """Ordered per-SKU series of the campaign page.
 
-``daily_points`` adds rows up per product, day and cost per click. ``sku_series``
-lays the points of a product out as list columns ordered by day, then cost per
-click, with the cost and GMV they add up to. A SKU with very many ads rows comes
-as several rows, one per page: the pages in ``page`` order, joined end to end,
-are its lists, and their totals add up to its totals. So no task ever gathers
-more than about one page.
+``daily_points`` adds rows up per product, day and cost per click, which is the
+form for further work. ``sku_series`` lays a product's points of one day out as
+list columns ordered by cost per click, next to the product's totals. That is the
+grain for every SKU, however many rows it has: the points of a product and
+day are bounded by its campaigns. A product's rows in day order, their lists
+joined end to end, are its whole series.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from spendscope import names as n
-from spendscope.functions.dates import iso
 from spendscope.operators.rollup import group_sum, total
 
 PRODUCT = ("SKU", "SPU", n.PT3, n.GENERATION, n.PRICE, "image")
 POINT_MEASURES = ("cost", "clicks", "Impression", "GMV", "UV", "value", "conversion", "sale",
                   "saleuser", "AddtoCart")
-SERIES = (n.CPC, "Date", *POINT_MEASURES)
-
-PAGE_POINTS = 100_000
-_BAND_OFFSET = 500_000_000
+SERIES = (n.CPC, *POINT_MEASURES)
 
 
 def daily_points(rows: DataFrame) -> DataFrame:
@@ -37,55 +33,18 @@ def product_totals(rows: DataFrame) -> DataFrame:
     )
 
 
-def _band(cost_per_click: Column, pieces: Column) -> Column:
-    """Order-preserving band of a cost per click, about thirty per piece over the
-    usual range. Root, product and floor never swap two values."""
-    root = F.sqrt(F.sqrt(F.abs(cost_per_click)))
-    return F.floor(root * pieces * F.lit(10.0)) * F.signum(cost_per_click).cast("long")
-
-
-def long_days(rows: DataFrame, page_points: int = PAGE_POINTS) -> DataFrame:
-    """Days of SKUs with more than ``page_points`` ads rows, and into how many
-    pieces each day is to be cut.
+def sku_series(points: DataFrame) -> DataFrame:
+    """List columns per product and day, with totals of the product over all its days.
 
-    ``rows`` are unmerged ads rows: every point stems from at least one of them,
-    so their number bounds the points, and counting them needs no join.
+    Both sides of the join start from the same day rows, so their shuffle is
+    run once and used twice.
     """
-    sku = Window.partitionBy("SKU")  # one row per day: bounded by the calendar
-    return (
-        rows.groupBy("SKU", "Date")
-        .agg(F.count("*").alias("day_rows"))
-        .withColumn("sku_rows", F.sum("day_rows").over(sku))
-        .where(F.col("sku_rows") > page_points)
-        .select("SKU", "Date", F.ceil(F.col("day_rows") / F.lit(page_points)).alias("pieces"))
-    )
-
-
-def _with_page(points: DataFrame, days: DataFrame) -> DataFrame:
-    """A page per long day; one per band where the day alone exceeds a page."""
-    band = F.lpad((_band(F.col(n.CPC), F.col("pieces")) + _BAND_OFFSET).cast("string"), 10, "0")
-    page = (
-        F.when(F.col("pieces").isNull(), "")
-        .when(F.col("pieces") == 1, iso(F.col("Date")))
-        .otherwise(F.concat_ws("/", iso(F.col("Date")), band))
-    )
-    return points.join(days, ["SKU", "Date"], "left").withColumn("page", page)
-
-
-def sku_series(points: DataFrame, days: DataFrame | None = None) -> DataFrame:
-    """List columns per product, in pages where ``days`` (of ``long_days``) says so."""
-    paged = points.withColumn("page", F.lit("")) if days is None else _with_page(points, days)
-    entry = F.struct(iso(F.col("Date")).alias("Date"), n.CPC, *POINT_MEASURES)
-    return (
-        paged.groupBy(*PRODUCT, "page")
-        .agg(
-            F.sort_array(F.collect_list(entry)).alias("entries"),
-            total("GMV").alias("gmv_sum"),
-            total("cost").alias("cost_sum"),
-        )
-        .select(
-            *[f"`{c}`" for c in PRODUCT], "page",
-            *[F.col("entries").getField(c).alias(c) for c in SERIES],
-            "gmv_sum", "cost_sum",
-        )
+    entry = F.struct(n.CPC, *POINT_MEASURES)
+    days = points.groupBy(*PRODUCT, "Date").agg(
+        F.sort_array(F.collect_list(entry)).alias("entries"), total("GMV").alias("day_gmv"), total("cost").alias("day_cost"))
+    totals = days.groupBy(*PRODUCT).agg(
+        total("day_gmv").alias("gmv_sum"), total("day_cost").alias("cost_sum"), F.sum(F.size("entries")).alias("points"))
+    return days.join(totals, list(PRODUCT)).select(
+        *[f"`{c}`" for c in PRODUCT], "Date", *[F.col("entries").getField(c).alias(c) for c in SERIES],
+        "gmv_sum", "cost_sum", "points",
     )

@@ -18,14 +18,14 @@ from spendscope.operators.enrich import (
     normalise_index,
 )
 from spendscope.operators.rollup import distinct_values, drop_null_keys
-from spendscope.operators.series import PAGE_POINTS, daily_points, long_days, sku_series
+from spendscope.operators.series import daily_points, sku_series
 from spendscope.sources.keys import Keys, restrict
 
 Day = date | str
 
 
 def enriched_rows(ads: DataFrame, sensor: DataFrame, spu: DataFrame, label: DataFrame) -> DataFrame:
-    """Every campaign row joined with products and sensor facts, sorted, filled."""
+    """Every campaign row joined with products and sensor facts, filled; ``enrich.presented`` sorts them."""
     return enrich_campaign(clean_ads(ads, CAMPAIGN), label, sensor, normalise_index(spu))
 
 
@@ -65,13 +65,10 @@ def campaign_points(
 
 def campaign_series(
     ads: DataFrame, sensor: DataFrame, spu: DataFrame, label: DataFrame, first: Day, last: Day,
-    campaigns: Keys | None = None, page_points: int = PAGE_POINTS,
+    campaigns: Keys | None = None,
 ) -> DataFrame:
-    """Series as list columns, with cost and GMV totals; SKUs with more than
-    ``page_points`` ads rows come in pages."""
-    chosen = _chosen(ads, first, last, campaigns)
-    days = long_days(clean_ads(chosen, CAMPAIGN, merge=False), page_points)
-    return sku_series(campaign_points(ads, sensor, spu, label, first, last, campaigns), days)
+    """Series as list columns, one row per product and day, with the product's cost and GMV totals."""
+    return sku_series(campaign_points(ads, sensor, spu, label, first, last, campaigns))
 
 
 def campaigns_in_range(ads: DataFrame, first: Day, last: Day) -> DataFrame:

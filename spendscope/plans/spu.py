@@ -16,9 +16,9 @@ from spendscope.functions.dates import monthly_to_daily, range_divisor, within
 from spendscope.functions.ratios import raw_ratio
 from spendscope.operators import rollup
 from spendscope.operators.cleaning import DAILY, MONTHLY, clean_ads
-from spendscope.operators.enrich import enrich, fold_enriched, normalise_index
+from spendscope.operators.enrich import enrich, fold_enriched, normalise_index, only_skus_of
 from spendscope.operators.matrix import day_matrix, with_bands
-from spendscope.sources.keys import Keys, broadcast_when_small, restrict
+from spendscope.sources.keys import Keys, restrict
 from spendscope.sources.tables import drop_missing
 
 ALL_MEASURES = (*n.ADS_MEASURES, *n.SENSOR_MEASURES)
@@ -26,11 +26,14 @@ Day = date | str
 
 
 def enriched_rows(
-    ads: DataFrame, sensor: DataFrame, spu: DataFrame, label: DataFrame, monthly: bool = False
+    ads: DataFrame, sensor: DataFrame, spu: DataFrame, label: DataFrame, monthly: bool = False, only: DataFrame | None = None
 ) -> DataFrame:
-    """Every row of ads joined with products and sensor facts."""
+    """Every row of ads joined with products and sensor facts; ``only`` names the SKUs wanted."""
     shape, period = (MONTHLY, "Month") if monthly else (DAILY, "Date")
-    return enrich(clean_ads(ads, shape), label, drop_missing(sensor, "SKU"), normalise_index(spu), period)
+    sensor, index = drop_missing(sensor, "SKU"), normalise_index(spu)
+    if only is not None:
+        sensor, index, label = (df.join(only, "SKU", "left_semi") for df in (sensor, index, label))
+    return enrich(clean_ads(ads, shape, only=only), label, sensor, index, period)
 
 
 def folded_rows(
@@ -54,12 +57,16 @@ def folded_rows(
         sensor = sensor.where(within(F.col(period), *dates))
     chosen = None
     if spus is not None:
-        chosen = broadcast_when_small(restrict(index, "SPU", spus).select("SKU").distinct())
+        chosen = only_skus_of(index, spus)
         # the products of the chosen SKUs, all their SPUs included, suffice
         sensor, index, label = (df.join(chosen, "SKU", "left_semi") for df in (sensor, index, label))
+    merged = clean_ads(ads, shape, only=chosen)
+    # a SKU has as many rows as days and categories at most before it meets products
+    sums = [rollup.total(m).alias(m) for m in n.ADS_MEASURES]
+    summed = merged.groupBy("SKU", period, n.PT3).agg(*sums, F.count("*").cast("double").alias("ads_rows"))
     return fold_enriched(
-        clean_ads(ads, shape, only=chosen), label, sensor, index,
-        keys=("SKU", period), generation=generation, attributes=attributes, spus=spus,
+        summed, label, sensor, index,
+        keys=("SKU", period), generation=generation, attributes=attributes, spus=spus, ads_count="ads_rows",
     )
 
 
@@ -143,18 +150,26 @@ def spu_cost_matrix(
     spu: DataFrame,
     label: DataFrame,
     spus: Keys,
-    first: Day,
-    last: Day,
+    first: Day | None = None,
+    last: Day | None = None,
     bands: bool = True,
     strict: bool = False,
 ) -> DataFrame:
     """Daily cost per SKU of the chosen SPUs, with cost bands.
 
+    Without ``first`` and ``last`` the matrix spans all days of the ads table,
+    which takes one small job beforehand, as columns must be known to the plan.
     ``strict`` looks at the full joined rows, where a repeated product row or a
     repeated ads row makes a cell ambiguous.
     """
+    if first is None or last is None:
+        low, high = rollup.extremes(ads, "Date").first()
+        first, last = first or low, last or high
+        if first is None:
+            first = last = date.today()  # no ads row at all: one empty day
     if strict:
-        rows = restrict(enriched_rows(ads, sensor, spu, label), "SPU", spus)
+        chosen = only_skus_of(normalise_index(spu), spus)
+        rows = restrict(enriched_rows(ads, sensor, spu, label, only=chosen), "SPU", spus)
     else:
         rows = folded_rows(ads, sensor, spu, label, dates=(first, last), spus=spus, generation=True)
     matrix = day_matrix(rows, MATRIX_ROWS, first, last, strict=strict)

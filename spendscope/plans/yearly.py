@@ -26,7 +26,7 @@ def yearly_summary(
 ) -> DataFrame:
     """Sums and ratios per SKU over the months; SKUs without a price drop out.
 
-    ``ads`` and ``sensor`` are monthly. Rows come sorted by SPU.
+    ``ads`` and ``sensor`` are monthly. Rows come sorted by SPU, then SKU, as one SPU may hold many.
     """
     rows = folded_rows(
         ads, sensor, spu, label, monthly=True, dates=(first_month, last_month), spus=spus,
@@ -34,7 +34,7 @@ def yearly_summary(
     )
     sums = with_ratios(group_sum(rows, SUMMARY_KEYS, ALL_MEASURES), sensor_roi=n.YEAR_SENSOR_ROI)
     shown = sums.drop(n.CPC, n.CONVERSION, n.ADD_TO_CART)
-    return shown.orderBy(F.asc_nulls_last("SPU"))
+    return shown.orderBy(F.asc_nulls_last("SPU"), F.asc_nulls_last("SKU"))
 
 
 def spu_lookup(summary: DataFrame, spus: Keys) -> DataFrame:

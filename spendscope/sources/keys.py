@@ -8,10 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 Keys = Sequence[str] | DataFrame
 
-# A key frame of this many rows (two short text columns) stays in the order of
-# ten to thirty megabytes, which every executor can hold.
-BROADCAST_ROWS = 200_000
-
 
 def keys_from_text(spark: SparkSession, text: str, name: str) -> DataFrame:
     """One key per line of a typed text; empty text is one empty key."""
@@ -30,12 +26,3 @@ def restrict(df: DataFrame, column: str, keys: Keys) -> DataFrame:
         return df.join(wanted, column, "left_semi")
     return df.where(F.col(f"`{column}`").isin(*keys))
 
-
-def broadcast_when_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after counting that it is small.
-
-    The count stops at ``max_rows + 1`` rows. A larger frame is returned
-    unmarked and its join shuffles.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df

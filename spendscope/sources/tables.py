@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from spendscope import names as n, schemas as s
 
@@ -45,24 +45,35 @@ def conform(df: DataFrame, table: Table) -> DataFrame:
     job rather than turning into a silent null.
     """
     named = canonical(df, table.headers)
-    return named.select(*[F.col(f"`{c.name}`").cast(c.dataType).alias(c.name) for c in table.schema.fields])
+    return named.select(*[_number(F.col(f"`{c.name}`").cast(c.dataType), c.dataType).alias(c.name) for c in table.schema.fields])
 
 
-def read_table(spark: SparkSession, table: Table, path: str, fmt: str = "parquet") -> DataFrame:
-    """One logical table from a Parquet or CSV export, found by column name."""
-    reader = spark.read
+def _number(column: Column, kind: T.DataType) -> Column:
+    """Not-a-number is a missing value, as one such cell would spoil every sum above it."""
+    return F.nanvl(column, F.lit(None)) if isinstance(kind, (T.DoubleType, T.FloatType)) else column
+
+
+def _loader(spark: SparkSession, fmt: str, line_feeds: bool) -> DataFrameReader:
+    reader = spark.read.format(fmt)
     if fmt == "csv":
         # headers decide which column is which, so exports may order them freely
-        reader = reader.option("header", True).option("multiLine", True)
-    return conform(reader.format(fmt).load(path), table)
+        reader = reader.option("header", True).option("multiLine", line_feeds)
+    return reader
 
 
-def read_sheet(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A sheet with all its own columns, as it is."""
-    reader = spark.read
-    if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True)
-    return reader.format(fmt).load(path)
+def read_table(spark: SparkSession, table: Table, path: str, fmt: str = "parquet", line_feeds: bool = False) -> DataFrame:
+    """One logical table from a Parquet or CSV export, found by column name.
+
+    ``line_feeds`` says that cells of a CSV export hold line feeds; such a file
+    cannot be split over tasks.
+    """
+    return conform(_loader(spark, fmt, line_feeds).load(path), table)
+
+
+def read_sheet(spark: SparkSession, path: str, fmt: str = "parquet", line_feeds: bool = False) -> DataFrame:
+    """A sheet with all its own columns, as it is but for not-a-number, which is missing."""
+    df = _loader(spark, fmt, line_feeds).load(path)
+    return df.select(*[_number(F.col(f"`{c.name}`"), c.dataType).alias(c.name) for c in df.schema.fields])
 
 
 def drop_sparse_rows(df: DataFrame, missing: int = 2, present: Sequence[str] = ()) -> DataFrame:

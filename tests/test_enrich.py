@@ -95,13 +95,21 @@ def test_a_hot_key_is_one_row_in_every_join(spark):
     assert folded.select("joined_rows", "cost", "GMV").first() == (expected, 10.0 * expected, 50.0 * expected)
 
 
+def test_sensor_rows_repeat_per_product_row_only_where_they_match(spark):
+    rows = spu.enriched_rows(ads(spark, {}, {"SKU": "B"}, {"SKU": "C"}), sensor(spark, {}, {}, {"SKU": "C"}),
+                             index(spark, ("A", "s1"), ("A", "s2"), ("B", "s3"), ("B", "s4")), label(spark, {}, {}))
+    # two ads products of A times two visits times four product rows; B has no visit, C no product
+    assert sorted(records(rows.groupBy("SKU").count())) == [("A", 4 * 2 * 4), ("B", 2), ("C", 1)]
+    assert rows.columns == spu.enriched_rows(ads(spark, {}), sensor(spark, {}), index(spark), label(spark), False).columns
+
+
 def test_campaign_rows_are_sorted_and_filled(spark):
     first, second = date(2023, 6, 1), date(2023, 6, 2)
-    rows = campaign.enriched_rows(
+    rows = enrich.presented(campaign.enriched_rows(
         ads_campaign(spark, {"Date": first}, {"Date": second}, {"SKU": "B"}),
         sensor_campaign(spark, {"Date": first, "Campaign ID": 2}, {"Date": second}),
         index(spark, ("A", "s")), label(spark, {}),
-    )
+    ))
     got = [tuple(r) for r in rows.select("SKU", "Date", "SPU", "image", n.PRICE, "GMV", n.GENERATION).collect()]
     assert got == [
         ("A", second, "s", "img", 9.0, 50.0, "老品"),

@@ -116,3 +116,10 @@ def test_report_text_agrees_with_python(spark):
     assert values(spark, odd, "x double", present.percent(x)) == ["inf%", "-inf%", None]
     assert values(spark, odd, "x double", present.as_is(x)) == ["inf", "-inf", None]
     assert math.isinf(INF)
+
+
+def test_text_of_very_large_and_very_small_numbers(spark):
+    rows = [(1e26,), (1e-13,), (-2.5e30,), (1.25e-7,), (123456789.125,), (-0.0,), (1.7976931348623157e308,), (5e-324,), (1e7,), (None,)]
+    got = values(spark, rows, "x double", present.as_is(F.col("x")))
+    assert got[:7] == ["1" + "0" * 26 + ".0", "0.0000000000001", "-25" + "0" * 29 + ".0", "0.000000125", "123456789.125", "0.0", "17976931348623157" + "0" * 292 + ".0"]
+    assert float(got[7]) == 5e-324 and got[8:] == ["10000000.0", None]

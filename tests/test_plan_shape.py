@@ -3,6 +3,7 @@
 import contextlib
 import io
 import re
+from datetime import date
 
 import pytest
 
@@ -100,4 +101,73 @@ def test_large_tables_never_meet_in_one_task_or_in_python(spark, name):
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|Python|ArrowEval", text)
     # windows run over product tables or per-day counts only, never over facts
     for window in re.findall(r"\) Window\n.*?(?=\n\n)", text, re.S):
-        assert re.search(r"_copies|day_rows", window), window
+        assert re.search(r"_copies|spu_rows|label_rows", window), window
+
+
+def final_plan(df):
+    """The plan as it ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "0", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.shuffle.partitions": "8",
+}
+
+
+@pytest.fixture
+def low_thresholds(spark):
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    for k, v in SKEW.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hot(spark, make, **more):
+    """Half of the rows in one SKU, over many countries."""
+    rows = [{"SKU": "HOT" if i % 2 else f"S{i}", "Country": f"c{i}", "Date": date(2023, 6, 1 + i % 7), **{k: f"{v}{i}" for k, v in more.items()}} for i in range(3000)]
+    return make(spark, *rows)
+
+
+def test_hot_sku_of_the_full_rows_is_split(spark, low_thresholds):
+    tables = hot(spark, ads), sensor(spark, {"SKU": "HOT"}), index(spark, *[(f"S{i}", "s") for i in range(200)], ("HOT", "s")), label(spark, {})
+    assert "skew=true" in final_plan(spu.enriched_rows(*tables))
+
+
+def test_hot_sku_of_the_campaign_rows_is_split(spark, low_thresholds):
+    tables = hot(spark, ads_campaign, Campaign="c"), sensor_campaign(spark, {"SKU": "HOT"}), index(spark, *[(f"S{i}", "s") for i in range(200)], ("HOT", "s")), label(spark, {})
+    assert "skew=true" in final_plan(campaign.enriched_rows(*tables))
+
+
+def test_folded_sku_has_a_row_per_day_and_category_before_it_meets_products(spark):
+    tables = hot(spark, ads), sensor(spark, {"SKU": "HOT"}), index(spark, ("HOT", "s")), label(spark, {})
+    assert spu.folded_rows(*tables).where("SKU = 'HOT'").count() == 7
+
+
+def test_series_scan_the_ads_once(stored):
+    df = campaign.campaign_series(stored["ads_campaign"], stored["sensor_campaign"], stored["index"], stored["label"], *WEEK)
+    text = final_plan(df)
+    assert len(re.findall(r"FileScan parquet.*ads_campaign", text)) == 1 and "ReusedExchange" in text
+
+
+@pytest.mark.parametrize("build", [
+    lambda t: spu.spu_skus(t["ads"], t["sensor"], t["index"], t["label"], ["s"], *WEEK), lambda t: spu.day_detail(t["ads"], t["sensor"], t["index"], t["label"], t["index"].select("SPU")),
+    lambda t: campaign.campaign_series(t["ads_campaign"], t["sensor_campaign"], t["index"], t["label"], *WEEK),
+])
+def test_no_job_runs_while_a_report_is_planned(spark, stored, build):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    build(stored)
+    jobs = tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("", "")
+    assert not jobs
+
+
+def test_two_tables_of_visits_and_products_meet_ads_once(stored):
+    text = plan(spu.enriched_rows(stored["ads"], stored["sensor"], stored["index"], stored["label"]))
+    assert len([s for s in scans(text) if "/label" in s]) == 1 and len([s for s in scans(text) if "/index" in s]) == 1

@@ -20,7 +20,9 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL) == set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    # the training-data operators may be absent, and not all of them can be told in SQL
+    assert set(QUERIES) <= set(entry_point.queries()) and set(SQL) <= set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -245,49 +245,53 @@ PRODUCT = [f"`{c}`" for c in series.PRODUCT]
 
 
 def brute_force_series(tables):
-    """Lists from the full joined rows, built row by row."""
+    """Lists per product and day from the full joined rows, built row by row; totals per product."""
     points, totals = {}, {}
     for r in campaign.enriched_rows(*tables).collect():
         product = tuple(r[c] for c in series.PRODUCT)
         cpc = r["cost"] / r["clicks"] if r["clicks"] else 0.0
-        point = points.setdefault(product, {}).setdefault((r["Date"].isoformat(), cpc), [0.0] * len(series.POINT_MEASURES))
+        point = points.setdefault((product, r["Date"]), {}).setdefault(cpc, [0.0] * len(series.POINT_MEASURES))
         for i, measure in enumerate(series.POINT_MEASURES):
             point[i] += r[measure]
         sums = totals.setdefault(product, [0.0, 0.0])
         sums[0] += r["GMV"]
         sums[1] += r["cost"]
     return {
-        product: ([[k[1] for k in sorted(rows)], [k[0] for k in sorted(rows)],
-                   *[[rows[k][i] for k in sorted(rows)] for i in range(len(series.POINT_MEASURES))]], totals[product])
-        for product, rows in points.items()
+        (product, day): ([sorted(rows), *[[rows[k][i] for k in sorted(rows)] for i in range(len(series.POINT_MEASURES))]], totals[product])
+        for (product, day), rows in points.items()
     }
 
 
-@pytest.mark.parametrize("page_points", [100_000, 20, 2])
-def test_series_pages_join_to_the_whole_lists(spark, page_points):
+def series_rows(tables):
+    return {
+        (tuple(r[c] for c in series.PRODUCT), r["Date"]): ([r[c] for c in series.SERIES], [r["gmv_sum"], r["cost_sum"]])
+        for r in campaign.campaign_series(*tables, DAY, LAST).collect()
+    }
+
+
+def test_series_equal_brute_force(spark):
+    tables = series_tables(spark)
+    assert series_rows(tables) == brute_force_series(tables)
+
+
+def test_rows_added_to_one_sku_change_no_other_row_and_no_grain(spark):
     tables = series_tables(spark)
-    rows = campaign.campaign_series(*tables, DAY, LAST, page_points=page_points).collect()
-    got = {}
-    for r in sorted(rows, key=lambda r: r["page"]):
-        lists, sums = got.setdefault(tuple(r[c] for c in series.PRODUCT), ([[] for _ in series.SERIES], [0.0, 0.0]))
-        for whole, name in zip(lists, series.SERIES):
-            whole.extend(r[name])
-        sums[0] += r["gmv_sum"]
-        sums[1] += r["cost_sum"]
-    expected = brute_force_series(tables)
-    assert got == expected
-    assert (len(rows) > len(expected)) == (page_points < 100_000)
+    more = ads_campaign(spark, *[{"SKU": "A", "Campaign": f"x{i}", "Date": DAY, "cost": float(i), "clicks": 1.0} for i in range(300)])
+    before, after = series_rows(tables), series_rows((tables[0].unionByName(more), *tables[1:]))
+    keys = lambda rows: {(p[0], day) for p, day in rows}
+    assert keys(after) - keys(before) <= {("A", DAY)}
+    assert all(after[k] == v for k, v in before.items() if k[0][0] != "A")
 
 
 def test_series_totals_and_points(spark):
     tables = series_tables(spark)
     rows = campaign.campaign_series(*tables, DAY, LAST)
-    for r in rows.collect():
-        assert r["cost_sum"] == sum(r["cost"]) and r["gmv_sum"] == sum(r["GMV"])
     totals = series.product_totals(campaign.folded_rows(*tables, DAY, LAST))
-    assert records(totals) == records(rows, *series.PRODUCT, "cost_sum", "gmv_sum")
+    assert records(totals) == records(rows.select(*PRODUCT, "cost_sum", "gmv_sum").distinct())
     points = campaign.campaign_points(*tables, DAY, LAST)
-    assert points.count() == sum(len(r["Date"]) for r in rows.collect())
+    assert points.count() == sum(len(r["cost"]) for r in rows.collect())
+    assert {(r["SKU"], r["points"]) for r in points.groupBy("SKU", *PRODUCT[1:]).count().withColumnRenamed("count", "points").collect()} == {
+        (r["SKU"], r["points"]) for r in rows.collect()}
 
 
 def test_series_of_chosen_campaigns(spark):
@@ -299,13 +303,22 @@ def test_series_of_chosen_campaigns(spark):
     assert records(campaign.campaigns_in_range(tables[0], "2020-01-01", "2020-01-02")) == []
 
 
-def test_bands_of_a_day_keep_the_order(spark):
-    values = sorted([-3.0, 0.0, 1e-9, 0.01, 0.3, 0.30000000000000004, 1.0, 2.5, 99.0, 1e6])
-    df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = [r[0] for r in df.select(series._band(F.col("x"), F.lit(1000))).collect()]
-    assert got == sorted(got) and len(set(got)) > 5
-
-
 def test_register(spark):
     df = spark.createDataFrame([("s", "img"), (None, "img")], f"SPU string, `{n.IMAGE}` string")
     assert records(register.registered_spus(df)) == [("s", "img")]
+
+
+def test_campaigns_dearest_first(spark):
+    rows = [{"SKU": f"S{i}", "cost": float(c)} for i, c in enumerate([3, 9, 1, 7])]
+    tables = (ads(spark, *[{**r, "Month": DAY} for r in rows], monthly=True), sensor(spark, monthly=True),
+              index(spark, *[(f"S{i}", "s") for i in range(4)]), label(spark, *[{"SKU": f"S{i}"} for i in range(4)]))
+    summary = yearly.yearly_summary(*tables)
+    assert [r["SKU"] for r in summary.collect()] == ["S0", "S1", "S2", "S3"]
+    assert [r["SKU"] for r in yearly.spu_lookup(summary, ["s"]).collect()] == ["S1", "S3", "S0", "S2"]
+
+
+def test_matrix_without_a_range_spans_all_days(spark):
+    last = DAY + timedelta(days=4)
+    tables = ads(spark, {}, {"Date": last}), sensor(spark), index(spark, ("A", "s")), label(spark, {})
+    whole, ranged = spu.spu_cost_matrix(*tables, ["s"]), spu.spu_cost_matrix(*tables, ["s"], DAY, last)
+    assert whole.columns == ranged.columns and records(whole) == records(ranged)

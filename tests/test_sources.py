@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from data import DAY, ads, records, sensor
 from spendscope import names as n
@@ -20,8 +21,25 @@ def test_csv_export_in_any_column_order(spark, tmp_path):
 def test_csv_cells_may_hold_line_feeds(spark, tmp_path):
     path = tmp_path / "index.csv"
     path.write_text('SKU,SPU\n"a\nb",s\n', encoding="utf-8")
-    assert records(t.read_table(spark, t.SPU_INDEX, str(path), "csv")) == [("a\nb", "s")]
-    assert records(t.read_sheet(spark, str(path), "csv")) == [("a\nb", "s")]
+    assert records(t.read_table(spark, t.SPU_INDEX, str(path), "csv", line_feeds=True)) == [("a\nb", "s")]
+    assert records(t.read_sheet(spark, str(path), "csv", line_feeds=True)) == [("a\nb", "s")]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_not_a_number_is_missing(spark, tmp_path, fmt):
+    path = str(tmp_path / "ads")
+    t.write_result(ads(spark, {"cost": float("nan"), "click": 0.0}, {"cost": 2.0}, {"SKU": "B", "cost": float("nan")}), path, fmt)
+    df = t.read_table(spark, t.ADS_DAILY, path, fmt)
+    sums = rollup.group_sum(df, ["SKU"], n.ADS_MEASURES)
+    assert records(sums, "SKU", "cost", "click") == [("A", 2.0, 5.0), ("B", 0.0, 5.0)]
+    assert records(rollup.grand_total(df, ["cost"])) == [(2.0,)]
+    shown = rollup.grand_total(df.where("cost is null and click = 0"), n.ADS_MEASURES)
+    from spendscope.functions.ratios import protected_ratio, raw_ratio
+
+    assert records(shown.select(protected_ratio(F.col("ads value"), F.col("cost")), raw_ratio(F.col("cost"), F.col("click")))) == [(0.0, None)]
+    sheet = t.read_sheet(spark, path, fmt)
+    if fmt == "parquet":
+        assert sorted(r[0] or 0.0 for r in sheet.select("cost").collect()) == [0.0, 0.0, 2.0]
 
 
 def test_malformed_dates_fail(spark, tmp_path):

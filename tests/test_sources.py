@@ -81,21 +81,6 @@ def test_key_lists(spark, tmp_path):
     assert records(keys.restrict(facts, "SKU", ["A"]), "SKU") == [("A",)]
 
 
-def test_broadcast_only_after_a_count(spark):
-    df = spark.range(10)
-
-    def hinted(frame):
-        return "BroadcastHashJoin" in spark.range(10**6).join(frame, "id")._jdf.queryExecution().executedPlan().toString()
-
-    previous = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert hinted(keys.broadcast_when_small(df, 10))
-        assert not hinted(keys.broadcast_when_small(df, 9))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", previous)
-
-
 def test_small_aggregates(spark):
     facts = ads(spark, {"cost": 3.0}, {"cost": 7.0, "Date": date(2023, 6, 9)}, {"cost": None})
     assert records(rollup.extremes(facts, "Date")) == [(DAY, date(2023, 6, 9))]

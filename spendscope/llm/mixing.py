@@ -33,6 +33,8 @@ from spendscope.llm.common import stored
 
 _BINS = 4096
 WINDOW = 24
+#: Into how many parts the documents of a source are dealt to meet its row, so that no source goes to one task.
+SALTS = 64
 _NEWTON = 60
 _CLOSE = 1e-9
 
@@ -75,6 +77,16 @@ def tilts(sources: DataFrame) -> DataFrame:
     return sources.withColumn("tilt", F.when((F.col("source_size") > 0) & (F.col("target") > 0), newton).otherwise(F.lit(0.0)))
 
 
+def _meet(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Documents with the columns of their source; both are dealt by source and part."""
+    parts = sources.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("part", _part(F.col("place"))).join(parts, ["sid", "part"]).drop("part")
+
+
+def _part(place: Column) -> Column:
+    return place.bitwiseAND(SALTS - 1).cast("int")
+
+
 def _border(hist: DataFrame, keys: list[str], bin_col: str) -> DataFrame:
     """Of each group's ordered bins that in which the summed words reach `need`; `need` becomes what is left inside it."""
     upto = F.sum("words").over(Window.partitionBy(*keys).orderBy(bin_col))
@@ -90,9 +102,9 @@ def _thresholds(rows: DataFrame, sources: DataFrame) -> DataFrame:
     rows = rows.filter("size > 0")
     one = rows.groupBy("sid", first.alias("one")).agg(words).join(sources.select("sid", "need"), "sid")
     one = _border(one, ["sid"], "one").drop("words")
-    two = rows.join(one, "sid").filter(first == F.col("one")).groupBy("sid", "one", "need", second.alias("two")).agg(words)
+    two = _meet(rows, one).filter(first == F.col("one")).groupBy("sid", "one", "need", second.alias("two")).agg(words)
     two = _border(two, ["sid"], "two").drop("words")
-    last = rows.join(two, "sid").filter((first == F.col("one")) & (second == F.col("two"))).groupBy("sid", "need", "place").agg(words)
+    last = _meet(rows, two).filter((first == F.col("one")) & (second == F.col("two"))).groupBy("sid", "need", "place").agg(words)
     last = _border(last, ["sid"], "place")
     return last.select("sid", F.col("place").alias("border"))
 
@@ -106,7 +118,7 @@ def _filled(rows: DataFrame, sources: DataFrame) -> DataFrame:
     border = _thresholds(rows, sources).join(sources.select("sid", "need", "n_docs"), "sid")
     reach = F.expr(f"{WINDOW // 2 * (1 << 48)} div n_docs")
     border = border.select("sid", "need", (F.col("border") - reach).alias("low"), (F.col("border") + reach + 1).alias("high"))
-    near = rows.join(border, "sid").filter("place < high")
+    near = _meet(rows, border).filter("place < high")
     below = near.groupBy("sid").agg(F.sum(F.when(F.col("place") < F.col("low"), F.col("size")).otherwise(0)).alias("before"))
     inside = near.filter("place >= low").groupBy("sid", "place").agg(F.sum("size").alias("words"))
     inside = inside.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("less"), "place"))).alias("window"))
@@ -153,7 +165,7 @@ def mixed(
     doc_id = F.col(f"`{id_col}`")
     rows = docs.select(
         doc_id.alias("doc_id"), _sid(F.col(f"`{source_col}`").cast("string")).alias("sid"), size_of(F.col(f"`{text_col}`")).alias("size"), place_of(doc_id).alias("place"))
-    both = rows.join(sources, "sid").withColumn("copies", copies_of(F.col("place")))
+    both = _meet(rows, sources).withColumn("copies", copies_of(F.col("place")))
     return both.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -161,5 +173,7 @@ def repeated(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: float =
     """The mix itself: every document as often as its copies say, with all its columns."""
     sources = plan(docs, cycle, most).select(*(F.col(c).alias(f"__{c}") for c in ("sid", "base", "low", "high", "chosen")))
     copies = copies_of(place_of(docs["doc_id"]), "__").cast("int")
-    both = docs.join(sources, _sid(docs["source"].cast("string")) == F.col("__sid")).withColumn("__copies", copies).filter("__copies > 0")
+    parts = sources.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (_sid(docs["source"].cast("string")) == F.col("__sid")) & (_part(place_of(docs["doc_id"])) == F.col("__part"))
+    both = docs.join(parts, same).withColumn("__copies", copies).filter("__copies > 0")
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -259,6 +259,8 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti")
+    if twice.isEmpty():  # the texts need not move once more
+        return left.select(*(F.col(f"`{c}`") for c in docs.columns))
     single = left.join(twice, "doc_id", "left_anti")
     repeated = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -206,17 +206,19 @@ def _nystrom(vocabulary: list[bytes], letters: np.ndarray, bounds: np.ndarray, m
     order = np.argsort(code, kind="stable")
     code, mark, value = code[order], unit[order], value[order]
     begin = np.searchsorted(code, np.arange(_CODES + 1))
-    kernel = np.zeros(len(vocabulary) * len(marks))
+    kernel = np.zeros(len(vocabulary) * len(marks), np.float32)
     for u, c, w in subsequences(letters, bounds):
         count = begin[c + 1] - begin[c]
         hit = np.flatnonzero(count)
         at = np.repeat(begin[c[hit]] - np.r_[0, np.cumsum(count[hit])[:-1]], count[hit]) + np.arange(count[hit].sum())
         np.add.at(kernel, np.repeat(u[hit], count[hit]) * len(marks) + mark[at], value[at] * w)
-    kernel = kernel.reshape(len(vocabulary), len(marks)) / lengths_norm(np.diff(bounds))[:, None]
-    values, vectors = np.linalg.eigh((kernel[marks] + kernel[marks].T) / 2)
-    keep = values > 1e-6 * values.max()
+    kernel = kernel.reshape(len(vocabulary), len(marks))
+    kernel /= lengths_norm(np.diff(bounds))[:, None].astype(np.float32)
+    own = kernel[marks].astype(float)
+    values, vectors = np.linalg.eigh((own + own.T) / 2)
+    keep = values > 1e-5 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    return code, mark, value, root, kernel @ root
+    return code, mark, value, root, kernel @ root.astype(np.float32)
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:

@@ -14,6 +14,12 @@ remaining bin, so no source is ever sorted or gathered whole. Some WINDOW
 documents around the border then fill what is left of the target, the largest
 that still fits first, so a source misses its target by a few words.
 
+A long document at the border can leave the window far from the target. A source
+that misses its target by more than the share MISS goes on behind its window:
+places whose words fit in what is left are kept, a new border is found among
+them in the same way, and so on until the miss is within MISS or no place
+behind fits. Rounds have no limit; each begins behind the one before.
+
 Targets: weights 1, 2, 3, repeating, over the sources in code-point order (null
 last) share all words; a target stops at `most` times its source's size, and the
 excess is shared by weight among the others, in closed form: sources ordered by
@@ -26,6 +32,8 @@ doc_id has a place of its own; an empty table gives no rows; other columns stay.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +43,9 @@ _BINS = 4096
 WINDOW = 24
 #: Into how many parts the documents of a source are dealt to meet its row, so that no source goes to one task.
 SALTS = 64
+#: The share of its target by which a source may miss it while documents that fit are left behind its window.
+MISS = 0.01
+_PLACES = 1 << 48
 _NEWTON = 60
 _CLOSE = 1e-9
 
@@ -109,25 +120,55 @@ def _thresholds(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return last.select("sid", F.col("place").alias("border"))
 
 
+def _fill(rows: DataFrame, border: DataFrame) -> DataFrame:
+    """(sid, need, low, high) -> (sid, low, high, chosen, left): all places below `low` and the chosen ones from there below `high` leave `left` of `need`."""
+    near = _meet(rows, border).filter("place < high")
+    below = near.groupBy("sid").agg(F.sum(F.when(F.col("place") < F.col("low"), F.col("size")).otherwise(0)).alias("before"))
+    inside = near.filter("place >= low").groupBy("sid", "place").agg(F.sum("size").alias("words"))
+    inside = inside.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("less"), "place"))).alias("window"))
+    start = F.struct((F.col("need") - F.col("before")).alias("left"), F.array().cast("array<bigint>").alias("chosen"))
+    fill = F.aggregate(
+        F.coalesce("window", F.array().cast("array<struct<less:bigint,place:bigint>>")), start,
+        lambda a, x: F.when(-x["less"] <= a["left"], F.struct((a["left"] + x["less"]).alias("left"), F.concat(a["chosen"], F.array(x["place"])).alias("chosen"))).otherwise(a))
+    both = border.join(below, "sid").join(inside, "sid", "left").withColumn("fill", fill)
+    return both.select("sid", "low", "high", F.col("fill.chosen").alias("chosen"), F.col("fill.left").alias("left"))
+
+
 def _filled(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """(sid, low, high, chosen): places below `low` get one copy more, and of those from there below `high` the chosen ones.
+    """(sid, low, high, chosen, left): places below `low` get one copy more, and of those from there below `high` the chosen ones.
 
     The window around the border holds WINDOW places on average, whatever the source's size, as places are hashes.
     """
     rows = rows.filter("size > 0")
     border = _thresholds(rows, sources).join(sources.select("sid", "need", "n_docs"), "sid")
-    reach = F.expr(f"{WINDOW // 2 * (1 << 48)} div n_docs")
+    reach = F.expr(f"{WINDOW // 2 * _PLACES} div n_docs")
     border = border.select("sid", "need", (F.col("border") - reach).alias("low"), (F.col("border") + reach + 1).alias("high"))
-    near = _meet(rows, border).filter("place < high")
-    below = near.groupBy("sid").agg(F.sum(F.when(F.col("place") < F.col("low"), F.col("size")).otherwise(0)).alias("before"))
-    inside = near.filter("place >= low").groupBy("sid", "place").agg(F.sum("size").alias("words"))
-    inside = inside.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("less"), "place"))).alias("window"))
-    start = F.struct((F.col("need") - F.col("before")).alias("left"), F.array().cast("array<bigint>").alias("chosen"))
-    fill = F.aggregate(
-        "window", start,
-        lambda a, x: F.when(-x["less"] <= a["left"], F.struct((a["left"] + x["less"]).alias("left"), F.concat(a["chosen"], F.array(x["place"])).alias("chosen"))).otherwise(a),
-        lambda a: a["chosen"])
-    return border.join(below, "sid").join(inside, "sid").select("sid", "low", "high", fill.alias("chosen"))
+    return _fill(rows, border)
+
+
+def _behind(rows: DataFrame, filled: DataFrame) -> DataFrame | None:
+    """(sid, place) of the places behind the windows that get one copy more; None where there are none.
+
+    `filled` has (sid, high, left, allowed); a round's table of fitting places is what the next one reads.
+    """
+    more, places = [], rows.filter("size > 0")
+    state = stored(filled.filter("left > allowed").select("sid", "left", "high", "allowed"), "open")
+    while not state.isEmpty():
+        fits = _meet(places, state).filter("place >= high").groupBy("sid", "place", "left").agg(F.sum("size").alias("size")).filter("size <= left")
+        places = stored(fits.select("sid", "place", "size"), "fits")
+        n = places.groupBy("sid").agg(F.count("*").alias("n"))
+        border = state.join(n, "sid").join(_thresholds(places, state.withColumn("need", F.col("left"))), "sid", "left")
+        reach = F.expr(f"({_PLACES} - high) * {WINDOW // 2} div n")
+        # where all that fit do not reach what is left, all are taken
+        low = F.coalesce(F.greatest(F.col("border") - reach, F.col("high")), F.lit(_PLACES))
+        border = stored(border.select("sid", F.col("left").alias("need"), low.alias("low"), F.coalesce(F.col("border") + reach + 1, F.lit(_PLACES)).alias("high")), "border")
+        if border.isEmpty():
+            break
+        done = stored(_fill(places, border), "round")
+        taken = (F.col("place") < F.col("low")) | F.array_contains("chosen", F.col("place"))
+        more.append(stored(_meet(places, done.drop("left")).filter(taken).select("sid", "place"), "more"))
+        state = stored(done.select("sid", "left", "high").join(state.select("sid", "allowed"), "sid").filter("left > allowed"), "open")
+    return reduce(DataFrame.unionByName, more) if more else None
 
 
 def _sid(source: Column) -> Column:
@@ -136,8 +177,8 @@ def _sid(source: Column) -> Column:
 
 def plan(
     docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-) -> DataFrame:
-    """(sid, source, source_size, weight, target, tilt, rate, base, low, high, chosen), one row per source."""
+) -> tuple[DataFrame, DataFrame | None]:
+    """(sid, source, source_size, weight, target, tilt, rate, base, low, high, chosen), one row per source; places behind the windows, if any."""
     source = F.col(f"`{source_col}`").cast("string")
     rows = stored(docs.select(
         source.alias("source"), _sid(source).alias("sid"), size_of(F.col(f"`{text_col}`")).alias("size"), place_of(F.col(f"`{id_col}`")).alias("place")), "sizes")
@@ -147,13 +188,15 @@ def plan(
     sources = sources.withColumn("base", F.floor(F.col("rate") + _CLOSE)).withColumn("need", F.col("target") - F.col("base") * F.col("source_size"))
     sources = stored(sources, "sources")
     filled = _filled(rows, sources.filter(F.col("need") > _CLOSE * (F.col("target") + 1)))
-    return stored(sources.join(filled, "sid", "left").drop("need"), "mix")
+    mix = stored(sources.join(filled, "sid", "left").drop("need"), "mix")
+    return mix.drop("left"), _behind(rows, mix.withColumn("allowed", F.lit(MISS) * F.col("target")))
 
 
-def copies_of(place: Column, prefix: str = "") -> Column:
-    """Copies of a document from its place and the columns of its source's plan."""
+def copies_of(place: Column, prefix: str = "", behind: Column | None = None) -> Column:
+    """Copies of a document from its place, the columns of its source's plan and whether it is among the places behind the window."""
     low, high, chosen, base = (F.col(prefix + c) for c in ("low", "high", "chosen", "base"))
     more = (place < low) | ((place < high) & F.array_contains(chosen, place))
+    more = more if behind is None else F.coalesce(more, F.lit(False)) | behind
     return (base + F.when(more, 1).otherwise(0)).cast("long")
 
 
@@ -161,19 +204,27 @@ def mixed(
     docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """(doc_id, size, source_size, target, rate, copies, taken), one row per document row."""
-    sources = plan(docs, cycle, most, id_col, text_col, source_col)
+    sources, more = plan(docs, cycle, most, id_col, text_col, source_col)
     doc_id = F.col(f"`{id_col}`")
     rows = docs.select(
         doc_id.alias("doc_id"), _sid(F.col(f"`{source_col}`").cast("string")).alias("sid"), size_of(F.col(f"`{text_col}`")).alias("size"), place_of(doc_id).alias("place"))
-    both = _meet(rows, sources).withColumn("copies", copies_of(F.col("place")))
+    both, behind = _meet(rows, sources), None
+    if more is not None:
+        both, behind = both.join(more.withColumn("behind", F.lit(True)), ["sid", "place"], "left"), F.col("behind").isNotNull()
+    both = both.withColumn("copies", copies_of(F.col("place"), behind=behind))
     return both.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeated(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """The mix itself: every document as often as its copies say, with all its columns."""
-    sources = plan(docs, cycle, most).select(*(F.col(c).alias(f"__{c}") for c in ("sid", "base", "low", "high", "chosen")))
-    copies = copies_of(place_of(docs["doc_id"]), "__").cast("int")
+    sources, more = plan(docs, cycle, most)
+    sources = sources.select(*(F.col(c).alias(f"__{c}") for c in ("sid", "base", "low", "high", "chosen")))
     parts = sources.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     same = (_sid(docs["source"].cast("string")) == F.col("__sid")) & (_part(place_of(docs["doc_id"])) == F.col("__part"))
-    both = docs.join(parts, same).withColumn("__copies", copies).filter("__copies > 0")
+    both, behind = docs.join(parts, same), None
+    if more is not None:
+        more = more.select(F.col("sid").alias("__more"), F.col("place").alias("__place"))
+        both = both.join(more, (F.col("__sid") == F.col("__more")) & (place_of(docs["doc_id"]) == F.col("__place")), "left")
+        behind = F.col("__more").isNotNull()
+    both = both.withColumn("__copies", copies_of(place_of(docs["doc_id"]), "__", behind).cast("int")).filter("__copies > 0")
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

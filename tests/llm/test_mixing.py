@@ -1,4 +1,6 @@
+import hashlib
 import re
+from collections import Counter
 
 import pytest
 
@@ -75,3 +77,25 @@ def test_messy_rows(messy, empty):
 def test_words_of_other_white_space(make):
     rows = mixing.mixed(make([(1, "a b c\x1cd\te\x0bf", "", "s", 0)])).collect()
     assert rows[0].size == 4
+
+
+def test_long_text_at_the_border(spark, make):
+    """1,000 texts of ten words and one of 5,000 that lies where the need ends; the rest of the need is behind the window."""
+    place = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) / 2**48
+    long_of = {s: next(i for i in range(10**6, 2 * 10**6) if abs(place(i) - at) < 1e-3) for s, at in (("a", 0.6), ("b", 0.3))}
+    rows = [(1000 * k + i, "w " * 10, "en", s, 20) for k, s in enumerate("ab") for i in range(1000)]
+    rows += [(i, "w " * 5000, "en", s, 10000) for s, i in long_of.items()]
+    # rows that repeat an id lie in one place and are taken or left together
+    again = [i for i in range(1000, 2000) if place(i) > 0.35][:20]
+    rows += [(i, "w " * 10, "en", "b", 20) for i in again]
+    docs = make(rows)
+    source = {i: s for i, _, _, s, _ in rows}
+    got, taken, target = mixing.mixed(docs).collect(), {"a": 0, "b": 0}, {}
+    for r in got:
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert all(0 <= target[s] - taken[s] <= mixing.MISS * target[s] for s in "ab"), (taken, target)
+    copies = {(r.doc_id, r.copies) for r in got}
+    assert len(copies) == len(source)
+    n = Counter(i for i, *_ in rows)
+    assert Counter(r.doc_id for r in mixing.repeated(docs).collect()) == Counter({i: c * n[i] for i, c in copies if c})

@@ -3,9 +3,12 @@
 Features of a URL: lengths of its parts, depth, labels, digit ratio and longest
 digit run, character entropy, parameter counts, hyphens, escapes, vowel share,
 and how often labelled URLs with the same suffix (last one, two and three labels
-of the host) are bad. Suffix counts run over all labelled URLs in SUFFIXES
-hashed cells, so the table that tasks get has one size; the trees are fitted
-on about SAMPLE_ROWS URLs of each label, those first by hash.
+of the host) are bad. Suffixes are counted exactly over all labelled URLs, and
+their rates are joined to the distinct hosts of the pages, so no task holds a
+table of them; the trees are fitted on about SAMPLE_ROWS URLs of each label,
+those first by hash. URLs are dealt into two halves by hash, and one of the
+sample gets the rates of the other half, else the only URL of a host would
+tell its own label and the trees would learn nothing about unseen hosts.
 
 Rules are a short list given as a parameter; a rule `host/path` fits its host
 and all subdomains if the path starts with the rule's; the longest wins.
@@ -26,9 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendscope.llm import boosting
-from spendscope.llm.common import mapped, per_row, sampled, utf8
+from spendscope.llm.common import mapped, per_row, sampled, stored, utf8
 
-SUFFIXES = 1 << 15
 SAMPLE_ROWS = 10_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,8 +54,9 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Col
     return rule, verdict
 
 
-def _suffix_cells(host: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.substring_index(host, ".", -k), F.lit(k)), F.lit(SUFFIXES)).cast("int").alias(f"s{k}") for k in (1, 2, 3)]
+def _suffixes(host: Column) -> Column:
+    """(k, suffix): the last one, two and three labels."""
+    return F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.substring_index(host, ".", -k).alias("suffix")) for k in (1, 2, 3))))
 
 
 def _mask(chars: str) -> np.ndarray:
@@ -86,7 +89,7 @@ def _longest_run(hit: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def features(url: pa.Array, host: pa.Array, path: pa.Array, suffixes: np.ndarray, rates: np.ndarray) -> np.ndarray:
-    """(rows, features)."""
+    """(rows, features); the last three are the rates that `suffixes` (rows, 3) points to."""
     columns = []
     for name, part in (("url", url), ("host", host), ("path", path)):
         raw, offsets = utf8(part)
@@ -106,53 +109,73 @@ def features(url: pa.Array, host: pa.Array, path: pa.Array, suffixes: np.ndarray
 @dataclass
 class Model:
     trees: boosting.Trees
-    rates: np.ndarray
+    counts: DataFrame  # (k, suffix, bad0, n0, bad1, n1), one row per suffix, by half
+    overall: float
 
-    def score(self, *columns) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.trees.logits(features(*columns, self.rates))))
 
+def _rated(rows: DataFrame, counts: DataFrame, overall: float, own: str | None = None) -> DataFrame:
+    """Rows with a host -> with r1, r2, r3: the rates of its suffixes, of both halves or of that which `own` is not."""
+    hosts = rows.select("host").distinct().select("host", _suffixes(F.col("host")).alias("s")).select("host", "s.k", "s.suffix")
+    found = hosts.join(counts, ["k", "suffix"], "left")
+    names = ("bad0", "n0", "bad1", "n1")
+    wide = found.groupBy("host").agg(*(F.coalesce(F.max(F.when(F.col("k") == k, F.col(c))), F.lit(0)).alias(f"{c}_{k}") for k in (1, 2, 3) for c in names))
 
-def _columns(batch: pa.RecordBatch) -> tuple:
-    return (*(batch.column(c) for c in ("text", "host", "path")), np.stack([batch.column(f"s{k}").to_numpy() for k in (1, 2, 3)], 1))
+    def rate(k: int) -> Column:
+        bad0, n0, bad1, n1 = (F.col(f"{c}_{k}") for c in names)
+        if own is None:
+            bad, n = bad0 + bad1, n0 + n1
+        else:
+            bad, n = F.when(F.col(own) == 0, bad1).otherwise(bad0), F.when(F.col(own) == 0, n1).otherwise(n0)
+        return ((bad + F.lit(4 * overall)) / (n + 4)).alias(f"r{k}")
+
+    return rows.join(wide, "host", "left").select(*rows.columns, *(rate(k) for k in (1, 2, 3)))
+
+
+def _features(url: pa.Array, host: pa.Array, path: pa.Array, rates: np.ndarray) -> np.ndarray:
+    return features(url, host, path, np.arange(rates.size).reshape(rates.shape), rates.ravel())
 
 
 def _prepared(df: DataFrame, url_col: str, *more: Column) -> DataFrame:
     url = F.col(f"`{url_col}`").cast("string")
     host, path = parts(F.coalesce(url, F.lit("")))
-    return df.select(url.alias("text"), host.alias("host"), path.alias("path"), *_suffix_cells(host), *more)
+    return df.select(url.alias("text"), host.alias("host"), path.alias("path"), *more)
 
 
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label") -> Model:
     """A model of labelled URLs (label 1: block)."""
     rows = _prepared(labelled, url_col, F.col(f"`{label_col}`").cast("int").alias("y")).filter("y in (0, 1) and text is not null")
-    cells = rows.select("y", F.explode(F.array("s1", "s2", "s3")).alias("cell")).groupBy("cell").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
-    bad, n = np.zeros(SUFFIXES), np.zeros(SUFFIXES)
-    for r in cells.collect():  # SUFFIXES rows at most
-        bad[r.cell], n[r.cell] = r.bad, r.n
-    overall = bad.sum() / max(n.sum(), 1)
-    rates = (bad + 4 * overall) / (n + 4)
+    rows = rows.withColumn("half", F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(2)).cast("int"))
+    by_half = [f(F.when(F.col("half") == h, v)).alias(f"{c}{h}") for h in (0, 1) for c, f, v in (("bad", F.sum, F.col("y").cast("long")), ("n", F.count, F.lit(1)))]
+    hosts = rows.groupBy("host").agg(*by_half).select("*", _suffixes(F.col("host")).alias("s"))
+    counts = stored(hosts.groupBy("s.k", "s.suffix").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bad0", "n0", "bad1", "n1"))), "suffixes")
+    total = counts.filter("k = 1").agg(F.sum(F.col("bad0") + F.col("bad1")).alias("bad"), F.sum(F.col("n0") + F.col("n1")).alias("n")).first()
+    overall = (total.bad or 0) / max(total.n or 0, 1)
     sample = []
     for label in (0, 1):
-        sample += sorted(sampled(rows.filter(F.col("y") == label), SAMPLE_ROWS, "text").collect(), key=lambda r: r.text)
+        # stored, so that a limit among its rows is the same wherever they are read
+        chosen = stored(sampled(rows.filter(F.col("y") == label), SAMPLE_ROWS, "text"), "sample")
+        sample += sorted(_rated(chosen, counts, overall, "half").collect(), key=lambda r: r.text)
     if not sample:
-        return Model(boosting.fit(np.zeros((0, 1)), np.zeros(0)), rates)
-    x = features(*(pa.array([r[c] for r in sample], pa.string()) for c in ("text", "host", "path")), np.array([[r.s1, r.s2, r.s3] for r in sample]), rates)
+        return Model(boosting.fit(np.zeros((0, 1)), np.zeros(0)), counts, overall)
+    x = _features(*(pa.array([r[c] for r in sample], pa.string()) for c in ("text", "host", "path")), np.array([[r.r1, r.r2, r.r3] for r in sample]))
     y = np.array([r.y for r in sample])
     if y.all():
         y, x = y[:0], x[:0]
-    return Model(boosting.fit(x, y), rates)
+    return Model(boosting.fit(x, y), counts, overall)
 
 
 def filtered(pages: DataFrame, model: Model, rules: list[tuple[str, str]], threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score), one row per page."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = pages.sparkSession.sparkContext.broadcast(model.trees)
 
     def work(batch: pa.RecordBatch) -> dict:
         names = ("page_id", "host", "path")
-        return {n: batch.column(n) for n in names} | {"score": shared.value.score(*_columns(batch))}
+        rates = np.stack([batch.column(f"r{k}").to_numpy() for k in (1, 2, 3)], 1)
+        x = _features(*(batch.column(c) for c in ("text", "host", "path")), rates)
+        return {n: batch.column(n) for n in names} | {"score": 1 / (1 + np.exp(-shared.value.logits(x)))}
 
     rows = _prepared(pages, url_col, F.col(f"`{id_col}`").cast("long").alias("page_id"))
-    found = mapped(rows, work, "page_id long, host string, path string, score double")
+    found = mapped(_rated(rows, model.counts, model.overall), work, "page_id long, host string, path string, score double")
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     return found.select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > threshold, "block").otherwise("allow")).alias("verdict"), "score")

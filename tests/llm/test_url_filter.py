@@ -70,3 +70,12 @@ def test_held_out_hosts_words(spark):
         v = verdicts[r.page_id]
         if v.rule is None:
             assert (v.verdict == "block") == bool(re.search("casino|bets|pills|ads-track", v.host)), r.url
+
+
+def test_many_hosts_keep_their_own_rates(spark):
+    """20,000 hosts that tell nothing by their letters: only the counts of a host's own URLs give its label."""
+    hosts = spark.range(20_000).selectExpr("id", "concat('h', substring(md5(cast(id as string)), 1, 12), '.net') as host", "cast(crc32(cast(concat('y', id) as binary)) % 2 as int) as label")
+    labelled = hosts.selectExpr("explode(sequence(1, 4)) as i", "*").selectExpr("concat('http://', host, '/p', i) as url", "label")
+    pages = hosts.selectExpr("id as page_id", "concat('http://', host, '/p9') as url")
+    found = u.filtered(pages, u.train(labelled), []).join(hosts.selectExpr("id as page_id", "label"), "page_id")
+    assert found.filter("(verdict = 'block') = (label = 1)").count() >= 19_900

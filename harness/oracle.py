@@ -6,6 +6,8 @@ of how the engine plans them.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from harness import choices as ch
 from spendscope import names as n
 
@@ -493,6 +495,14 @@ add("q11_spu_cost_matrix_all_days",
     f"SELECT *, {', '.join(f'{band(q(d))} AS {q(d + ' band')}' for d in WEEK)} FROM ({_MATRIX})",
     ["SPU", "SKU", "old_or_new", *[d + " band" for d in WEEK]], WEEK)
 
+MAPPED = [(date(2023, 1, 1) + timedelta(days=i)).isoformat() for i in range(425)]
+_CELLS = ", ".join(f"sum(case when \"Date\" = date '{d}' then cost end) AS {q(d)}" for d in MAPPED)
+_KEYS = ["SPU", "SKU", "old_or_new"]
+add("q11_spu_cost_matrix_every_day",
+    f"SELECT *, {', '.join(f'{band(q(d))} AS {q(d + ' band')}' for d in MAPPED)} FROM "
+    f"(SELECT {cols(_KEYS)}, {_CELLS} FROM day_rows WHERE {present(_KEYS)} AND {OF_SPUS} GROUP BY {cols(_KEYS)})",
+    [*_KEYS, *[d + " band" for d in MAPPED]], MAPPED)
+
 _YEAR = with_ratios(rollup("mon_rows", YEAR_KEYS, within("Month", ch.YEAR)), 1.0, "Sensor ROI")
 _YEAR_NUM = ["Sale Price", *ALL, "Sensor ROI", "ads ROI", "CTR"]
 add("q12_yearly_summary", _YEAR, YEAR_KEYS[:4], _YEAR_NUM)

@@ -330,6 +330,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return spu.spu_cost_matrix(ads.where(dates.within(c("Date"), *ch.BASE)), *rest, ch.SPUS)
 
 
+query("q11_spu_cost_matrix_every_day")(lambda s, d: spu.spu_cost_matrix(*spu_tables(s, d), ch.SPUS))
 query("q12_yearly_summary")(lambda s, d: yearly.yearly_summary(*month_tables(s, d)))
 query("q12_spu_lookup")(
     lambda s, d: yearly.spu_lookup(yearly.yearly_summary(*month_tables(s, d), spus=ch.SPUS), ch.SPUS)

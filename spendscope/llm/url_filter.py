@@ -128,7 +128,8 @@ def _rated(rows: DataFrame, counts: DataFrame, overall: float, own: str | None =
             bad, n = F.when(F.col(own) == 0, bad1).otherwise(bad0), F.when(F.col(own) == 0, n1).otherwise(n0)
         return ((bad + F.lit(4 * overall)) / (n + 4)).alias(f"r{k}")
 
-    return rows.join(wide, "host", "left").select(*rows.columns, *(rate(k) for k in (1, 2, 3)))
+    # a stored table is broadcast or split at a hot host; an aggregate's output would keep all rows of a host in one task
+    return rows.join(stored(wide, "host-counts"), "host", "left").select(*rows.columns, *(rate(k) for k in (1, 2, 3)))
 
 
 def _features(url: pa.Array, host: pa.Array, path: pa.Array, rates: np.ndarray) -> np.ndarray:

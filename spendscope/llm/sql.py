@@ -93,3 +93,30 @@ c AS (
     LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.place = f.place)
 SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c
 """
+
+AUDIT = rf"""
+WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+f AS (
+  SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, count(*) AS n,
+    CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN first < d.doc_id THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+g AS (
+  SELECT f.*, filter_order, coalesce(list_min(list_transform(regexp_extract_all(fails, '.'), lambda z: instr(filter_order, z))), 6) AS gone FROM f CROSS JOIN o),
+s AS (
+  SELECT part, filter_order, step::int AS step, sum(CASE WHEN gone > step THEN n ELSE 0 END)::bigint AS kept,
+    sum(CASE WHEN gone = step THEN n ELSE 0 END)::bigint AS removed,
+    sum(CASE WHEN gone < step AND contains(fails, filter_order[step]) THEN n ELSE 0 END)::bigint AS redundant,
+    sum(CASE WHEN fails = filter_order[step] THEN n ELSE 0 END)::bigint AS unique_fails,
+    sum(CASE WHEN gone = step THEN n * good ELSE 0 END)::bigint AS good_lost, sum(CASE WHEN gone = step THEN n * toxic ELSE 0 END)::bigint AS toxic_lost
+  FROM g CROSS JOIN range(1, 6) r(step) GROUP BY part, filter_order, step)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::bigint AS shapley FROM s
+"""

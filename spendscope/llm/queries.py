@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendscope.llm import decontamination, filter_audit, html_extraction, langid, mixing, repetition, simhash, sql, token_files, toxicity, url_filter, warc
+from spendscope.llm import collocations, decontamination, filter_audit, html_extraction, langid, mixing, repetition, simhash, sql, token_files, toxicity, url_filter, warc
 from spendscope.llm.common import shared_folder
 
 END_ID = 2
@@ -96,6 +96,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(filter_audit.kinds(filter_audit.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")))
 
@@ -111,8 +115,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op12_collocations": op12_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
 
 #: The others cannot be told in SQL; tests hold them against brute force, round trips or held-out accuracy.
-SQL = {"op5_repetition": sql.REPETITION, "op6_warc": sql.WARC, "op10_mixing": sql.MIXING, "op13_filter_audit": sql.AUDIT}
+SQL = {"op5_repetition": sql.REPETITION, "op6_warc": sql.WARC, "op10_mixing": sql.MIXING, "op12_collocations": sql.COLLOCATIONS, "op13_filter_audit": sql.AUDIT}

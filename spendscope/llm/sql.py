@@ -94,6 +94,32 @@ c AS (
 SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c
 """
 
+COLLOCATIONS = r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+          unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p CROSS JOIN range(1, 6) v(k))),
+f AS (SELECT lang, k, phrase, count(*)::bigint AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::bigint AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE a >= 100),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, a
+  FROM (SELECT lang, ws, a, j, unnest(range(1, k - j + 2)) AS i FROM c CROSS JOIN range(2, 5) v(j) WHERE j < k)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, n.n, x.cut, l.a AS l, r.a AS r, (1000 * c.a::hugeint * n.n // (l.a::hugeint * r.a))::bigint AS score
+  FROM c CROSS JOIN range(1, 5) x(cut) JOIN n ON c.lang = n.lang
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:x.cut], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[x.cut + 1:], ' ')
+  WHERE x.cut < c.k AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
 AUDIT = rf"""
 WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
 d AS (

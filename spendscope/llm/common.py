@@ -94,23 +94,21 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A random odd base and a random value per byte: a polynomial hash modulo 2^64, mixed at the end.
 _BASE = 0xD6E8FEB86659FD93
 _BYTE = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Values that a running sum of hashes spans, so that the powers stay small however long a text is.
+_SPAN = 1 << 20
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i in 0..n-1."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        inverse = pow(_BASE, -1, 1 << 64)
-        both = []
-        for base in (_BASE, inverse):
+    """base^i and base^-i modulo 2^64 for i in 0..n-1 at least."""
+    if len(_POWERS[0]) < n:
+        size, inverse = 1 << max(16, (n - 1).bit_length()), pow(_BASE, -1, 1 << 64)
+        for k, base in enumerate((_BASE, inverse)):
             out = np.full(size, base & (2**64 - 1), np.uint64)
             out[0] = 1
             np.multiply.accumulate(out, out=out)
-            both.append(out)
-        _POWERS[size] = tuple(both)
-    return _POWERS[size]
+            _POWERS[k] = out
+    return _POWERS[0], _POWERS[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,14 +120,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of values[starts:ends], from one running sum."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Polynomial hashes of values[starts:ends] (of table[values], if given) in rising order, from running sums over _SPAN values."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + _SPAN, "right")))
+        span = values[a : int(ends[j - 1])]
+        up, down = powers(len(span) + 1)
+        total = np.zeros(len(span) + 1, np.uint64)
+        np.cumsum((span if table is None else table[span]) * up[: len(span)], out=total[1:])
+        out[i:j] = mix((total[ends[i:j] - a] - total[starts[i:j] - a]) * down[starts[i:j] - a])
+        i = j
+    return out
 
 
 class Words:
@@ -153,7 +157,7 @@ class Words:
         #: Words of row i are bounds[i]:bounds[i + 1].
         self.bounds = np.searchsorted(self.starts, offsets)
         self.owner = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bounds))
-        self.hashes = rolling(_BYTE[_LOWER[raw] if lower else raw], self.starts, self.ends)
+        self.hashes = rolling(raw, self.starts, self.ends, _BYTE[_LOWER] if lower else _BYTE)
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all n-word windows inside one text, and their hashes."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendscope.llm import collocations, decontamination, filter_audit, html_extraction, langid, mixing, repetition, simhash, sql, token_files, toxicity, url_filter, warc
+from spendscope.llm import collocations, decontamination, filter_audit, html_extraction, langid, mixing, repetition, simhash, sql, substring_dedup, token_files, toxicity, url_filter, warc
 from spendscope.llm.common import shared_folder
 
 END_ID = 2
@@ -96,6 +96,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicated(table(spark, sf_dir, "documents"), least=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -115,9 +120,10 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_collocations": op12_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
 
 #: The others cannot be told in SQL; tests hold them against brute force, round trips or held-out accuracy.
-SQL = {"op5_repetition": sql.REPETITION, "op6_warc": sql.WARC, "op10_mixing": sql.MIXING, "op12_collocations": sql.COLLOCATIONS, "op13_filter_audit": sql.AUDIT}
+SQL = {"op5_repetition": sql.REPETITION, "op6_warc": sql.WARC, "op10_mixing": sql.MIXING, "op11_substring_dedup": sql.SUBSTRINGS, "op12_collocations": sql.COLLOCATIONS, "op13_filter_audit": sql.AUDIT}

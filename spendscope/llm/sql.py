@@ -94,6 +94,20 @@ c AS (
 SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c
 """
 
+SUBSTRINGS = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+over AS (SELECT doc_id, i FROM windows QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM over) GROUP BY doc_id),
+kept AS (
+  SELECT k.doc_id, string_agg(ws[p], ' ' ORDER BY p) AS text
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w) k
+    LEFT JOIN (SELECT doc_id, unnest(ps) AS p, true AS gone FROM gone) x USING (doc_id, p) WHERE gone IS NULL GROUP BY k.doc_id)
+SELECT w.doc_id, len(ws)::bigint AS n_words, coalesce(len(ps), 0)::bigint AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
 COLLOCATIONS = r"""
 WITH p AS (
   SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws

@@ -287,6 +287,9 @@ add("q3_enriched_monthly", "SELECT * FROM mon_rows", ["SKU", PT3, "SPU", "old_or
 add("q4_enriched_campaign", "SELECT * FROM camp_rows", ["Campaign", "SKU", PT3, "SPU", "old_or_new", "image"],
     [*CAMP, *CSENSOR, "Sale Price"], ["Date"], ["Campaign ID"])
 
+add("q4_enriched_campaign_sorted", 'SELECT * FROM camp_rows ORDER BY "SKU", "Date" DESC',
+    ["Campaign", "SKU", PT3, "SPU", "old_or_new", "image"], [*CAMP, *CSENSOR, "Sale Price"], ["Date"], ["Campaign ID"])
+
 # -- aggregates ---------------------------------------------------------------
 
 add("q1_clean_ads", "SELECT * FROM ads_day", ["SKU", PT3], ADS, ["Date"])
@@ -563,6 +566,17 @@ LISTS = ("CPC", *POINTS)
 
 
 def series(bounds, where: str = "true") -> str:
+    """The page's own steps: points sorted by their keys, lists per product, its two totals joined on."""
+    lists = ", ".join(f"string_agg(printf('%.4f', {q(x)} + 1e-9), ',' ORDER BY \"Date\", \"CPC\") AS {q(x)}" for x in LISTS)
+    days = "string_agg(strftime(\"Date\", '%Y-%m-%d'), ',' ORDER BY \"Date\", \"CPC\") AS \"Date\""
+    rows = f"FROM camp_rows WHERE {within('Date', bounds)} AND {where} GROUP BY {cols(PRODUCT)}"
+    return f"""SELECT l.*, g.gmv_sum, c.cost_sum
+      FROM (SELECT {cols(PRODUCT)}, {lists}, {days} FROM ({points(bounds, where)}) GROUP BY {cols(PRODUCT)}) l
+      LEFT JOIN (SELECT {cols(PRODUCT)}, sum("GMV") AS gmv_sum {rows}) g USING ({cols(PRODUCT)})
+      LEFT JOIN (SELECT {cols(PRODUCT)}, sum(cost) AS cost_sum {rows}) c USING ({cols(PRODUCT)})"""
+
+
+def day_series(bounds, where: str = "true") -> str:
     lists = ", ".join(f"string_agg(printf('%.4f', {q(x)} + 1e-9), ',' ORDER BY \"CPC\") AS {q(x)}" for x in LISTS)
     keys = ", ".join(f"p.{q(x)}" for x in PRODUCT)
     renamed = lists.replace('AS "', 'AS "list_')
@@ -577,6 +591,11 @@ for _name, _sql in {
     "q16_campaign_series": series(ch.BASE),
     "q16_campaign_series_chosen": series(YEAR_DAYS, among("Campaign", ch.CAMPAIGNS)),
     "q16_campaign_series_of_keys": series(ch.BASE, among("Campaign", ch.CAMPAIGNS)),
+}.items():
+    add(_name, _sql, [*_SERIES_TEXT, "Date"], ["Sale Price", "cost_sum", "gmv_sum"])
+for _name, _sql in {
+    "q16_campaign_days": day_series(ch.BASE),
+    "q16_campaign_days_chosen": day_series(YEAR_DAYS, among("Campaign", ch.CAMPAIGNS)),
 }.items():
     add(_name, _sql, _SERIES_TEXT, ["Sale Price", "cost_sum", "gmv_sum"], day=["Date"], whole=["points"])
 add("q17_campaigns_in_range", f'SELECT DISTINCT "Campaign" FROM camp_rows WHERE {IN_BASE}', ["Campaign"])

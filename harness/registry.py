@@ -398,6 +398,11 @@ query("q16_campaign_series_chosen")(
 query("q16_campaign_series_of_keys")(
     lambda s, d: campaign.campaign_series(*campaign_tables(s, d), *ch.BASE, campaigns=chosen_campaigns(s, d))
 )
+query("q16_campaign_days")(lambda s, d: campaign.campaign_day_series(*campaign_tables(s, d), *ch.BASE))
+query("q16_campaign_days_chosen")(
+    lambda s, d: campaign.campaign_day_series(*campaign_tables(s, d), *YEAR_DAYS, campaigns=ch.CAMPAIGNS)
+)
+query("q4_enriched_campaign_sorted")(lambda s, d: enrich.presented(campaign.enriched_rows(*campaign_tables(s, d))))
 query("q17_campaigns_in_range")(lambda s, d: campaign.campaigns_in_range(m.ads_campaign_daily(s, d), *ch.BASE))
 
 

@@ -1,11 +1,14 @@
 """Ordered per-SKU series of the campaign page.
 
 ``daily_points`` adds rows up per product, day and cost per click, which is the
-form for further work. ``sku_series`` lays a product's points of one day out as
-list columns ordered by cost per click, next to the product's totals. That is the
-grain for every SKU, however many rows it has: the points of a product and
-day are bounded by its campaigns. A product's rows in day order, their lists
-joined end to end, are its whole series.
+form for further work. ``sku_series`` is the page's table: one row per product
+with twelve aligned list columns, ordered by day, then cost per click.
+``day_series`` has the same lists cut by day, for products whose whole history is
+too long for a cell: the points of a product and day are bounded by its campaigns.
+
+Lists are built in two levels. The points of a product and day are sorted where
+they meet, so a product that holds a large share of all rows is dealt out by day;
+then its days, each with a sorted list, are put in order and joined end to end.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from spendscope import names as n
+from spendscope.functions.dates import iso
 from spendscope.operators.rollup import group_sum, total
 
 PRODUCT = ("SKU", "SPU", n.PT3, n.GENERATION, n.PRICE, "image")
@@ -33,15 +37,35 @@ def product_totals(rows: DataFrame) -> DataFrame:
     )
 
 
+def _days(points: DataFrame) -> DataFrame:
+    """One row per product and day: its points by rising cost per click, and its sums."""
+    entry = F.struct(n.CPC, *POINT_MEASURES)
+    return points.groupBy(*PRODUCT, "Date").agg(
+        F.sort_array(F.collect_list(entry)).alias("entries"), total("GMV").alias("day_gmv"), total("cost").alias("day_cost"))
+
+
 def sku_series(points: DataFrame) -> DataFrame:
+    """One row per product: aligned lists of all its points by day and cost per click, with its totals.
+
+    Days are ISO text in their list.
+    """
+    series = _days(points).groupBy(*PRODUCT).agg(
+        F.sort_array(F.collect_list(F.struct("Date", "entries"))).alias("days"),
+        total("day_gmv").alias("gmv_sum"), total("day_cost").alias("cost_sum"))
+    dates = F.flatten(F.transform("days", lambda d: F.array_repeat(iso(d["Date"]), F.size(d["entries"]))))
+    joined = series.withColumns({"dates": dates, "entries": F.flatten(F.col("days.entries"))})
+    lists = {c: F.col("entries").getField(c) for c in SERIES}
+    shown = [lists[n.CPC].alias(n.CPC), F.col("dates").alias("Date"), *[lists[c].alias(c) for c in POINT_MEASURES]]
+    return joined.select(*[f"`{c}`" for c in PRODUCT], *shown, "gmv_sum", "cost_sum")
+
+
+def day_series(points: DataFrame) -> DataFrame:
     """List columns per product and day, with totals of the product over all its days.
 
     Both sides of the join start from the same day rows, so their shuffle is
     run once and used twice.
     """
-    entry = F.struct(n.CPC, *POINT_MEASURES)
-    days = points.groupBy(*PRODUCT, "Date").agg(
-        F.sort_array(F.collect_list(entry)).alias("entries"), total("GMV").alias("day_gmv"), total("cost").alias("day_cost"))
+    days = _days(points)
     totals = days.groupBy(*PRODUCT).agg(
         total("day_gmv").alias("gmv_sum"), total("day_cost").alias("cost_sum"), F.sum(F.size("entries")).alias("points"))
     return days.join(totals, list(PRODUCT)).select(

@@ -18,7 +18,7 @@ from spendscope.operators.enrich import (
     normalise_index,
 )
 from spendscope.operators.rollup import distinct_values, drop_null_keys
-from spendscope.operators.series import daily_points, sku_series
+from spendscope.operators.series import daily_points, day_series, sku_series
 from spendscope.sources.keys import Keys, restrict
 
 Day = date | str
@@ -67,10 +67,18 @@ def campaign_series(
     ads: DataFrame, sensor: DataFrame, spu: DataFrame, label: DataFrame, first: Day, last: Day,
     campaigns: Keys | None = None,
 ) -> DataFrame:
-    """Series as list columns, one row per product and day, with the product's cost and GMV totals."""
+    """Series as list columns, one row per product, with the product's cost and GMV totals."""
     return sku_series(campaign_points(ads, sensor, spu, label, first, last, campaigns))
 
 
+def campaign_day_series(
+    ads: DataFrame, sensor: DataFrame, spu: DataFrame, label: DataFrame, first: Day, last: Day,
+    campaigns: Keys | None = None,
+) -> DataFrame:
+    """The same lists cut by day: one row per product and day."""
+    return day_series(campaign_points(ads, sensor, spu, label, first, last, campaigns))
+
+
 def campaigns_in_range(ads: DataFrame, first: Day, last: Day) -> DataFrame:
     """Campaigns with cleaned ads rows in the range.
 

@@ -150,9 +150,11 @@ def test_folded_sku_has_a_row_per_day_and_category_before_it_meets_products(spar
 
 
 def test_series_scan_the_ads_once(stored):
-    df = campaign.campaign_series(stored["ads_campaign"], stored["sensor_campaign"], stored["index"], stored["label"], *WEEK)
-    text = final_plan(df)
+    tables = stored["ads_campaign"], stored["sensor_campaign"], stored["index"], stored["label"]
+    text = final_plan(campaign.campaign_day_series(*tables, *WEEK))
     assert len(re.findall(r"FileScan parquet.*ads_campaign", text)) == 1 and "ReusedExchange" in text
+    text = final_plan(campaign.campaign_series(*tables, *WEEK))
+    assert len(re.findall(r"FileScan parquet.*ads_campaign", text)) == 1 and "Window" not in text
 
 
 @pytest.mark.parametrize("build", [

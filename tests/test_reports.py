@@ -262,22 +262,58 @@ def brute_force_series(tables):
     }
 
 
-def series_rows(tables):
+def day_rows(tables):
     return {
         (tuple(r[c] for c in series.PRODUCT), r["Date"]): ([r[c] for c in series.SERIES], [r["gmv_sum"], r["cost_sum"]])
-        for r in campaign.campaign_series(*tables, DAY, LAST).collect()
+        for r in campaign.campaign_day_series(*tables, DAY, LAST).collect()
     }
 
 
+def series_rows(tables):
+    rows = campaign.campaign_series(*tables, DAY, LAST).collect()
+    out = {tuple(r[c] for c in series.PRODUCT): ([r[c] for c in ("Date", *series.SERIES)], [r["gmv_sum"], r["cost_sum"]]) for r in rows}
+    assert len(out) == len(rows)  # one row per product
+    return out
+
+
+def joined_by_product(days):
+    """Rows per product and day, put in day order and joined end to end."""
+    out = {}
+    for (product, day), (lists, totals) in sorted(days.items(), key=lambda x: x[0][1]):
+        series_lists, _ = out.setdefault(product, ([[] for _ in range(1 + len(lists))], totals))
+        for whole, part in zip(series_lists, ([day.isoformat()] * len(lists[0]), *lists)):
+            whole.extend(part)
+    return out
+
+
 def test_series_equal_brute_force(spark):
     tables = series_tables(spark)
-    assert series_rows(tables) == brute_force_series(tables)
+    by_hand = brute_force_series(tables)
+    assert day_rows(tables) == by_hand
+    assert series_rows(tables) == joined_by_product(by_hand)
+
+
+def test_series_lists_of_a_product_are_aligned_and_ordered(spark):
+    for product, (lists, (gmv, cost)) in series_rows(series_tables(spark)).items():
+        assert len({len(x) for x in lists}) == 1 and len(lists) == 12
+        assert list(zip(lists[0], lists[1])) == sorted(zip(lists[0], lists[1]))
+        measures = dict(zip(series.POINT_MEASURES, lists[2:]))
+        assert sum(measures["GMV"]) == pytest.approx(gmv) and sum(measures["cost"]) == pytest.approx(cost)
+
+
+def test_series_with_a_hot_product_and_with_no_rows(spark):
+    tables = series_tables(spark)
+    more = ads_campaign(spark, *[{"SKU": "A", "Campaign": f"x{i}", "Date": DAY + timedelta(days=i % 4), "cost": float(i), "clicks": 1.0} for i in range(400)])
+    before, after = series_rows(tables), series_rows((tables[0].unionByName(more), *tables[1:]))
+    assert set(after) >= set(before) and all(after[k] == v for k, v in before.items() if k[0] != "A")
+    assert {len(after[k][0][0]) >= 399 for k in after if k[0] == "A"} == {True}
+    assert campaign.campaign_series(*tables, "2020-01-01", "2020-01-02").count() == 0
 
 
 def test_rows_added_to_one_sku_change_no_other_row_and_no_grain(spark):
     tables = series_tables(spark)
     more = ads_campaign(spark, *[{"SKU": "A", "Campaign": f"x{i}", "Date": DAY, "cost": float(i), "clicks": 1.0} for i in range(300)])
-    before, after = series_rows(tables), series_rows((tables[0].unionByName(more), *tables[1:]))
+    before, after = day_rows(tables), day_rows((tables[0].unionByName(more), *tables[1:]))
     keys = lambda rows: {(p[0], day) for p, day in rows}
     assert keys(after) - keys(before) <= {("A", DAY)}
     assert all(after[k] == v for k, v in before.items() if k[0][0] != "A")
@@ -285,9 +321,10 @@ def test_rows_added_to_one_sku_change_no_other_row_and_no_grain(spark):
 
 def test_series_totals_and_points(spark):
     tables = series_tables(spark)
-    rows = campaign.campaign_series(*tables, DAY, LAST)
+    rows = campaign.campaign_day_series(*tables, DAY, LAST)
     totals = series.product_totals(campaign.folded_rows(*tables, DAY, LAST))
     assert records(totals) == records(rows.select(*PRODUCT, "cost_sum", "gmv_sum").distinct())
+    assert records(totals) == records(campaign.campaign_series(*tables, DAY, LAST).select(*PRODUCT, "cost_sum", "gmv_sum"))
     points = campaign.campaign_points(*tables, DAY, LAST)
     assert points.count() == sum(len(r["cost"]) for r in rows.collect())
     assert {(r["SKU"], r["points"]) for r in points.groupBy("SKU", *PRODUCT[1:]).count().withColumnRenamed("count", "points").collect()} == {

@@ -16,7 +16,7 @@ from spendscope.session import build_session
 TABLES = "region nation customer supplier part orders lineitem".split()
 
 
-KINDS = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "date": "DATE", "int": "INTEGER"}
+KINDS = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "date": "DATE", "int": "INTEGER", "boolean": "BOOLEAN"}
 
 
 def same_types(df: DataFrame, description: list[tuple]) -> bool:

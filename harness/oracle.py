@@ -610,6 +610,55 @@ add("q18_custom_labels",
     [*SKU_KEYS, "customlabel2", "customlabel4"], _SKU_NUM, ctes="," + period_ctes("base", ch.BASE))
 add("q19_spu_register", 'SELECT * FROM register WHERE "SPU" IS NOT NULL', ["SPU", "图片"])
 
+# -- SKU pruning plan ----------------------------------------------------------
+
+_RULES = ch.PRUNING
+_CATEGORIES = ", ".join(repr(x.lower()) for x in _RULES.categories)
+_OUT = ", ".join(repr(x.lower()) for x in _RULES.left_out)
+_PRUNING = f""",
+year_rows AS (SELECT * FROM mon_rows WHERE "SPU" IS NOT NULL AND "SKU" IS NOT NULL AND {present([PT3])} AND {within('Month', _RULES.months)}),
+departments AS (SELECT DISTINCT {NORM.format(s='sku')} AS "SKU", pt1 FROM (
+  SELECT case when ends_with(sku1, '-hm') then left(sku1, length(sku1) - 3) else sku1 end AS sku, pt1 FROM
+    (SELECT case when mc = 569301767 then left(sku, greatest(length(sku) - 3, 0)) else sku end AS sku1, pt1 FROM raw))),
+months AS (SELECT unnest(generate_series(date '{_RULES.trend_months[0]}', date '{_RULES.trend_months[1]}', interval 1 month))::date AS "Month"),
+trends AS (
+  SELECT "SPU", "SKU", regr_slope(gmv, x) AS gmv_trend, regr_slope(value, x) AS ads_value_trend
+  FROM (SELECT k."SPU", k."SKU", date_diff('month', date '2020-01-01', months."Month") AS x, coalesce(sum(r."GMV"), 0) AS gmv,
+          coalesce(sum(r."ads value"), 0) AS value
+        FROM (SELECT DISTINCT "SPU", "SKU" FROM year_rows) k CROSS JOIN months
+          LEFT JOIN year_rows r ON r."SPU" = k."SPU" AND r."SKU" = k."SKU" AND r."Month" = months."Month" GROUP BY ALL)
+  GROUP BY "SPU", "SKU"),
+skus AS (
+  SELECT "SPU", "SKU", {', '.join(f'coalesce(sum({q(x)}), 0.0) AS {q(x)}' for x in ALL)}, sum(cost) / 12.0 AS sku_mean_cost
+  FROM year_rows GROUP BY "SPU", "SKU"),
+families AS (
+  SELECT "SPU", count(DISTINCT "SKU") AS sku_count, sum(cost) / 12.0 AS mean_cost, coalesce(sum("GMV"), 0.0) / 12.0 AS mean_gmv,
+    {safe('sum("GMV") FILTER (' + within('Month', _RULES.return_months) + ')', 'sum(cost) FILTER (' + within('Month', _RULES.return_months) + ')')} AS "return",
+    bool_or(lower("Product Type 3") IN ({_CATEGORIES})) AS in_category,
+    bool_or("SKU" IN (SELECT "SKU" FROM departments WHERE lower(pt1) IN ({_OUT}))) AS left_out
+  FROM year_rows GROUP BY "SPU"),
+judged AS (
+  SELECT *, mean_cost > {_RULES.cost_above} AS costs_enough, mean_gmv < {_RULES.gmv_below} AS earns_little,
+    "return" < {_RULES.return_below} AS returns_little, sku_count >= {_RULES.least_skus} AS has_skus FROM families),
+qualification AS (
+  SELECT *, in_category AND NOT left_out AND costs_enough AND earns_little AND returns_little AND has_skus AS qualified FROM judged),
+shares AS (
+  SELECT s.*, f.mean_cost / f.sku_count AS family_share, s.sku_mean_cost > f.mean_cost / f.sku_count AS above_share, f.qualified
+  FROM skus s JOIN qualification f USING ("SPU"))"""
+_RULE_FLAGS = ["in_category", "left_out", "costs_enough", "earns_little", "returns_little", "has_skus", "qualified"]
+add("q20_spu_qualification", "SELECT * FROM qualification", ["SPU"], ["mean_cost", "mean_gmv", "return"], whole=["sku_count", *_RULE_FLAGS], ctes=_PRUNING)
+add("q21_sku_family_share", "SELECT * FROM shares", ["SPU", "SKU"], ["sku_mean_cost", "family_share"], whole=["above_share"], ctes=_PRUNING)
+add("q22_gmv_trends", "SELECT * FROM trends", ["SPU", "SKU"], ["gmv_trend", "ads_value_trend"], ctes=_PRUNING)
+add("q23_pruning_plan",
+    f"""SELECT "SPU", "SKU", (row_number() OVER (PARTITION BY "SPU" ORDER BY sensor_roi, ads_roi, gmv_trend, ads_value_trend, ctr NULLS LAST, "SKU"))::int AS rank,
+      sku_mean_cost, family_share, sensor_roi, ads_roi, gmv_trend, ads_value_trend, ctr
+      FROM (SELECT s.*, t.gmv_trend, t.ads_value_trend, {safe('"GMV"', 'cost')} AS sensor_roi, {safe('"ads value"', 'cost')} AS ads_roi,
+              {raw('click', 'impression')} AS ctr
+            FROM shares s JOIN trends t USING ("SPU", "SKU")
+            WHERE above_share AND qualified AND s."SKU" NOT IN (SELECT "SKU" FROM label WHERE customlabel1 = 'clearance'))
+      QUALIFY rank <= 3""",
+    ["SPU", "SKU"], ["sku_mean_cost", "family_share", "sensor_roi", "ads_roi", "gmv_trend", "ads_value_trend", "ctr"], whole=["rank"], ctes=_PRUNING)
+
 # -- bands --------------------------------------------------------------------
 
 add("k1_cost_band", counted(f'SELECT "SKU", {band("cost")} AS band FROM ads_day', "SKU", "band"), ["SKU", "band"],

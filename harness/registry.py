@@ -11,7 +11,7 @@ from spendscope import names as n
 from spendscope.functions import bands, conditions, dates, ratios, text
 from spendscope.functions.present import as_text
 from spendscope.operators import cleaning, compare, enrich, rollup, series
-from spendscope.plans import campaign, register, sku, spu, yearly
+from spendscope.plans import campaign, pruning, register, sku, spu, yearly
 from spendscope.sources import keys, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -417,6 +417,40 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 query("q19_spu_register")(lambda s, d: register.registered_spus(m.spu_register(s, d)))
 
+# -- SKU pruning plan ----------------------------------------------------------
+
+
+def _pruning_figures(s: SparkSession, d: str) -> DataFrame:
+    return pruning.sku_figures(pruning.sku_months(*month_tables(s, d), ch.PRUNING), ch.PRUNING)
+
+
+def _departments(s: SparkSession, d: str) -> DataFrame:
+    """First-level categories of SKUs, from the SKU page's ads rows."""
+    ads = m.ads_sku_daily(s, d).where(c(n.PT1).isNotNull()).select("SKU", "MC ID", n.PT1)
+    return cleaning.normalise_sku(cleaning.strip_home_suffix(cleaning.strip_merchant_suffix(ads))).select("SKU", n.PT1).distinct()
+
+
+@query("q20_spu_qualification")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return pruning.spu_qualification(_pruning_figures(s, d), ch.PRUNING, _departments(s, d))
+
+
+@query("q21_sku_family_share")
+def _(s: SparkSession, d: str) -> DataFrame:
+    figures = _pruning_figures(s, d)
+    rows = pruning.above_family_share(figures, pruning.spu_qualification(figures, ch.PRUNING), ch.PRUNING)
+    return rows.select("SPU", "SKU", "sku_mean_cost", "family_share", "above_share")
+
+
+query("q22_gmv_trends")(lambda s, d: _pruning_figures(s, d).select("SPU", "SKU", "gmv_trend", "ads_value_trend"))
+
+
+@query("q23_pruning_plan")
+def _(s: SparkSession, d: str) -> DataFrame:
+    delisted = m.product_label(s, d).where(c("customlabel1") == "clearance").select("SKU")
+    return pruning.pruning_plan(*month_tables(s, d), ch.PRUNING, _departments(s, d), delisted)
+
+
 # -- bands --------------------------------------------------------------------
 
 query("k1_cost_band")(

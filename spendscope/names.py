@@ -99,3 +99,12 @@ COST_LOW, COST_MID = 50, 150
 ROI_WEAK, ROI_STRONG = 1.5, 2.5
 MEAN_FIRST_MONTH, MEAN_LAST_MONTH = "2023-01-01", "2024-01-01"
 YEAR_FIRST_MONTH, YEAR_LAST_MONTH = "2023-01-01", "2023-12-01"
+
+# -- SKU pruning plan --------------------------------------------------------
+PRUNING_MONTHS = ("2023-01-01", "2023-12-01")
+PRUNING_RETURN_MONTHS = ("2023-01-01", "2023-11-01")
+PRUNING_TREND_MONTHS = ("2023-07-01", "2023-12-01")
+PRUNING_COST_ABOVE, PRUNING_GMV_BELOW, PRUNING_RETURN_BELOW = 50.0, 5000.0, 2.0
+PRUNING_LEAST_SKUS = 2
+PRUNING_CATEGORIES = ("daybed", "dining table", "tv stand")
+PRUNING_LEFT_OUT = ("outdoor",)

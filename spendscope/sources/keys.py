@@ -26,3 +26,11 @@ def restrict(df: DataFrame, column: str, keys: Keys) -> DataFrame:
         return df.join(wanted, column, "left_semi")
     return df.where(F.col(f"`{column}`").isin(*keys))
 
+
+
+def without(df: DataFrame, column: str, keys: Keys) -> DataFrame:
+    """Rows whose ``column`` is not among the keys; a missing value is among none."""
+    if isinstance(keys, DataFrame):
+        unwanted = keys.select(F.col(f"`{keys.columns[0]}`").alias(column))
+        return df.join(unwanted, column, "left_anti")
+    return df.where(F.col(f"`{column}`").isNull() | ~F.col(f"`{column}`").isin(*keys)) if keys else df

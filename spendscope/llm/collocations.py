@@ -36,7 +36,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendscope.llm.common import Words, mix, pieces, stored, utf8
@@ -49,7 +49,7 @@ TILE = 1 << 10
 DENSE = TILE * TILE // 16
 #: Dense tiles counted in one go, 8 bytes an address.
 _AT_ONCE = 8
-_PIECE = 16 << 20
+_PIECE = 4 << 20
 #: Parts into which a language's phrases are dealt for the first round of its list.
 SALTS = 64
 _NONE = -1

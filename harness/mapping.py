@@ -30,6 +30,10 @@ _GIVEN = {
 }
 
 
+#: First and last day that a shipping date can be mapped to.
+CALENDAR = ("2023-01-01", "2024-02-29")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")
 

@@ -494,17 +494,29 @@ _MATRIX = matrix("day_rows", ["SPU", "SKU", "old_or_new"], f"{OF_SPUS} AND {IN_B
 add("q11_spu_cost_matrix",
     f"SELECT *, {', '.join(f'{band(q(d))} AS {q(d + ' band')}' for d in WEEK)} FROM ({_MATRIX})",
     ["SPU", "SKU", "old_or_new", *[d + " band" for d in WEEK]], WEEK)
-add("q11_spu_cost_matrix_all_days",
-    f"SELECT *, {', '.join(f'{band(q(d))} AS {q(d + ' band')}' for d in WEEK)} FROM ({_MATRIX})",
-    ["SPU", "SKU", "old_or_new", *[d + " band" for d in WEEK]], WEEK)
-
 MAPPED = [(date(2023, 1, 1) + timedelta(days=i)).isoformat() for i in range(425)]
 _CELLS = ", ".join(f"sum(case when \"Date\" = date '{d}' then cost end) AS {q(d)}" for d in MAPPED)
 _KEYS = ["SPU", "SKU", "old_or_new"]
-add("q11_spu_cost_matrix_every_day",
-    f"SELECT *, {', '.join(f'{band(q(d))} AS {q(d + ' band')}' for d in MAPPED)} FROM "
-    f"(SELECT {cols(_KEYS)}, {_CELLS} FROM day_rows WHERE {present(_KEYS)} AND {OF_SPUS} GROUP BY {cols(_KEYS)})",
-    [*_KEYS, *[d + " band" for d in MAPPED]], MAPPED)
+for _name in ("q11_spu_cost_matrix_every_day", "q11_spu_cost_matrix_all_days"):
+    add(_name, f"SELECT *, {', '.join(f'{band(q(d))} AS {q(d + ' band')}' for d in MAPPED)} FROM "
+        f"(SELECT {cols(_KEYS)}, {_CELLS} FROM day_rows WHERE {present(_KEYS)} AND {OF_SPUS} GROUP BY {cols(_KEYS)})",
+        [*_KEYS, *[d + " band" for d in MAPPED]], MAPPED)
+
+
+def vectors(source: str, keys, where: str, bands: bool = False) -> str:
+    """Lists of days and their sums, in day order."""
+    more = f", string_agg({band('cost')}, ',' ORDER BY \"Date\") AS band" if bands else ""
+    return f"""SELECT {cols(keys)}, string_agg(strftime("Date", '%Y-%m-%d'), ',' ORDER BY "Date") AS "Date",
+      string_agg(printf('%.4f', cost + 1e-9), ',' ORDER BY "Date") AS cost{more}
+      FROM (SELECT {cols(keys)}, "Date", sum(cost) AS cost FROM {source} WHERE {present(keys)} AND "Date" IS NOT NULL AND {where}
+            GROUP BY {cols(keys)}, "Date") GROUP BY {cols(keys)}"""
+
+
+add("q11_spu_cost_vectors", vectors("day_rows", _KEYS, OF_SPUS, bands=True), [*_KEYS, "Date", "cost", "band"])
+add("q11_spu_cost_vectors_long",
+    f"""SELECT {cols(_KEYS)}, "Date", sum(cost) AS cost FROM day_rows
+      WHERE {present(_KEYS)} AND {OF_SPUS} AND {within('Date', YEAR_DAYS)} GROUP BY {cols(_KEYS)}, "Date" """,
+    _KEYS, ["cost"], day=["Date"])
 
 _YEAR = with_ratios(rollup("mon_rows", YEAR_KEYS, within("Month", ch.YEAR)), 1.0, "Sensor ROI")
 _YEAR_NUM = ["Sale Price", *ALL, "Sensor ROI", "ads ROI", "CTR"]
@@ -562,6 +574,10 @@ add("q15_sku_cost_matrix",
     matrix('(SELECT a.* FROM ads_sku a LEFT JOIN spu_sheet p ON a."SKU" = p."SKU")', ["SKU"],
            f"{among('SKU', ch.SKUS)} AND {IN_BASE}"), ["SKU"], WEEK)
 
+add("q15_sku_cost_vectors",
+    vectors('(SELECT a.* FROM ads_sku a LEFT JOIN spu_sheet p ON a."SKU" = p."SKU")', ["SKU"], among("SKU", ch.SKUS)),
+    ["SKU", "Date", "cost"])
+
 LISTS = ("CPC", *POINTS)
 
 

@@ -10,7 +10,7 @@ from harness import choices as ch, mapping as m
 from spendscope import names as n
 from spendscope.functions import bands, conditions, dates, ratios, text
 from spendscope.functions.present import as_text
-from spendscope.operators import cleaning, compare, enrich, rollup, series
+from spendscope.operators import cleaning, compare, day_vectors, enrich, matrix, rollup, series
 from spendscope.plans import campaign, pruning, register, sku, spu, yearly
 from spendscope.sources import keys, tables
 
@@ -324,12 +324,22 @@ query("q10_spu_skus_of_keys")(lambda s, d: spu.spu_skus(*spu_tables(s, d), chose
 query("q11_spu_cost_matrix")(lambda s, d: spu.spu_cost_matrix(*spu_tables(s, d), ch.SPUS, *ch.BASE))
 
 
+
+
 @query("q11_spu_cost_matrix_all_days")
 def _(s: SparkSession, d: str) -> DataFrame:
-    ads, *rest = spu_tables(s, d)
-    return spu.spu_cost_matrix(ads.where(dates.within(c("Date"), *ch.BASE)), *rest, ch.SPUS)
+    """All days that an ads row can have: the matrix as a view over vectors of all rows, without a range."""
+    vectors = spu.spu_cost_vectors(*spu_tables(s, d), ch.SPUS)
+    first, last = m.CALENDAR
+    return matrix.with_bands(day_vectors.day_columns(vectors, spu.MATRIX_ROWS, first, last), spu.MATRIX_ROWS)
 
 
+query("q11_spu_cost_vectors")(
+    lambda s, d: day_vectors.listed(spu.spu_cost_vectors(*spu_tables(s, d), ch.SPUS), spu.MATRIX_ROWS, bands=True)
+)
+query("q11_spu_cost_vectors_long")(
+    lambda s, d: day_vectors.long_form(spu.spu_cost_vectors(*spu_tables(s, d), chosen_spus(s, d), YEAR_DAYS), spu.MATRIX_ROWS)
+)
 query("q11_spu_cost_matrix_every_day")(lambda s, d: spu.spu_cost_matrix(*spu_tables(s, d), ch.SPUS))
 query("q12_yearly_summary")(lambda s, d: yearly.yearly_summary(*month_tables(s, d)))
 query("q12_spu_lookup")(
@@ -391,6 +401,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return sku.sku_cost_matrix(ads, index, ch.SKUS, *ch.BASE)
 
 
+@query("q15_sku_cost_vectors")
+def _(s: SparkSession, d: str) -> DataFrame:
+    ads, _, index = sku_tables(s, d)
+    return day_vectors.listed(sku.sku_cost_vectors(ads, index, ch.SKUS), ["SKU"])
+
+
 query("q16_campaign_series")(lambda s, d: campaign.campaign_series(*campaign_tables(s, d), *ch.BASE))
 query("q16_campaign_series_chosen")(
     lambda s, d: campaign.campaign_series(*campaign_tables(s, d), *YEAR_DAYS, campaigns=ch.CAMPAIGNS)

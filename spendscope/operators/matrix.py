@@ -1,20 +1,18 @@
-"""Matrices with one column per day."""
+"""Matrices with one column per day: views over sparse day vectors."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
 
 from spendscope.functions.bands import cost_band
-from spendscope.functions.dates import as_date, iso, within
+from spendscope.functions.dates import within
+from spendscope.operators.day_vectors import day_columns, day_vectors, days_between
 from spendscope.operators.rollup import duplicate_keys
 
-
-def days_between(first: date | str, last: date | str) -> list[str]:
-    first, last = as_date(first), as_date(last)
-    return [(first + timedelta(days=i)).isoformat() for i in range((last - first).days + 1)]
+__all__ = ["day_matrix", "days_between", "with_bands"]
 
 
 def day_matrix(
@@ -28,17 +26,13 @@ def day_matrix(
     """``value`` per row key and day; a day without rows stays missing.
 
     Several values of one cell are added up; ``strict`` refuses them instead.
-    The columns come from the calendar, so no job is run to find them.
+    The columns come from the calendar, so no job is run to find them. Ranges
+    of many months are better kept as vectors.
     """
     chosen = df.where(within(F.col("Date"), first, last))
     if strict and not duplicate_keys(chosen, [*rows, "Date"]).isEmpty():
         raise ValueError(f"several {value} values for one cell of {list(rows)} and Date")
-    return (
-        chosen.withColumn("day", iso(F.col("Date")))
-        .groupBy(*rows)
-        .pivot("day", days_between(first, last))
-        .agg(F.sum(value))
-    )
+    return day_columns(day_vectors(chosen, rows, value), rows, first, last)
 
 
 def with_bands(matrix: DataFrame, rows: Sequence[str]) -> DataFrame:

@@ -23,6 +23,7 @@ from spendscope.operators import compare
 from spendscope.operators.cleaning import SKU_DAILY, clean_ads
 from spendscope.operators.compare import BASE, COMPARE, Range, tag_periods
 from spendscope.operators.enrich import count_copies
+from spendscope.operators.day_vectors import day_vectors
 from spendscope.operators.matrix import day_matrix
 from spendscope.operators.rollup import drop_null_keys, group_sum, relabel, total
 from spendscope.sources.keys import Keys, restrict
@@ -146,6 +147,18 @@ def compare_periods(
     return compare.with_change_row(totals)
 
 
+def _daily_costs(ads: DataFrame, spu: DataFrame, skus: Keys, dates: Range | None) -> DataFrame:
+    """Cost per SKU and day, repeated by the index rows of the SKU."""
+    ads = _dense_ads(ads)
+    if dates:
+        ads = ads.where(within(F.col("Date"), *dates))
+    # merging matters only where repeated cells are to be refused
+    rows = restrict(clean_ads(ads, SKU_DAILY, merge=False), "SKU", skus)
+    sums = rows.groupBy("SKU", "Date").agg(total("cost").alias("cost"))
+    copies = count_copies(drop_sparse_rows(spu), [], "spu")
+    return sums.join(copies, "SKU", "left").withColumn("cost", F.col("cost") * F.coalesce(F.col("spu_copies"), F.lit(1.0)))
+
+
 def sku_cost_matrix(
     ads: DataFrame,
     spu: DataFrame,
@@ -155,18 +168,16 @@ def sku_cost_matrix(
     strict: bool = False,
 ) -> DataFrame:
     """Daily cost per SKU of the chosen SKUs."""
-    ads = _dense_ads(ads).where(within(F.col("Date"), first, last))
-    # merging matters only where repeated cells are to be refused
-    rows = restrict(clean_ads(ads, SKU_DAILY, merge=strict), "SKU", skus)
-    copies = count_copies(drop_sparse_rows(spu), [], "spu")
     if strict:
-        rows = rows.join(spu.select("SKU"), "SKU", "left")
-        return day_matrix(rows, ["SKU"], first, last, strict=True)
-    sums = rows.groupBy("SKU", "Date").agg(total("cost").alias("cost"))
-    repeated = sums.join(copies, "SKU", "left").withColumn(
-        "cost", F.col("cost") * F.coalesce(F.col("spu_copies"), F.lit(1.0))
-    )
-    return day_matrix(repeated, ["SKU"], first, last)
+        chosen = _dense_ads(ads).where(within(F.col("Date"), first, last))
+        rows = restrict(clean_ads(chosen, SKU_DAILY, merge=True), "SKU", skus)
+        return day_matrix(rows.join(spu.select("SKU"), "SKU", "left"), ["SKU"], first, last, strict=True)
+    return day_matrix(_daily_costs(ads, spu, skus, (first, last)), ["SKU"], first, last)
+
+
+def sku_cost_vectors(ads: DataFrame, spu: DataFrame, skus: Keys, dates: Range | None = None) -> DataFrame:
+    """The same as sparse day vectors, over a range or over all days."""
+    return day_vectors(_daily_costs(ads, spu, skus, dates), ["SKU"])
 
 
 def with_custom_labels(summary: DataFrame, ads_labels: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from spendscope.functions.ratios import raw_ratio
 from spendscope.operators import rollup
 from spendscope.operators.cleaning import DAILY, MONTHLY, clean_ads
 from spendscope.operators.enrich import enrich, fold_enriched, normalise_index, only_skus_of
+from spendscope.operators.day_vectors import day_vectors
 from spendscope.operators.matrix import day_matrix, with_bands
 from spendscope.sources.keys import Keys, restrict
 from spendscope.sources.tables import drop_missing
@@ -174,3 +175,15 @@ def spu_cost_matrix(
         rows = folded_rows(ads, sensor, spu, label, dates=(first, last), spus=spus, generation=True)
     matrix = day_matrix(rows, MATRIX_ROWS, first, last, strict=strict)
     return with_bands(matrix, MATRIX_ROWS) if bands else matrix
+
+
+def spu_cost_vectors(
+    ads: DataFrame, sensor: DataFrame, spu: DataFrame, label: DataFrame, spus: Keys, dates: tuple[Day, Day] | None = None
+) -> DataFrame:
+    """Daily cost per SKU of the chosen SPUs as sparse day vectors, over a range or over all days.
+
+    The form for long ranges: the plan is the same for any number of days, and no job
+    is run to learn them.
+    """
+    rows = folded_rows(ads, sensor, spu, label, dates=dates, spus=spus, generation=True)
+    return day_vectors(rows, MATRIX_ROWS)

@@ -477,6 +477,34 @@ _DRILL = ("SKU", "SPU", PT3, "old_or_new")
 add("q10_spu_skus", report(rollup("day_rows", _DRILL, f"{OF_SPUS} AND {IN_BASE}"), _DRILL), _DRILL, DAY)
 add("q10_spu_skus_of_keys", report(rollup("day_rows", _DRILL, f"{OF_SPUS} AND {IN_BASE}"), _DRILL), _DRILL, DAY)
 
+# -- many ranges, each by its own pass over the rows
+
+
+def ranges(length: int) -> str:
+    return f'(SELECT DISTINCT d AS first, d + {length - 1} AS last FROM raw)'
+
+
+def summed_ranges(length: int, where: str = "true", keys: str = "") -> str:
+    rows = f"(SELECT * FROM day_rows WHERE {where})"
+    spus = f"CROSS JOIN (SELECT DISTINCT \"SPU\" FROM spu_sheet WHERE {where})" if keys else ""
+    same = 'AND x."SPU" = g."SPU"' if keys else ""
+    shown = 'g."SPU", ' if keys else ""
+    measures = ", ".join(f"coalesce(sum(x.{q(m)}), 0.0) AS {q(m)}" for m in ALL)
+    return (f"SELECT {shown}g.first, g.last, {measures} FROM (SELECT * FROM {ranges(length)} {spus}) g "
+            f"LEFT JOIN {rows} x ON x.\"Date\" BETWEEN g.first AND g.last {same} GROUP BY {shown}g.first, g.last")
+
+
+add("e17_many_ranges", summed_ranges(30), num=ALL, day=["first", "last"])
+add("q8_many_ranges", report(summed_ranges(7, OF_SPUS), ["first", "last"], scale=1.0), num=DAY, day=["first", "last"])
+add("q8_many_ranges_by_spu", report(summed_ranges(7, OF_SPUS, "SPU"), ["SPU", "first", "last"], scale=1.0), ["SPU"], DAY, ["first", "last"])
+add("q7_many_ranges",
+    report(f"SELECT first, last, {', '.join(f'{q(x)} / 6.0 AS {q(x)}' for x in ALL)} FROM ({summed_ranges(7, OF_SPUS)})", ["first", "last"], scale=1.0),
+    num=DAY, day=["first", "last"])
+_NEXT = summed_ranges(7, OF_SPUS).replace(ranges(7), "(SELECT DISTINCT d + 7 AS first, d + 13 AS last FROM raw)")
+add("q14_many_ranges",
+    "SELECT b.first, b.last, " + ", ".join(f"case when b.{q(x)} <> 0 then (k.{q(x)} - b.{q(x)}) / b.{q(x)} end AS {q(x)}" for x in ALL)
+    + f" FROM ({summed_ranges(7, OF_SPUS)}) b JOIN ({_NEXT}) k ON k.first = b.first + 7", num=ALL, day=["first", "last"])
+
 WEEK = [f"2023-06-0{i}" for i in range(1, 8)]
 
 

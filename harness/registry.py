@@ -10,7 +10,7 @@ from harness import choices as ch, mapping as m
 from spendscope import names as n
 from spendscope.functions import bands, conditions, dates, ratios, text
 from spendscope.functions.present import as_text
-from spendscope.operators import cleaning, compare, day_vectors, enrich, matrix, rollup, series
+from spendscope.operators import cleaning, compare, day_vectors, enrich, matrix, range_sums, rollup, series
 from spendscope.plans import campaign, pruning, register, sku, spu, yearly
 from spendscope.sources import keys, tables
 
@@ -315,6 +315,23 @@ query("q8_range_total")(lambda s, d: spu.range_total(*spu_tables(s, d), ch.SPUS,
 query("q8_range_total_text")(
     lambda s, d: shown_as_text(spu.range_total(*spu_tables(s, d), ch.SPUS, *ch.BASE), n.RANGE_TEXT)
 )
+
+
+def _weeks(s: SparkSession, d: str) -> DataFrame:
+    """Every week that begins on a day of the ads table, for each chosen SPU."""
+    return range_sums.sliding_ranges(m.ads_daily(s, d), 7).crossJoin(chosen_spus(s, d).withColumnRenamed("key", "SPU"))
+
+
+query("e17_many_ranges")(
+    lambda s, d: range_sums.range_sums(
+        range_sums.running_totals(spu.folded_rows(*spu_tables(s, d)), [], spu.ALL_MEASURES), range_sums.sliding_ranges(m.ads_daily(s, d), 30))
+)
+query("q7_many_ranges")(lambda s, d: spu.means_of_ranges(spu.spu_running_totals(*spu_tables(s, d), ch.SPUS), _weeks(s, d)))
+query("q8_many_ranges")(lambda s, d: spu.totals_of_ranges(spu.spu_running_totals(*spu_tables(s, d), ch.SPUS), _weeks(s, d)))
+query("q8_many_ranges_by_spu")(
+    lambda s, d: spu.totals_of_ranges(spu.spu_running_totals(*spu_tables(s, d), ch.SPUS), _weeks(s, d), ("SPU", "first", "last"))
+)
+query("q14_many_ranges")(lambda s, d: spu.changes_of_ranges(spu.spu_running_totals(*spu_tables(s, d), ch.SPUS), _weeks(s, d)))
 query("q9_spu_trend")(lambda s, d: spu.spu_trend(*spu_tables(s, d), *ch.BASE))
 query("q9_spu_trend_of_categories")(
     lambda s, d: spu.spu_trend(*spu_tables(s, d), *ch.BASE, categories=ch.CATEGORIES)

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from spendscope import names as n
 from spendscope.functions.dates import monthly_to_daily, range_divisor, within
-from spendscope.functions.ratios import raw_ratio
+from spendscope.functions.ratios import raw_ratio, relative_change
 from spendscope.operators import rollup
 from spendscope.operators.cleaning import DAILY, MONTHLY, clean_ads
 from spendscope.operators.enrich import enrich, fold_enriched, normalise_index, only_skus_of
 from spendscope.operators.day_vectors import day_vectors
 from spendscope.operators.matrix import day_matrix, with_bands
+from spendscope.operators.range_sums import RunningTotals, range_sums, running_totals
 from spendscope.sources.keys import Keys, restrict
 from spendscope.sources.tables import drop_missing
 
@@ -187,3 +188,38 @@ def spu_cost_vectors(
     """
     rows = folded_rows(ads, sensor, spu, label, dates=dates, spus=spus, generation=True)
     return day_vectors(rows, MATRIX_ROWS)
+
+
+def spu_running_totals(ads: DataFrame, sensor: DataFrame, spu: DataFrame, label: DataFrame, spus: Keys | None = None) -> RunningTotals:
+    """Running totals of all measures per SPU and day, to be stored and asked for many ranges."""
+    return running_totals(folded_rows(ads, sensor, spu, label, spus=spus), ["SPU"], ALL_MEASURES)
+
+
+def totals_of_ranges(totals: RunningTotals, ranges: DataFrame, by: Sequence[str] = ("first", "last")) -> DataFrame:
+    """The report of ``range_total`` for every row of a table of ranges (SPU, first, last)."""
+    return _report(range_sums(totals, ranges, by), n.DAY_REPORT, by, scale=1.0)
+
+
+def means_of_ranges(totals: RunningTotals, ranges: DataFrame) -> DataFrame:
+    """The report of ``range_mean`` for every range; the divisor is last minus first."""
+    sums = range_sums(totals, ranges)
+    days = F.datediff("last", "first").cast("double")
+    means = sums.withColumns({m: raw_ratio(F.col(f"`{m}`"), days) for m in ALL_MEASURES})
+    return _report(means, n.DAY_REPORT, ["first", "last"], scale=1.0)
+
+
+def changes_of_ranges(totals: RunningTotals, ranges: DataFrame, measures: Sequence[str] = ALL_MEASURES) -> DataFrame:
+    """Relative change of each measure from a range to the range of the same length right after it, for many ranges at once.
+
+    Both ranges of a pair are looked up in the same join.
+    """
+    length = F.datediff("last", "first") + 1
+    begin = {"base_first": F.col("first"), "base_last": F.col("last")}
+    base = ranges.withColumns(begin | {"period": F.lit("base")})
+    after = ranges.withColumns(begin | {"period": F.lit("after")}).withColumns(
+        {"first": F.date_add("base_last", 1), "last": F.date_add("base_last", length)})
+    sums = range_sums(totals, base.unionByName(after), ("base_first", "base_last", "period"))
+    pick = lambda m, p: F.max(F.when(F.col("period") == p, F.col(f"`{m}`")))
+    both = sums.groupBy(F.col("base_first").alias("first"), F.col("base_last").alias("last")).agg(
+        *[pick(m, p).alias(f"{m} {p}") for m in measures for p in ("base", "after")])
+    return both.select("first", "last", *[relative_change(F.col(f"`{m} base`"), F.col(f"`{m} after`")).alias(m) for m in measures])

@@ -201,6 +201,23 @@ add("a5_spu_index", "SELECT * FROM spu_sheet", ["SKU", "SPU"])
 add("a6_product_label", "SELECT * FROM label", ["SKU", "customlabel1", "imagelink"], ["Sale Price"])
 add("a9_canonical_headers", "SELECT * FROM sensor_mon", ["SKU"], SENSORS, ["Month"])
 
+add("a8_written_and_read", "SELECT * FROM sensor_mon", ["SKU"], SENSORS, ["Month"])
+
+_SPOILT = """SELECT *, impression = 4900 AS no_sku, click = 13 AS no_mc, day(d) = 31 AS no_date, cost <> 0 AND cost % 97 = 5 AS no_cost FROM raw"""
+_REASONS = {"no_mc": "MC ID is no bigint", "no_date": "Date is no date", "no_cost": "cost is no double", "no_sku": "SKU is missing"}
+add("a1_checked_rows",
+    f"""SELECT sku AS "SKU", mc AS "MC ID", d AS "Date", cur AS "Currency", pt3 AS "Product Type 3", country AS "Country", impression,
+      case when cost <> 0 then cost end AS cost, click, conversions, ads_value AS "ads value" FROM ({_SPOILT})
+      WHERE NOT ({' OR '.join(_REASONS)})""", ["SKU", "Currency", PT3, "Country"], ADS, ["Date"], ["MC ID"])
+_REASON = "concat_ws('; ', " + ", ".join(f"case when {k} then '{v}' end" for k, v in _REASONS.items()) + ")"
+add("a1_rejects",
+    f"""SELECT {_REASON} AS reason, case when no_date then strftime(d, '%d.%m.%Y') else strftime(d, '%Y-%m-%d') end AS "Date",
+      case when cost = 0 then ' ' when no_cost then '12,5' else printf('%.1f', cost) end AS cost, case when no_mc then 'n/a' else mc::varchar end AS "MC ID",
+      count(*) AS rows FROM ({_SPOILT}) WHERE {' OR '.join(_REASONS)} GROUP BY ALL""", ["reason", "Date", "cost", "MC ID"], whole=["rows"])
+add("a1_reject_counts",
+    f"SELECT NULL::varchar AS reason, count(*) AS rows FROM ({_SPOILT}) WHERE NOT ({' OR '.join(_REASONS)}) "
+    + " ".join(f"UNION ALL SELECT '{v}', count(*) FROM ({_SPOILT}) WHERE {k}" for k, v in _REASONS.items()), ["reason"], whole=["rows"])
+
 # -- filters and projections --------------------------------------------------
 
 
@@ -297,6 +314,7 @@ add("e1_daily_merge",
     'SELECT *, sku AS "SKU", mc AS "MC ID", d AS "Date", cur AS "Currency", pt3 AS "Product Type 3", '
     'country AS "Country" FROM ads_merged'.replace("SELECT *,", 'SELECT impression, cost, click, conversions, "ads value",'),
     ["SKU", "Currency", PT3, "Country"], ADS, ["Date"], ["MC ID"])
+SQL["e1_refreshed_by_deliveries"] = SQL["e1_daily_merge"]
 add("e3_campaign_merge", "SELECT * FROM ads_camp", ["Campaign", "SKU", PT3], CAMP, ["Date"], ["Campaign ID"])
 add("e4_monthly_merge", "SELECT * FROM ads_mon", ["SKU", PT3], ADS, ["Month"])
 _DENSE, CTES = CTES, WHOLE
@@ -402,6 +420,9 @@ add("e18_range_mean",
     f"SELECT {', '.join(f'{q(x)} / 364.0 AS {q(x)}' for x in ALL)} FROM "
     f"(SELECT {sums(ALL)} FROM day_rows WHERE {within('Date', YEAR_DAYS)})", num=ALL)
 add("e19_date_extremes", 'SELECT min(d) AS "min_Date", max(d) AS "max_Date" FROM raw', day=["min_Date", "max_Date"])
+add("e19_stored_extremes",
+    'SELECT min(d) AS "min_Date", max(d) AS "max_Date", min(cost) AS min_cost, max(cost) AS max_cost FROM raw',
+    num=["min_cost", "max_cost"], day=["min_Date", "max_Date"])
 add("e20_column_maxima", f"SELECT {', '.join(f'max({q(x)}) AS {q(x)}' for x in SENSORS)} FROM sensor_day", num=SENSORS)
 add("e21_distinct_campaigns", 'SELECT DISTINCT campaign AS "Campaign" FROM raw', ["Campaign"])
 

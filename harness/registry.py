@@ -12,7 +12,8 @@ from spendscope.functions import bands, conditions, dates, ratios, text
 from spendscope.functions.present import as_text
 from spendscope.operators import cleaning, compare, day_vectors, enrich, matrix, range_sums, rollup, series
 from spendscope.plans import campaign, pruning, register, sku, spu, yearly
-from spendscope.sources import keys, tables
+from spendscope.sources import checked, keys, state, statistics, tables
+from spendscope.sources.scratch import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 REPORTS: dict[str, Query] = {}  # as a user gets them
@@ -106,6 +107,38 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return tables.canonical(sheet, n.SENSOR_MONTHLY_HEADERS)
 
 
+
+
+@query("a8_written_and_read")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Ads rows written by month under sheet headers and read back."""
+    path = shared_folder(s, "sensor-export")
+    sheet = m.sensor_monthly(s, d).withColumnsRenamed({v: k for k, v in n.SENSOR_MONTHLY_HEADERS.items()})
+    tables.write_result(sheet.withColumn("year", F.year("月")), path, partition_by=["year"])
+    return tables.read_table(s, tables.SENSOR_MONTHLY, path)
+
+
+def _broken_export(s: SparkSession, d: str) -> str:
+    """Ads rows as a CSV sheet in which some cells are spoilt: dates, costs, merchant ids, and some SKUs are blank."""
+    path, text = shared_folder(s, "broken-export"), lambda x: c(f"`{x}`").cast("string")
+    sheet = m.ads_daily(s, d).select(
+        F.when(c("impression") == 4900, "").otherwise(c("SKU")).alias("SKU"), "Currency", f"`{n.PT3}`", "Country",
+        F.when(c("click") == 13, "n/a").otherwise(text("MC ID")).alias("MC ID"),
+        F.when(F.dayofmonth("Date") == 31, F.date_format("Date", "dd.MM.yyyy")).otherwise(dates.iso(c("Date"))).alias("Date"),
+        text("impression").alias("impression"), F.when(c("cost") == 0, " ").when(c("cost") % 97 == 5, "12,5").otherwise(text("cost")).alias("cost"),
+        text("click").alias("click"), text("conversions").alias("conversions"), text("ads value").alias("ads value"))
+    tables.write_result(sheet, path, "csv")
+    return path
+
+
+def _checked(s: SparkSession, d: str) -> checked.Checked:
+    return checked.read_checked(s, tables.ADS_DAILY, _broken_export(s, d), "csv", line_feeds=True, required=("SKU",))
+
+
+query("a1_checked_rows")(lambda s, d: _checked(s, d).good)
+query("a1_rejects")(lambda s, d: counted(_checked(s, d).rejects.withColumns({x: c("raw")[x] for x in ("Date", "cost", "MC ID")}), "reason", "Date", "cost", "MC ID"))
+query("a1_reject_counts")(lambda s, d: checked.reject_counts(_checked(s, d)))
+
 # -- filters and projections --------------------------------------------------
 
 query("b1_labelled_rows")(
@@ -209,6 +242,22 @@ query("q1_clean_ads")(lambda s, d: cleaning.clean_ads(m.ads_daily(s, d), cleanin
 query("e1_daily_merge")(
     lambda s, d: cleaning.merge_repeats(cleaning.repair_rows(m.ads_daily(s, d), cleaning.DAILY), cleaning.DAILY)
 )
+
+
+@query("e1_refreshed_by_deliveries")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The daily merge from three deliveries: half of the rows, with some of them wrong; the wrong ones corrected and most of the rest; late rows."""
+    ads, path = m.ads_daily(s, d), shared_folder(s, "ads-state")
+    early, late = c("click") < 25, F.dayofmonth("Date") == 7
+    wrong = early & (c("conversions") == 3)
+    spoilt = ads.withColumns({"cost": c("cost") + 1, "Country": F.when(c("impression") == 700, "nowhere").otherwise(c("Country"))})
+    first = state.delivery(ads.where(early & ~wrong & ~late).unionByName(spoilt.where(wrong & ~late)))
+    second = state.delivery(ads.where(~early & ~late).unionByName(ads.where(wrong & ~late)), spoilt.where(wrong & ~late))
+    for number, rows in enumerate((first, second, state.delivery(ads.where(late)), second), 1):
+        state.refresh(s, path, rows, cleaning.DAILY, min(number, 3))  # the last one is a repetition and changes nothing
+    return state.current(s, path, cleaning.DAILY)
+
+
 query("e2_sku_daily_merge")(lambda s, d: cleaning.clean_ads(m.ads_sku_daily(s, d), cleaning.SKU_DAILY))
 query("e3_campaign_merge")(lambda s, d: cleaning.clean_ads(m.ads_campaign_daily(s, d), cleaning.CAMPAIGN))
 query("e4_monthly_merge")(lambda s, d: cleaning.clean_ads(m.ads_monthly(s, d), cleaning.MONTHLY))
@@ -277,6 +326,16 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 query("e19_date_extremes")(lambda s, d: rollup.extremes(m.ads_daily(s, d), "Date"))
+
+
+@query("e19_stored_extremes")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """First and last day of stored ads rows, from the files' footers."""
+    path = shared_folder(s, "ads-facts")
+    tables.write_result(m.ads_daily(s, d), path)
+    return statistics.footer_bounds(s, path, "Date", "cost")
+
+
 query("e20_report_maxima")(
     lambda s, d: rollup.column_maxima(spu.spu_trend(*spu_tables(s, d), *ch.BASE), n.DAY_REPORT)
 )

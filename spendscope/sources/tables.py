@@ -45,15 +45,15 @@ def conform(df: DataFrame, table: Table) -> DataFrame:
     job rather than turning into a silent null.
     """
     named = canonical(df, table.headers)
-    return named.select(*[_number(F.col(f"`{c.name}`").cast(c.dataType), c.dataType).alias(c.name) for c in table.schema.fields])
+    return named.select(*[number_or_missing(F.col(f"`{c.name}`").cast(c.dataType), c.dataType).alias(c.name) for c in table.schema.fields])
 
 
-def _number(column: Column, kind: T.DataType) -> Column:
+def number_or_missing(column: Column, kind: T.DataType) -> Column:
     """Not-a-number is a missing value, as one such cell would spoil every sum above it."""
     return F.nanvl(column, F.lit(None)) if isinstance(kind, (T.DoubleType, T.FloatType)) else column
 
 
-def _loader(spark: SparkSession, fmt: str, line_feeds: bool) -> DataFrameReader:
+def loader(spark: SparkSession, fmt: str, line_feeds: bool) -> DataFrameReader:
     reader = spark.read.format(fmt)
     if fmt == "csv":
         # headers decide which column is which, so exports may order them freely
@@ -67,13 +67,13 @@ def read_table(spark: SparkSession, table: Table, path: str, fmt: str = "parquet
     ``line_feeds`` says that cells of a CSV export hold line feeds; such a file
     cannot be split over tasks.
     """
-    return conform(_loader(spark, fmt, line_feeds).load(path), table)
+    return conform(loader(spark, fmt, line_feeds).load(path), table)
 
 
 def read_sheet(spark: SparkSession, path: str, fmt: str = "parquet", line_feeds: bool = False) -> DataFrame:
     """A sheet with all its own columns, as it is but for not-a-number, which is missing."""
-    df = _loader(spark, fmt, line_feeds).load(path)
-    return df.select(*[_number(F.col(f"`{c.name}`"), c.dataType).alias(c.name) for c in df.schema.fields])
+    df = loader(spark, fmt, line_feeds).load(path)
+    return df.select(*[number_or_missing(F.col(f"`{c.name}`"), c.dataType).alias(c.name) for c in df.schema.fields])
 
 
 def drop_sparse_rows(df: DataFrame, missing: int = 2, present: Sequence[str] = ()) -> DataFrame:
@@ -107,7 +107,8 @@ def write_result(
     """
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        # blanks around a value are part of it
+        writer = writer.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -267,7 +267,7 @@ def frequent(
     words, ranks = ranked(counted.filter("phrase is not null").select("lang", "phrase", "key", "n"), addressed)
     ids, levels, steps = encoded(docs, ranks, text_col, lang_col), [words], []
     for _ in range(2, longest + 1):
-        found = _keyed(pairs(ids, steps, tile, dense).filter(F.col("n") >= least))
+        found = stored(_keyed(pairs(ids, steps, tile, dense).filter(F.col("n") >= least)), "pairs")
         below = levels[-1]
         left = below.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("begin"))
         right = below.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("end"))

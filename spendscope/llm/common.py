@@ -2,37 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendscope.sources.scratch import shared_folder
+
+__all__ = ["shared_folder"]
+
 #: Bytes of text that a task works on at once; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new path below the folder that all executors share; a folder of its own only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get()
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """The rows as a table in the shared folder: later jobs read it, lost executors cost nothing."""
     path = shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -95,6 +85,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _BYTE = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+BYTE_LOWER = _BYTE[_LOWER]
 #: Values that a running sum of hashes spans, so that the powers stay small however long a text is.
 _SPAN = 1 << 20
 
@@ -157,7 +148,7 @@ class Words:
         #: Words of row i are bounds[i]:bounds[i + 1].
         self.bounds = np.searchsorted(self.starts, offsets)
         self.owner = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bounds))
-        self.hashes = rolling(raw, self.starts, self.ends, _BYTE[_LOWER] if lower else _BYTE)
+        self.hashes = rolling(raw, self.starts, self.ends, BYTE_LOWER if lower else _BYTE)
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all n-word windows inside one text, and their hashes."""

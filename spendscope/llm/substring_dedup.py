@@ -7,27 +7,30 @@ first two words, then three, and so on. The counts cover all documents; every
 task then knows from the list of heavy cells to which group a suffix belongs. A
 group holds about GROUP / 2 suffixes, whatever the size of the corpus.
 
-Texts are dealt into chunks of some megabytes that are stored once. Equal
-suffixes of a chunk are told apart no further than to `least` words and sent as
-one, with the smallest doc_id, so a passage in a third of all documents is sent
-once a chunk. Content is sent to the groups in two rounds, the second only for
-suffixes that can have an equal:
+Texts are dealt into chunks of some megabytes that are stored once. A text that is
+whole the same as one of a smaller doc_id goes as a whole, by its 128-bit digest, and
+brings no suffixes: the other has them all. Equal suffixes of a chunk are told
+apart no further than to `least` words and sent as one, with the smallest
+doc_id, so a passage in a third of all documents is sent once a chunk. Content is
+sent to the groups in two rounds, the second only for suffixes that can have an equal:
 
 1. 32 hash bits of the first `least` words, sorted: suffixes whose bits no other
    chunk has are leaves that hang off shallow nodes. Their share of the traffic
    ends here.
-2. The words of the others, as ids of a dictionary of their own. A group's
-   subtree is built as the sorted order of its suffixes with the lengths of common
-   prefixes of neighbours; its internal nodes of depth `least` and more are the
-   repeats, and the smallest doc_id below a node is the one that keeps it.
+2. The first `least` words of the others, a symbol of 16 hash bits each, and the bits
+   of the first round. A group's subtree is built as the sorted order of its
+   suffixes with the lengths of common prefixes of neighbours; its internal nodes of
+   depth `least` and more are the repeats, and the smallest doc_id below a node is
+   the one that keeps it. What a suffix costs does not hang on the number of groups.
 
 Each round's answers, a bit per suffix, are written as one file a chunk below the
 shared folder, so no text is shuffled. The chunk marks the words of all windows
 that a smaller doc_id also has; neighbouring marked windows are one repeat,
 however long.
 
-Words are runs of anything but ASCII white space. They are equal if their 64-bit
-hashes are, `least` of them in a row. Defined cases: null and empty texts have no
+Words are runs of anything but ASCII white space. Suffixes of one chunk are equal if 64
+hash bits of their first `least` words are, those of different chunks if all symbols are: 16
+bits a word and 32 more over all of them (240 bits for 13 words, 48 where one word differs). Defined cases: null and empty texts have no
 words and lose none; texts of fewer than `least` words lose none; rows that
 repeat a doc_id are judged each, and are not smaller than one another; a row
 without doc_id keeps all its words and takes none from others; very long texts are
@@ -37,6 +40,7 @@ are not read.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,7 +60,7 @@ GROUP = 1 << 22
 #: Most heavy cells of a length of prefix; groups grow with the corpus beyond that.
 MOST_HEAVY = 1 << 20
 CELL_BITS = 16
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 _WORDS_AT_ONCE = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,13 +92,13 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         if held:
             yield out()
 
-    return stored(documents(docs, id_col, text_col).mapInArrow(run, "chunk string, ids array<long>, texts array<string>"), "chunks")
+    return stored(documents(docs, id_col, text_col).mapInArrow(run, "chunk string, ids array<long>, texts array<string>"), "chunks", "zstd")
 
 
 class Chunk:
     """Words and distinct suffixes of a chunk's documents; the same for the same rows, whenever it is made."""
 
-    def __init__(self, ids: pa.Array, texts: pa.Array, least: int):
+    def __init__(self, ids: pa.Array, texts: pa.Array, least: int, copies: np.ndarray):
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         self.null = ids.is_null().to_numpy(zero_copy_only=False)
         self.raw, offsets = utf8(texts)
@@ -109,7 +113,7 @@ class Chunk:
         whole = Words.__new__(Words)
         whole.owner, whole.hashes = self.owner, self.hashes
         at, hashes = whole.windows(least)
-        keep = ~self.null[self.owner[at]]
+        keep = ~(self.null | copies)[self.owner[at]]
         self.at, hashes = at[keep], hashes[keep]
         order = np.argsort(hashes, kind="stable")
         new = np.ones(len(order), bool)
@@ -142,16 +146,79 @@ class Chunk:
         return pa.LargeStringArray.from_buffers(len(self.ids), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out))
 
 
-def _each(chunks: DataFrame, least: int, work: Callable[[str, Chunk], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def _rows(chunks: DataFrame, work: Callable[[str, pa.Array, pa.Array], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, ids, texts = batch.columns
             for i in range(len(batch)):
-                yield from work(names[i].as_py(), Chunk(ids[i].values, texts[i].values, least))
+                yield from work(names[i].as_py(), ids[i].values, texts[i].values)
 
     return chunks.mapInArrow(run, schema)
 
 
+def _each(chunks: DataFrame, least: int, folder: str, work: Callable[[str, Chunk], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Over the suffixes of every chunk; `folder` knows its copies, which are left out."""
+
+    def one(name: str, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        keep = pa.array(~_copies(folder, name, ids, texts))
+        ids, texts = ids.filter(keep), texts.filter(keep)
+        if len(ids):
+            yield from work(name, Chunk(ids, texts, least, np.zeros(len(ids), bool)))
+
+    return _rows(chunks, one, schema)
+
+
+# -- whole copies -------------------------------------------------------------
+
+
+def _digests(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct texts of a chunk by digest: (digest, smallest doc_id), and which one each row has (-1 without doc_id)."""
+    texts = texts.fill_null("").cast(pa.large_binary())
+    digest = np.array([hashlib.blake2b(x.as_buffer(), digest_size=16).digest() for x in texts], "S16") if len(texts) else np.zeros(0, "S16")
+    digest = digest.view([("a", "<u8"), ("b", "<u8")])
+    known = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+    names, place = np.unique(digest[known], return_inverse=True)
+    low = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(low, place, ids.fill_null(0).to_numpy(zero_copy_only=False)[known])
+    own = np.full(len(ids), -1)
+    own[known] = place
+    return names, low, own
+
+
+def _by_digest(names: np.ndarray, parts: int) -> dict[int, np.ndarray]:
+    return dict(_by_group((names["b"] % np.uint64(parts)).astype(np.int64)))
+
+
+def _whole_copies(chunks: DataFrame, folder: str, parts: int) -> None:
+    """A bit per distinct text of a chunk: whether a smaller doc_id of another chunk has it."""
+
+    def work(name: str, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        names, low, _ = _digests(ids, texts)
+        by = _by_digest(names, parts)
+        yield _blobs(name, list(by), [names[own].tobytes() + low[own].tobytes() for own in by.values()])
+
+    def answer(blobs: list[bytes]) -> list[np.ndarray]:
+        sizes = [len(b) // 24 for b in blobs]
+        names = np.concatenate([np.frombuffer(b, [("a", "<u8"), ("b", "<u8")], n) for b, n in zip(blobs, sizes)])
+        low = np.concatenate([np.frombuffer(b, np.int64, n, 16 * n) for b, n in zip(blobs, sizes)])
+        known, place = np.unique(names, return_inverse=True)
+        lowest = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(lowest, place, low)
+        return np.split(lowest[place] < low, np.cumsum(sizes)[:-1])
+
+    _answered(_rows(chunks, work, _BLOBS), answer, folder)
+
+
+def _copies(folder: str, name: str, ids: pa.Array, texts: pa.Array) -> np.ndarray:
+    """Rows whose whole text a smaller doc_id has; the folder's name ends in the number of parts."""
+    names, low, own = _digests(ids, texts)
+    if not len(names):
+        return np.zeros(len(ids), bool)
+    elsewhere = _answers(folder, name, _by_digest(names, int(folder.rpartition("-")[2])), len(names))
+    place = np.maximum(own, 0)
+    return (own >= 0) & (elsewhere[place] | (ids.fill_null(0).to_numpy(zero_copy_only=False) > low[place]))
+
+
 # -- prefixes -----------------------------------------------------------------
 
 
@@ -185,7 +252,7 @@ def _cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def split(chunks: DataFrame, least: int, group: int = GROUP) -> Split:
+def split(chunks: DataFrame, least: int, copies: str, group: int = GROUP) -> Split:
     """Prefixes of variable length for groups of `group` suffixes at most."""
     out, spark = Split(), chunks.sparkSession
     while len(out.heavy) < least - 1:
@@ -195,7 +262,7 @@ def split(chunks: DataFrame, least: int, group: int = GROUP) -> Split:
             cells, n = np.unique(shared.value.open_cells(chunk)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], ["cell", "n"])
 
-        counted = stored(_each(chunks, least, work, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+        counted = stored(_each(chunks, least, copies, work, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
         if not out.heavy:
             out.total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
             group = max(group, 4 * out.total // MOST_HEAVY)
@@ -219,34 +286,46 @@ def _by_group(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Rising 32-bit numbers as differences, byte by byte."""
-    steps = np.diff(values.astype(np.uint32), prepend=np.uint32(0)).astype("<u4")
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Rising numbers as differences, byte by byte, so that bytes alike lie together."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(len(values), steps.itemsize).T).tobytes()
 
 
-def _values(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+def _values(data: bytes, kind: type = np.uint32) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(kind().itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
-_PRESS = struct.Struct("<IIII")
+_PRESS = struct.Struct("<III")
+#: Symbols of a suffix besides its words: the hash bits of the first round once more.
+_TAG = 2
 
 
-def _content(chunk: Chunk, ids: np.ndarray, words: np.ndarray, suffixes: np.ndarray, least: int) -> bytes:
-    """Smallest doc_ids, dictionary and first words of suffixes."""
-    slots = ids[chunk.head[suffixes][None, :] + np.arange(least)[:, None]]
-    used, local = np.unique(slots, return_inverse=True)
-    kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
+def _bytes_apart(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def _bytes_joined(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind().itemsize, -1).T).view(kind).ravel()
+
+
+def _content(chunk: Chunk, symbols: np.ndarray, suffixes: np.ndarray, least: int) -> bytes:
+    """Smallest doc_ids, hash bits and the symbols of the first words of suffixes."""
+    slots = symbols[chunk.head[suffixes][None, :] + np.arange(least)[:, None]]
     press = zstandard.ZstdCompressor(level=1)
-    parts = [press.compress(x.tobytes()) for x in (chunk.least_id[suffixes], words[used], local.astype(kind))]
-    return _PRESS.pack(len(suffixes), kind().itemsize, len(parts[0]), len(parts[1])) + b"".join(parts)
+    low = press.compress(_bytes_apart(chunk.least_id[suffixes]))
+    tags = _planes((chunk.hash[suffixes] >> np.uint64(32)).astype(np.uint32))
+    return _PRESS.pack(len(suffixes), len(low), len(tags)) + low + tags + press.compress(_bytes_apart(slots.ravel()))
 
 
-def _decoded(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, width, a, b = _PRESS.unpack_from(data)
+def _decoded(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest doc_ids, and symbols as (least + _TAG, suffixes)."""
+    n, a, b = _PRESS.unpack_from(data)
     at, read = _PRESS.size, zstandard.ZstdDecompressor()
-    low, words, slots = (read.decompress(x) for x in (data[at : at + a], data[at + a : at + a + b], data[at + a + b :]))
-    return np.frombuffer(low, np.int64), np.frombuffer(words, np.uint64), np.frombuffer(slots, np.uint16 if width == 2 else np.uint32).reshape(least, n)
+    low = _bytes_joined(read.decompress(data[at : at + a]), np.int64)
+    tags = _values(data[at + a : at + a + b]).view(np.uint16).reshape(n, _TAG).T
+    words = _bytes_joined(read.decompress(data[at + a + b :]), np.uint16).reshape(least, n)
+    return low, np.concatenate([words, tags])
 
 
 def subtree(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -323,16 +402,13 @@ def _smaller_elsewhere(least: int) -> Callable[[list[bytes]], list[np.ndarray]]:
 
     def answer(blobs: list[bytes]) -> list[np.ndarray]:
         parts = [_decoded(b, least) for b in blobs]
-        words, rank = np.unique(np.concatenate([w for _, w, _ in parts]), return_inverse=True)
-        at = np.cumsum([0, *(len(w) for _, w, _ in parts)])
-        columns = np.concatenate([rank[a:b][slots] for (_, _, slots), a, b in zip(parts, at, at[1:])], axis=1)
-        low = np.concatenate([x for x, _, _ in parts])
-        order, common = subtree(columns)
-        nodes = deep_nodes(common, least)
+        low = np.concatenate([x for x, _ in parts])
+        order, common = subtree(np.concatenate([x for _, x in parts], axis=1))
+        nodes = deep_nodes(common, least + _TAG)
         lowest = np.repeat(np.minimum.reduceat(low[order], nodes), np.diff(np.r_[nodes, len(order)]))
         out = np.zeros(len(low), bool)
         out[order] = lowest < low[order]
-        return np.split(out, np.cumsum([len(x) for x, _, _ in parts])[:-1])
+        return np.split(out, np.cumsum([len(x) for x, _ in parts])[:-1])
 
     return answer
 
@@ -346,28 +422,32 @@ def deduplicated(
     """
     spark = docs.sparkSession
     chunks = chunked(docs, id_col, text_col, chunk_bytes)
-    shared = spark.sparkContext.broadcast(split(chunks, least, group))
-    asked, told = shared_folder(spark, "suffix-bits"), shared_folder(spark, "suffix-repeats")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    copies, asked, told = f"{shared_folder(spark, 'whole-copies')}-{parts}", shared_folder(spark, "suffix-bits"), shared_folder(spark, "suffix-repeats")
+    _whole_copies(chunks, copies, parts)
+    shared = spark.sparkContext.broadcast(split(chunks, least, copies, group))
 
     def first(name: str, chunk: Chunk) -> Iterator[pa.RecordBatch]:
-        parts = list(_by_group(shared.value.of(chunk)))
-        data = [_planes((chunk.hash[own] >> np.uint64(32)).astype(np.uint32)) for _, own in parts]
-        yield _blobs(name, [p for p, _ in parts], data)
+        by = dict(_by_group(shared.value.of(chunk)))
+        yield _blobs(name, list(by), [_planes((chunk.hash[own] >> np.uint64(32)).astype(np.uint32)) for own in by.values()])
 
     def survivors(name: str, chunk: Chunk) -> dict[int, np.ndarray]:
-        parts = dict(_by_group(shared.value.of(chunk)))
-        some = _answers(asked, name, parts, len(chunk.head))
-        return {part: own[some[own]] for part, own in parts.items() if some[own].any()}
+        by = dict(_by_group(shared.value.of(chunk)))
+        some = _answers(asked, name, by, len(chunk.head))
+        return {part: own[some[own]] for part, own in by.items() if some[own].any()}
 
     def second(name: str, chunk: Chunk) -> Iterator[pa.RecordBatch]:
-        parts = survivors(name, chunk)
-        words, ids = np.unique(chunk.hashes, return_inverse=True)
-        yield _blobs(name, list(parts), [_content(chunk, ids, words, own, least) for own in parts.values()])
+        by = survivors(name, chunk)
+        symbols = (chunk.hashes >> np.uint64(16)).astype(np.uint16)
+        yield _blobs(name, list(by), [_content(chunk, symbols, own, least) for own in by.values()])
 
-    def last(name: str, chunk: Chunk) -> Iterator[pa.RecordBatch]:
+    def last(name: str, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        whole = _copies(copies, name, ids, texts)
+        chunk = Chunk(ids, texts, least, whole)
         gone = _answers(told, name, survivors(name, chunk), len(chunk.head))
         over = gone[chunk.suffix] | (chunk.ids[chunk.owner[chunk.at]] > chunk.least_id[chunk.suffix])
-        removed = covered(chunk.at[over], least, len(chunk.hashes))
+        n_words = np.diff(chunk.bounds)
+        removed = covered(chunk.at[over], least, len(chunk.hashes)) | (whole & (n_words >= least))[chunk.owner]
         edge = np.ones(len(removed), bool)
         edge[1:] = (removed[1:] != removed[:-1]) | (chunk.owner[1:] != chunk.owner[:-1])
         run = np.flatnonzero(edge)
@@ -376,13 +456,15 @@ def deduplicated(
         spans = pa.StructArray.from_arrays([pa.array(run - chunk.bounds[chunk.owner[run]]), pa.array(size)], ["start", "n"])
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(chunk.owner[run], np.arange(len(chunk.ids) + 1)).astype(np.int32)), spans)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(chunk.ids, mask=chunk.null), pa.array(np.diff(chunk.bounds)), pa.array(per_row(removed.astype(np.int64), chunk.bounds)), chunk.kept_texts(~removed).cast(pa.string()), lists],
+            [pa.array(chunk.ids, mask=chunk.null), pa.array(n_words), pa.array(per_row(removed.astype(np.int64), chunk.bounds)), chunk.kept_texts(~removed).cast(pa.string()), lists],
             ["doc_id", "n_words", "n_removed", "text", "removed"])
 
-    blobs = "part long, chunk string, data binary"
-    _answered(_each(chunks, least, first, blobs), _shared_elsewhere, asked)
-    _answered(_each(chunks, least, second, blobs), _smaller_elsewhere(least), told)
-    return _each(chunks, least, last, "doc_id long, n_words long, n_removed long, text string, removed array<struct<start:long,n:long>>")
+    _answered(_each(chunks, least, copies, first, _BLOBS), _shared_elsewhere, asked)
+    _answered(_each(chunks, least, copies, second, _BLOBS), _smaller_elsewhere(least), told)
+    return _rows(chunks, last, "doc_id long, n_words long, n_removed long, text string, removed array<struct<start:long,n:long>>")
+
+
+_BLOBS = "part long, chunk string, data binary"
 
 
 def _blobs(chunk: str, parts: list[int], data: list[bytes]) -> pa.RecordBatch:

@@ -58,9 +58,11 @@ def test_equals_by_hand(make, sizes):
 def test_prefixes_grow_where_suffixes_are_many(spark, make):
     rows = [(i, "the same words begin here " + f"x{i} y{i} z{i}") for i in range(200)]
     chunks = s.chunked(make([(i, t, "en", "s", 0) for i, t in rows]), size=100)
-    split = s.split(chunks, 5, 64)
+    folder = f"{s.shared_folder(spark, 'copies')}-3"
+    s._whole_copies(chunks, folder, 3)
+    split = s.split(chunks, 5, folder, 64)
     assert len(split.heavy) == 4 and 600 < split.total <= 800 and all(len(h) for h in split.heavy)
-    assert s.split(chunks, 5, 10**6).heavy == []
+    assert s.split(chunks, 5, folder, 10**6).heavy == []
 
 
 def test_hot_passage_in_a_third_of_the_documents(spark, make):

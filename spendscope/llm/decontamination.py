@@ -45,8 +45,14 @@ def _bit(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(40)).astype(np.int64) % BITMAP_BITS
 
 
-def seeds(items: DataFrame, k: int = 5, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_key, item_id, item_text, n_words, length, seed, times): windows of each item and how often it has them."""
+def keyed(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_key, item_id, item_text), one row per distinct item: the only table that holds item texts."""
+    rows = documents(items, id_col, text_col).select(F.xxhash64("id", "text").alias("item_key"), F.col("id").alias("item_id"), F.col("text").alias("item_text"))
+    return rows.dropDuplicates(["item_key"])
+
+
+def seeds(items: DataFrame, k: int = 5) -> DataFrame:
+    """(item_key, n_words, length, seed, times): hashes of the windows of each item of `keyed` and how often it has them."""
 
     def work(batch: pa.RecordBatch) -> dict:
         words = _words(batch.column("text"))
@@ -58,15 +64,10 @@ def seeds(items: DataFrame, k: int = 5, id_col: str = "item_id", text_col: str =
             keep = np.ones(len(at), bool) if n == k else n_words[row] == n
             found.append((row[keep], np.full(int(keep.sum()), n), hashes[keep]))
         row, length, hashes = (np.concatenate(x) for x in zip(*found))
-        take = pa.array(row)
-        return {
-            "item_id": batch.column("id").take(take), "item_text": batch.column("text").take(take),
-            "n_words": n_words[row], "length": length.astype(np.int32), "seed": hashes.view(np.int64),
-        }
+        return {"item_key": batch.column("item_key").take(pa.array(row)), "n_words": n_words[row], "length": length.astype(np.int32), "seed": hashes.view(np.int64)}
 
-    rows = mapped(documents(items, id_col, text_col), work, "item_id long, item_text string, n_words long, length int, seed long")
-    key = F.xxhash64("item_id", "item_text").alias("item_key")
-    return rows.groupBy(key, "item_id", "item_text", "n_words", "length", "seed").agg(F.count("*").alias("times"))
+    rows = mapped(items.select("item_key", F.col("item_text").alias("text")), work, "item_key long, n_words long, length int, seed long")
+    return rows.groupBy("item_key", "n_words", "length", "seed").agg(F.count("*").alias("times"))
 
 
 def _bitmap(found: DataFrame) -> np.ndarray:
@@ -133,6 +134,23 @@ def _windows(values: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray,
     return at, rolling(values, at, at + n)
 
 
+def _longest_shared(item: np.ndarray, free_a: np.ndarray, text: np.ndarray, free_b: np.ndarray, least: int, most: int) -> int:
+    """The greatest length up to `most` at which both have an equal window of unmarked words, 0 if below `least`.
+
+    Whoever shares a window shares its shorter ones, so the length is found by halving.
+    """
+    found = 0
+    while least <= most:
+        size = (least + most + 1) // 2 if found else least
+        if np.isin(_windows(item, free_a, size)[1], _windows(text, free_b, size)[1]).any():
+            found, least = size, size + 1
+        elif found:
+            most = size - 1
+        else:
+            return 0
+    return found
+
+
 def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two arrays of word hashes: (start in item, start in text, length), longest first."""
     out: list[tuple[int, int, int]] = []
@@ -141,7 +159,7 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
     # only words inside a shared seed can take part
     free_a = covered(a[np.isin(ah, bh)], least, len(item))
     free_b = covered(b[np.isin(bh, ah)], least, len(text))
-    size = min(_runs(free_a), _runs(free_b))
+    size = _longest_shared(item, free_a, text, free_b, least, min(_runs(free_a), _runs(free_b)))
     while size >= least:
         a, ah = _windows(item, free_a, size)
         b, bh = _windows(text, free_b, size)
@@ -152,7 +170,7 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
         for stack in places.values():
             stack.reverse()
         for p, h in zip(a[hit_a].tolist(), ah[hit_a].tolist()):
-            if not free_a[p : p + size].all():
+            if not (free_a[p] and free_a[p + size - 1]) or not free_a[p : p + size].all():
                 continue
             stack = places[h]
             while stack and not free_b[stack[-1] : stack[-1] + size].all():
@@ -162,7 +180,7 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
                 free_a[p : p + size] = False
                 free_b[q : q + size] = False
                 out.append((p, q, size))
-        size = min(size - 1, _runs(free_a), _runs(free_b))
+        size = _longest_shared(item, free_a, text, free_b, least, min(size - 1, _runs(free_a), _runs(free_b)))
     return out
 
 
@@ -203,7 +221,8 @@ def contaminated(
 
     `key` tells rows of one doc_id apart: xxhash64 of id and text.
     """
-    known = stored(seeds(items, k, *item_cols), "seeds")
+    texts = stored(keyed(items, *item_cols), "items")
+    known = stored(seeds(texts, k), "seeds")
     lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # k values at most
     hit = seeded(docs, _bitmap(known), lengths or [k], *doc_cols).withColumn("key", F.xxhash64("id", "text"))
     hit = stored(hit, "seeded")
@@ -213,8 +232,8 @@ def contaminated(
     reach = F.expr("sum(times * length) over (partition by item_key order by n_docs desc, seed rows between unbounded preceding and current row)")
     starting = ranked.select("*", reach.alias("reach")).filter(F.col("reach") >= F.lit(coverage) * F.col("n_words")).select("seed", "item_key")
     pairs = stored(hits.join(starting, "seed").select("key", "item_key").distinct(), "pairs")
-    texts = known.select("item_key", "item_id", "item_text", "n_words").distinct()
-    wanted = pairs.join(hit.select("key", "id", "text").dropDuplicates(["key"]), "key").join(texts, "item_key")
+    sizes = known.groupBy("item_key").agg(F.max("n_words").alias("n_words"))
+    wanted = pairs.join(hit.select("key", "id", "text").dropDuplicates(["key"]), "key").join(texts.join(sizes, "item_key"), "item_key")
     found = _tiled(wanted.select("item_id", "item_text", "n_words", "id", "key", "text"), k)
     share = F.col("n_covered") / F.col("n_words")
     return found.select(F.col("id").alias("doc_id"), "key", "item_id", "n_words", "n_covered", share.alias("coverage"), "tiles").filter(

@@ -98,3 +98,28 @@ def test_messy_rows(spark, messy, empty):
     assert d.decontaminated(messy, bench(spark)).count() == 12
     assert d.contaminated(empty, bench(spark)).count() == 0 and d.decontaminated(empty, bench(spark)).count() == 0
     assert d.decontaminated(messy, bench(spark).limit(0)).count() == 12
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_longest_shared_window_is_found_by_halving(seed):
+    r = np.random.default_rng(seed)
+    item, text = r.integers(0, 4, 30).astype(np.uint64), r.integers(0, 4, 40).astype(np.uint64)
+    free_a, free_b = r.random(30) > 0.1, r.random(40) > 0.1
+
+    def shared(n):
+        windows = lambda v, free: {tuple(v[i : i + n]) for i in range(len(v) - n + 1) if free[i : i + n].all()}
+        return bool(windows(item, free_a) & windows(text, free_b))
+
+    want = max([n for n in range(2, 31) if shared(n)], default=0)
+    assert d._longest_shared(item, free_a, text, free_b, 2, 30) == want
+
+
+def test_item_of_two_hundred_thousand_words(spark, make):
+    words = [f"w{i}" for i in range(200_000)]
+    long = " ".join(words)
+    items = spark.createDataFrame([(1, long), (2, "quite another short item of some eight words")], "item_id long, text string")
+    half = " ".join(words[110_000:] + ["x"] * 30 + words[:20_000])
+    docs = make([(1, long, "", "", 0), (2, half, "", "", 0), (3, " ".join(words[:90_000]), "", "", 0), (4, "none of it", "", "", 0)])
+    got = {(r.doc_id, r.item_id): (r.n_words, r.n_covered, len(r.tiles)) for r in d.contaminated(docs, items).collect()}
+    assert got == {(1, 1): (200_000, 200_000, 1), (2, 1): (200_000, 110_000, 2)}
+    assert "item_text" not in d.seeds(d.keyed(items)).columns

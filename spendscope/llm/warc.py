@@ -121,7 +121,7 @@ class _Inflated:
     """The bytes of a gzip member, inflated as far as they are asked for."""
 
     def __init__(self, file: pa.NativeFile, offset: int):
-        self.file, self.at, self.object, self.rest, self.buffer = file, offset, zlib.decompressobj(31), b"", b""
+        self.file, self.at, self.object, self.rest, self.buffer = file, offset, zlib.decompressobj(31), b"", bytearray()
 
     def ask(self, n: int) -> bytes:
         """The first n bytes, or all."""
@@ -133,7 +133,7 @@ class _Inflated:
                 if not data:
                     break
             self.buffer += self.object.decompress(data, max(n - len(self.buffer), 1))
-        return self.buffer[:n]
+        return bytes(memoryview(self.buffer)[:n])
 
     def end(self) -> int:
         """Where the member ends; what is left is inflated and dropped."""

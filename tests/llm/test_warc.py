@@ -1,3 +1,4 @@
+import numpy as np
 import gzip
 import hashlib
 
@@ -83,3 +84,22 @@ def test_archives_of_others(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.read(spark, written(spark, pages(spark, []))).count() == 0
+
+
+def test_payload_of_256_megabytes_is_read_in_seconds(tmp_path):
+    import time
+    import zlib as z
+
+    import pyarrow.fs
+
+    payload = np.random.default_rng(1).integers(0, 256, 256 << 20, dtype=np.uint8).tobytes()
+    packer = z.compressobj(1, z.DEFLATED, 31)
+    path = tmp_path / "long.gz"
+    with path.open("wb") as f:
+        for i in range(0, len(payload), 1 << 22):
+            f.write(packer.compress(payload[i : i + (1 << 22)]))
+        f.write(packer.flush())
+    file = pyarrow.fs.LocalFileSystem().open_input_file(str(path))
+    start = time.perf_counter()
+    assert z.crc32(warc._Inflated(file, 0).ask(len(payload))) == z.crc32(payload)
+    assert time.perf_counter() - start < 30

@@ -1,10 +1,17 @@
 """Mixing sources to target weights by entropy balancing, with DataFrame operations only.
 
-Rates minimise the relative entropy to the corpus under one token constraint
-per source. The convex dual is sum_s size_s * exp(x_s) - target_s * x_s; its
-minimum gives every document the exponentially tilted rate exp(x_source).
-Newton's iterations run per source on the executors, as the dual's Hessian is
-diagonal.
+Rates minimise the relative entropy to the corpus under token constraints: the
+documents of each group of a dimension (a source, or a language) shall bring a
+given number of words. Dimensions may overlap; sources alone are one of them. The
+convex dual is sum_d size_d * exp(sum_k x_k(d)) - sum_g target_g * x_g, d running
+over documents and g over groups; its minimum gives every document the exponentially tilted
+rate exp(sum of the x of its groups).
+
+Each iteration sums gradient and Hessian up by group. Documents alike in all
+dimensions have one rate, so they are added up once, into cells, and iterations
+run over cells. Within a dimension groups are disjoint, so its block of the
+Hessian is diagonal and equals the words that the groups bring at present; dimensions
+take turns. A step is held to 1, as the exponential makes Newton overshoot from below.
 
 A rate r becomes floor(r) or floor(r) + 1 copies. A document's hash gives it a
 fixed place; those below the source's border get the extra copy. The border is
@@ -23,7 +30,8 @@ behind fits. Rounds have no limit; each begins behind the one before.
 Targets: weights 1, 2, 3, repeating, over the sources in code-point order (null
 last) share all words; a target stops at `most` times its source's size, and the
 excess is shared by weight among the others, in closed form: sources ordered by
-size / weight, the capped ones being those at the front.
+size / weight, the capped ones being those at the front. Ranks and running sums over
+sources are local to ranges of them, with the sums of the ranges before added on.
 
 Defined cases: a null or empty text has size 0 and the copies of its place; null
 is a source of its own; rows that repeat a doc_id get equal copies; a null
@@ -46,7 +54,8 @@ SALTS = 64
 #: The share of its target by which a source may miss it while documents that fit are left behind its window.
 MISS = 0.01
 _PLACES = 1 << 48
-_NEWTON = 60
+#: Rounds of the dual at most, and the relative miss from which one more step is exact to the last digits.
+MOST_ROUNDS, _SOLVED = 200, 1e-8
 _CLOSE = 1e-9
 
 
@@ -60,32 +69,75 @@ def place_of(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 12), 16, 10).cast("long")
 
 
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Rows with running sums (inclusive) in an order, without one task that sees them all.
+
+    Rows are dealt into ranges; sums run inside each, and those of the ranges before
+    are added, of which there are as many as shuffle partitions.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()).withColumns({f"own {k}": v for k, v in sums.items()})
+    dealt = stored(dealt, "ranges")
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = dealt.groupBy("range").agg(*(F.sum(f"own {k}").alias(f"all {k}") for k in sums))
+    whole = whole.select("range", *(F.coalesce(F.sum(f"all {k}").over(before), F.lit(0)).alias(f"before {k}") for k in sums))
+    both = dealt.withColumns({f"inside {k}": F.sum(f"own {k}").over(inside) for k in sums}).join(whole, "range")
+    return both.select(*(F.col(f"`{c}`") for c in df.columns), *((F.col(f"inside {k}") + F.col(f"before {k}")).alias(k) for k in sums))
+
+
 def weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(source, ...) one row each -> with `weight` by code-point order, null last."""
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    n = (F.row_number().over(order) - 1) % len(cycle)
-    return sources.withColumn("weight", F.element_at(F.array(*(F.lit(w) for w in cycle)), (n + 1).cast("int")).cast("double"))
+    ranked = _running(sources, [F.col("source").isNull(), F.col("source")], {"rank": F.lit(1).cast("long")})
+    n = (F.col("rank") - 1) % len(cycle)
+    return ranked.withColumn("weight", F.element_at(F.array(*(F.lit(w) for w in cycle)), (n + 1).cast("int")).cast("double")).drop("rank")
 
 
 def targets(sources: DataFrame, most: float = 3.0) -> DataFrame:
     """(source, source_size, weight) -> with `target`: weighted shares of all words, none above `most` times its size."""
-    total = F.sum("source_size").over(Window.partitionBy())
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source")
-    before = F.coalesce(F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    level = (total - F.lit(most) * before) / rest
-    ranked = sources.withColumn("level", level).withColumn("capped", F.col("weight") * level > F.lit(most) * F.col("source_size"))
+    order = [F.col("source_size") / F.col("weight"), F.col("source").isNull(), F.col("source")]
+    ranked = stored(_running(sources, order, {"size upto": F.col("source_size"), "weight upto": F.col("weight")}), "ranked")
+    whole = ranked.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    if whole.weight is None:
+        return sources.withColumn("target", F.lit(0.0))
+    before, rest = F.col("size upto") - F.col("source_size"), F.lit(whole.weight) - (F.col("weight upto") - F.col("weight"))
+    level = (F.lit(whole.words) - F.lit(most) * before) / rest
+    ranked = ranked.withColumn("level", level).withColumn("capped", F.col("weight") * level > F.lit(most) * F.col("source_size"))
     # the first source that is not capped has the level; those after it, computed as if it were capped, have less
-    share = F.max(F.when(~F.col("capped"), F.col("level"))).over(Window.partitionBy())
-    return ranked.withColumn("target", F.least(F.lit(most) * F.col("source_size"), F.col("weight") * F.coalesce(share, F.lit(float("inf"))))).drop("level", "capped")
+    share = ranked.filter(~F.col("capped")).agg(F.max("level")).first()[0]
+    target = F.least(F.lit(most) * F.col("source_size"), F.col("weight") * F.lit(float("inf") if share is None else share))
+    return ranked.select(*(F.col(f"`{c}`") for c in sources.columns), target.alias("target"))
 
 
-def tilts(sources: DataFrame) -> DataFrame:
-    """(source_size, target) -> with `tilt`: Newton's iterations on the dual; a source without words keeps tilt 0."""
-    step = lambda x: x - F.lit(1.0) + F.col("target") / F.col("source_size") * F.exp(-x)
-    # below the solution a step overshoots by far; it is held to 1, which the convex dual allows
-    newton = F.aggregate(F.sequence(F.lit(1), F.lit(_NEWTON)), F.lit(0.0), lambda x, _: F.least(step(x), x + F.lit(1.0)))
-    return sources.withColumn("tilt", F.when((F.col("source_size") > 0) & (F.col("target") > 0), newton).otherwise(F.lit(0.0)))
+def tilts(cells: DataFrame, constraints: dict[str, DataFrame], size_col: str = "size") -> tuple[DataFrame, float]:
+    """Cells (a column per dimension, size) -> with `tilt`, by Newton's iterations on the dual; and the greatest relative miss left.
+
+    `constraints` has a frame (dimension, target) for each dimension. Groups without words keep
+    tilt 0, as do those without a target. Constraints that contradict one another end at
+    MOST_ROUNDS, or earlier where the miss no longer falls.
+    """
+    rows = cells.filter(F.col(size_col) > 0)
+    duals = {d: stored(t.filter("target > 0").select(d, "target", F.lit(0.0).alias("x"), F.lit(0.0).alias("miss")), "dual") for d, t in constraints.items()}
+
+    def tilted(df: DataFrame) -> DataFrame:
+        for d, dual in duals.items():
+            df = df.join(dual.select(d, F.col("x").alias(f"x {d}")), d, "left")
+        return df.withColumn("tilt", sum((F.coalesce(F.col(f"x {d}"), F.lit(0.0)) for d in duals), F.lit(0.0))).drop(*(f"x {d}" for d in duals))
+
+    before = float("inf")
+    for _ in range(MOST_ROUNDS):
+        worst = 0.0
+        for d in duals:
+            now = tilted(rows).groupBy(d).agg(F.sum(F.col(size_col) * F.exp("tilt")).alias("words"))
+            gradient, hessian = F.col("words") - F.col("target"), F.col("words")
+            step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gradient / hessian))
+            both = duals[d].drop("miss").join(now, d, "left")
+            duals[d] = stored(both.select(d, "target", F.when(hessian > 0, F.col("x") - step).otherwise(F.col("x")).alias("x"), F.coalesce(F.abs(gradient) / F.col("target"), F.lit(0.0)).alias("miss")), "dual")
+            worst = max(worst, duals[d].agg(F.max("miss")).first()[0] or 0.0)
+        if worst <= _SOLVED or (worst > 0.999 * before and len(duals) > 1):
+            break
+        before = worst
+    return tilted(cells), worst if worst > _SOLVED else 0.0
 
 
 def _meet(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -182,7 +234,9 @@ def plan(
     source = F.col(f"`{source_col}`").cast("string")
     rows = stored(docs.select(
         source.alias("source"), _sid(source).alias("sid"), size_of(F.col(f"`{text_col}`")).alias("size"), place_of(F.col(f"`{id_col}`")).alias("place")), "sizes")
-    sources = tilts(targets(weights(rows.groupBy("source", "sid").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), cycle), most))
+    sources = rows.groupBy("source", "sid").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    sources = stored(targets(weights(sources, cycle), most), "targets")
+    sources, _ = tilts(sources, {"sid": sources.select("sid", "target")}, "source_size")
     sources = sources.withColumn("rate", F.exp("tilt"))
     # rounding errors of the exponential must not turn 3 copies into 2
     sources = sources.withColumn("base", F.floor(F.col("rate") + _CLOSE)).withColumn("need", F.col("target") - F.col("base") * F.col("source_size"))
@@ -215,16 +269,25 @@ def mixed(
     return both.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _free_prefix(columns: list[str]) -> str:
+    """A beginning that no column has, whatever its case."""
+    prefix = "__mix_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def repeated(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """The mix itself: every document as often as its copies say, with all its columns."""
+    own = _free_prefix(docs.columns)
     sources, more = plan(docs, cycle, most)
-    sources = sources.select(*(F.col(c).alias(f"__{c}") for c in ("sid", "base", "low", "high", "chosen")))
-    parts = sources.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = (_sid(docs["source"].cast("string")) == F.col("__sid")) & (_part(place_of(docs["doc_id"])) == F.col("__part"))
+    sources = sources.select(*(F.col(c).alias(f"{own}{c}") for c in ("sid", "base", "low", "high", "chosen")))
+    parts = sources.withColumn(f"{own}part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (_sid(docs["source"].cast("string")) == F.col(f"{own}sid")) & (_part(place_of(docs["doc_id"])) == F.col(f"{own}part"))
     both, behind = docs.join(parts, same), None
     if more is not None:
-        more = more.select(F.col("sid").alias("__more"), F.col("place").alias("__place"))
-        both = both.join(more, (F.col("__sid") == F.col("__more")) & (place_of(docs["doc_id"]) == F.col("__place")), "left")
-        behind = F.col("__more").isNotNull()
-    both = both.withColumn("__copies", copies_of(place_of(docs["doc_id"]), "__", behind).cast("int")).filter("__copies > 0")
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+        more = more.select(F.col("sid").alias(f"{own}more"), F.col("place").alias(f"{own}place"))
+        both = both.join(more, (F.col(f"{own}sid") == F.col(f"{own}more")) & (place_of(docs["doc_id"]) == F.col(f"{own}place")), "left")
+        behind = F.col(f"{own}more").isNotNull()
+    both = both.withColumn(f"{own}copies", copies_of(place_of(docs["doc_id"]), own, behind).cast("int")).filter(F.col(f"{own}copies") > 0)
+    return both.withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1), F.col(f"{own}copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from spendscope.llm.mixing import WINDOW
-from spendscope.llm.repetition import BASE_PERCENT, BASE_WINDOW, MOST_DUPLICATE_LINES, MOST_REPEATED, SHORTEST
+from spendscope.llm.repetition import BASE_PERCENT, BASE_WINDOW, MOST_DUPLICATE_LINE_COUNT, MOST_DUPLICATE_LINES, MOST_REPEATED, SHORTEST
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -24,6 +24,7 @@ lines AS (
   SELECT doc_id, i, parts[i] AS line
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS parts FROM w))
   WHERE regexp_matches(parts[i], '{_WORD}')),
+n_lines AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id),
 again AS (SELECT doc_id, line FROM lines QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1),
 duplicate_lines AS (
   SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '{_SPACE}', '', 'g'))) AS chars FROM again GROUP BY doc_id),
@@ -33,13 +34,13 @@ over AS (
 counts AS (
   SELECT w.doc_id, len(w.ws)::bigint AS n_words, length(regexp_replace(w.t, '{_SPACE}', '', 'g'))::bigint AS word_chars,
     length(regexp_replace(w.t, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols, coalesce(d.n, 0)::bigint AS n_dup_lines,
-    coalesce(d.chars, 0) AS line_chars, coalesce(m.n_marked, 0)::bigint AS n_repeat_words, coalesce(o.bad, false) AS bad
-  FROM w LEFT JOIN duplicate_lines d ON w.doc_id = d.doc_id LEFT JOIN over o ON w.doc_id = o.doc_id
+    coalesce(d.chars, 0) AS line_chars, coalesce(l.n, 0) AS n_lines, coalesce(m.n_marked, 0)::bigint AS n_repeat_words, coalesce(o.bad, false) AS bad
+  FROM w LEFT JOIN duplicate_lines d ON w.doc_id = d.doc_id LEFT JOIN over o ON w.doc_id = o.doc_id LEFT JOIN n_lines l ON w.doc_id = l.doc_id
     LEFT JOIN marked m ON w.doc_id = m.doc_id AND m.n = {BASE_WINDOW})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < {SHORTEST} OR 100 * n_repeat_words > {BASE_PERCENT} * n_words) AS base_failed,
   NOT (n_words < {SHORTEST} OR 100 * n_repeat_words > {BASE_PERCENT} * n_words OR bad
-       OR line_chars / greatest(word_chars, 1) > {MOST_DUPLICATE_LINES}::double) AS kept
+       OR line_chars / greatest(word_chars, 1) > {MOST_DUPLICATE_LINES}::double OR n_dup_lines > {MOST_DUPLICATE_LINE_COUNT} * n_lines) AS kept
 FROM counts
 """
 

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spendscope.llm import decontamination, langid, mixing, simhash, token_files
 from spendscope.llm.common import stored
-from spendscope.llm.queries import END_ID, language_model, table, tokenizer_path
+from spendscope.llm.queries import END_ID, table, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.accepted(docs, language_model(docs))
+    return langid.accepted(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

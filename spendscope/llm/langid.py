@@ -30,7 +30,8 @@ BUCKETS = 1 << 14
 _ORDERS = (1, 2, 3)
 _SMOOTH = 0.5
 UNKNOWN = "und"
-#: Labels that a model may have at most; more are an error, as labels are meant to be languages.
+#: Labels that a model may have unless told otherwise; more are an error, as a column of broken labels would fill the
+#: driver with a matrix of BUCKETS numbers a label. A larger `most_labels` admits them, with that memory.
 MOST_LABELS = 1_000
 
 
@@ -91,7 +92,7 @@ def counted(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.reshape(rows, BUCKETS)
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> Model:
+def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", most_labels: int = MOST_LABELS) -> Model:
     """A model from all labelled rows of `docs`."""
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label"))
     rows = rows.filter("text is not null and label is not null")
@@ -112,7 +113,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> M
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at), pa.array(total[at])], ["label", "bucket", "n"])
 
     summed = rows.mapInArrow(run, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    table = summed.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("cells")).limit(MOST_LABELS + 1)
+    table = summed.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("cells")).limit(most_labels + 1)
     labels, counts = [], []
     for label, cells in sorted((r.label, r.cells) for r in table.toLocalIterator()):
         column = np.zeros(BUCKETS + 1)
@@ -120,8 +121,8 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> M
         if column[BUCKETS] and label != UNKNOWN:
             labels.append(label)
             counts.append(column)
-    if len(labels) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
+    if len(labels) > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
     if not labels:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     cells = np.array(counts).T

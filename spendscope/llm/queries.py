@@ -11,8 +11,13 @@ from spendscope.llm.common import shared_folder
 
 END_ID = 2
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: The tables hold no labels of URLs: a host with one of these words teaches label 1, any other label 0.
-BAD_HOST_WORDS = ("casino", "bets", "pills", "ads", "track", "win", "xxx", "porn", "loan", "viagra")
+#: The tables hold no labels of URLs. Rules that know nothing of one another vote for label 1: a word of these kinds in the
+#: host, a hyphenated name, a name with digits. Two votes teach label 1, none label 0, and one teaches nothing.
+BAD_HOST_WORDS = {
+    "gambling": ("casino", "bet", "bets", "poker", "slots", "win"), "adult": ("adult", "xxx", "porn", "sex", "cam"),
+    "advertising": ("ads", "ad", "track", "tracker", "click", "banner"), "medicine": ("pills", "viagra", "pharma", "meds"),
+    "spam": ("spam", "farm", "free", "cheap", "loan", "loans", "prize"),
+}
 
 
 def tokenizer_path() -> str:
@@ -24,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def labelled_urls(pages: DataFrame) -> DataFrame:
-    """(url, label) of four fifths of the pages, by hash of the url, from words of the host."""
+    """(url, label) of four fifths of the pages, by hash of the url, where the rules agree."""
     host, _ = url_filter.parts(F.coalesce(F.col("url"), F.lit("")))
-    bad = F.size(F.array_intersect(F.split(host, r"[^a-z]+"), F.array(*map(F.lit, BAD_HOST_WORDS)))) > 0
-    return pages.filter("url is not null and crc32(cast(url as binary)) % 5 <> 0").select("url", bad.cast("int").alias("label"))
+    words = F.array(*(F.lit(w) for kind in BAD_HOST_WORDS.values() for w in kind))
+    rules = [F.size(F.array_intersect(F.split(host, r"[^a-z]+"), words)) > 0, host.rlike(r"[a-z0-9]-[a-z0-9]"), host.rlike(r"[a-z][0-9]|[0-9][a-z]")]
+    votes = sum((r.cast("int") for r in rules[1:]), rules[0].cast("int"))
+    label = F.when(votes >= 2, 1).when(votes == 0, 0)
+    return pages.filter("url is not null and crc32(cast(url as binary)) % 5 <> 0").select("url", label.alias("label")).filter("label is not null")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from harness import check
 from spendscope.llm import langid
-from spendscope.llm.queries import QUERIES, SQL, language_model, tokenizer_path
+from spendscope.llm.queries import QUERIES, SQL, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,7 +21,7 @@ def test_stages_in_order():
 
 def test_pipeline_by_hand(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = language_model(docs)
+    model = langid.train(docs)
     said = {r.doc_id: r for r in langid.identified(docs, model).collect()}
     left = [r for r in docs.collect() if said[r.doc_id].lang_pred != "und" and said[r.doc_id].score >= 0.5]
     fp = {r.doc_id: by_hand(r.text) for r in left}
@@ -72,7 +72,7 @@ def test_messy_documents_through_all_stages(spark, messy, empty):
 @pytest.mark.parametrize("name", list(SQL))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     result = db.execute(SQL[name])

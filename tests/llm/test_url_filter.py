@@ -69,7 +69,7 @@ def test_held_out_hosts_words(spark):
     for r in held:
         v = verdicts[r.page_id]
         if v.rule is None:
-            assert (v.verdict == "block") == bool(re.search("casino|bets|pills|ads-track", v.host)), r.url
+            assert (v.verdict == "block") == bool(re.search("casino|bets|pills|ads-track|spam-farm|adult-x", v.host)), r.url
 
 
 def test_many_hosts_keep_their_own_rates(spark):

@@ -1,21 +1,24 @@
 """Token ids as binary files with a shared zstandard dictionary.
 
 One range shuffle orders the documents by id. Each task then tokenizes its
-range, compresses every document's ids for itself and writes one shard; the
-driver only learns each shard's counts. Files are written under a name of
-their own and renamed when whole, so a repeated task leaves nothing behind.
+range, compresses every document's ids for itself and writes shards of about
+SHARD_BYTES; the driver only learns each shard's counts. Files are written under a
+name of their own and renamed when whole, so a repeated task leaves nothing behind.
 
 Shard: magic, version, id width, dictionary hash, counts; the compressed documents;
 the index (doc_id, offset of the bytes, number of ids); a footer that finds
 the index. One document is read by its index entry alone. Beside the shards
-lies `dictionary.zstd`, trained on serialized id arrays of a bounded sample of
-documents (SAMPLE_DOCS); its hash must match.
+lies `dictionary.zstd`, made of serialized id arrays of a bounded sample of
+documents (SAMPLE_DOCS texts, of each SAMPLE_SLICES slices of SAMPLE_CHARS characters
+spread over it); its hash must match. It is trained; where a sample is too small or too
+uniform for the trainer, its ids are the dictionary as they are.
 
 White space never matters to the tokenizer's word pattern, nor case, and a comma
 or full stop after a letter is a word of its own, so texts are cut there and every
-distinct word goes through the tokenizers library once per worker (a cache of
-CACHE_WORDS words; beyond it, it starts anew). Tokenizers without a mark for the
-end of words are only cut at white space.
+distinct word goes through the tokenizers library once per worker (a memory of
+CACHE_WORDS words; beyond it, it starts anew). Words are told apart by 64-bit hashes, and
+ids of a text are gathered from the memory as one array. Tokenizers without a mark for
+the end of words, and texts with signs of special tokens, are only cut at white space.
 
 Defined cases: null and empty texts hold the end id only; rows that repeat a
 doc_id follow each other, ordered by text hash; a row without doc_id comes
@@ -25,9 +28,9 @@ shard; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -40,65 +43,149 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendscope.llm.common import documents, pieces, sampled, shared_folder
+from spendscope.llm.common import BYTE_LOWER, Words, documents, pieces, rolling, sampled, shared_folder, utf8
 
-#: Documents that the dictionary is trained on at most, and the bytes of each of their texts.
-SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 20_000
+#: Documents that the dictionary is made of at most, and what is read of each.
+SAMPLE_DOCS, SAMPLE_SLICES, SAMPLE_CHARS = 2_000, 4, 5_000
 DICTIONARY_BYTES = 64 << 10
+SHARD_BYTES = 128 << 20
 CACHE_WORDS = 600_000
 MAGIC = b"IDSHARD1"
 _HEAD = struct.Struct("<8sHH32sQQ")  # magic, version, bytes per id, dictionary hash, documents, ids
 _FOOT = struct.Struct("<QQ8s")  # index offset, index bytes, magic
 _INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("offset", "<u8"), ("n_ids", "<u8")])
-_SIGN = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(","), ord(".")]] = True
+_AFTER = np.zeros(256, bool)
+_AFTER[[10, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_LETTER[65:91] = True
 _TOKENIZERS: dict[str, object] = {}
 
 
+def _cut(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words at white space, a sign between a letter and a blank being one of its own: (starts, ends, hashes, bounds of texts)."""
+    words = Words(raw, offsets, lower=True)
+    starts, ends = words.starts, words.ends
+    last = ends - 1
+    # the blank after must be of the same text
+    inside = ends < offsets[1:][words.owner] if len(ends) else np.zeros(0, bool)
+    sign = np.flatnonzero((ends - starts > 1) & inside & _SIGN[raw[last]] & _LETTER[raw[np.maximum(last - 1, 0)]] & _AFTER[raw[np.minimum(ends, max(len(raw) - 1, 0))]])
+    if not len(sign):
+        return starts, ends, words.hashes, words.bounds
+    cut_starts = np.insert(starts, sign + 1, ends[sign] - 1)
+    shorter = ends.copy()
+    shorter[sign] -= 1
+    cut_ends = np.insert(shorter, sign + 1, ends[sign])
+    hashes = np.insert(words.hashes, sign + 1, 0)
+    # the words before a sign, and the signs, get hashes of their own
+    at = sign + np.arange(len(sign))
+    table = BYTE_LOWER
+    hashes[at] = rolling(raw, cut_starts[at], cut_ends[at], table)
+    hashes[at + 1] = rolling(raw, cut_starts[at + 1], cut_ends[at + 1], table)
+    return cut_starts, cut_ends, hashes, np.searchsorted(cut_starts, offsets)
+
+
 class Encoder:
-    """ids of texts, word by word through the library, as little-endian bytes."""
+    """ids of texts, word by word through the library."""
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library, self.known, self.end = Tokenizer.from_file(path), {}, np.uint32(end_id).tobytes()
+        self.library, self.end = Tokenizer.from_file(path), end_id
         suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
         #: Ids that end a word, if the vocabulary marks them.
         self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
         self.ends[[i for w, i in self.library.get_vocab().items() if suffix and w.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Place 0 of the memory is the end id."""
+        self.place: dict[int, int] = {}
+        self.pool, self.begin, self.count = np.array([self.end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
+    def ids_of(self, words: list[bytes]) -> list[np.ndarray]:
         """Plain words, which the library cannot split, go many to a text; others each for itself."""
-        texts = [w.decode() for w in words]
-        plain = self.ends.any()
-        alone = [t for t in texts if not (plain and t.isalpha() and t == t.lower())]
-        together = [t for t in texts if plain and t.isalpha() and t == t.lower()]
+        texts, out = [w.decode() for w in words], [None] * len(words)
+        plain = [self.ends.any() and t.isalpha() and t == t.lower() for t in texts]
+        together, alone = [i for i, p in enumerate(plain) if p], [i for i, p in enumerate(plain) if not p]
         groups = [together[i : i + 512] for i in range(0, len(together), 512)]
-        for group, one in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        for group, one in zip(groups, self.library.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False)):
             ids = np.array(one.ids, np.uint32)
-            cuts = np.r_[0, np.flatnonzero(self.ends[ids]) + 1] * 4
-            if len(cuts) != len(group) + 1 or cuts[-1] != 4 * len(ids):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group) or not len(ids) or cuts[-1] != len(ids):
                 alone += group
                 continue
-            data, cuts = ids.tobytes(), cuts.tolist()
-            self.known.update(zip([g.encode() for g in group], [data[i:j] for i, j in zip(cuts, cuts[1:])]))
-        for text, one in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)):
-            self.known[text.encode()] = np.array(one.ids, np.uint32).tobytes()
-
-    def words(self, text: bytes) -> list[bytes]:
-        """Words of a text whose ids, one after the other, are the text's: case of A-Z does not count, and a sign after a letter stands alone."""
-        return text.split() if not self.ends.any() or b"<|" in text else _SIGN.sub(rb" \1", text.lower()).split()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Serialized ids of each text, with the end id, four bytes each."""
-        split = [self.words(t) for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new and len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, set().union(*split)
+            for i, part in zip(group, np.split(ids, cuts[:-1])):
+                out[i] = part
+        for i, one in zip(alone, self.library.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False)):
+            out[i] = np.array(one.ids, np.uint32)
+        return out
+
+    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        found = self.ids_of(words)
+        count = np.array([len(x) for x in found], np.int64)
+        self.place.update(zip(keys.tolist(), range(len(self.count), len(self.count) + len(words))))
+        self.begin = np.r_[self.begin, len(self.pool) + np.cumsum(count) - count]
+        self.count = np.r_[self.count, count]
+        self.pool = np.concatenate([self.pool, *found])
+
+    def arrays(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, the end id after each, and where each text's ids begin and end."""
+        if not self.ends.any():
+            return self._whole([raw[a:b].tobytes().split() for a, b in zip(offsets.tolist(), offsets[1:].tolist())])
+        starts, ends, hashes, bounds = _cut(raw, offsets)
+        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        places = np.fromiter(map(self.place.get, keys.tolist(), itertools.repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(places < 0)
+        if len(new) and len(self.place) + len(new) > CACHE_WORDS:
+            self.forget()
+            places, new = np.full(len(keys), -1), np.arange(len(keys))
+        if len(new):
+            data = raw.tobytes().lower()
+            known = len(self.count)
+            self.learn(keys[new], [data[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            places[new] = known + np.arange(len(new))
+        order = np.insert(places[inverse], bounds[1:], 0)
+        return self._gathered(order, bounds + np.arange(len(bounds)))
+
+    def _whole(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Words as they are, by their bytes."""
+        new = list(set().union(*split).difference(self.place))
+        if new and len(self.place) + len(new) > CACHE_WORDS:
+            self.forget()
+            new = list(set().union(*split))
         if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
+            found = self.ids_of(new)
+            count = np.array([len(x) for x in found], np.int64)
+            self.place.update(zip(new, range(len(self.count), len(self.count) + len(new))))
+            self.begin = np.r_[self.begin, len(self.pool) + np.cumsum(count) - count]
+            self.count, self.pool = np.r_[self.count, count], np.concatenate([self.pool, *found])
+        order = [p for words in split for p in (*map(self.place.__getitem__, words), 0)]
+        return self._gathered(np.array(order, np.int64), np.cumsum([0, *(len(w) + 1 for w in split)]))
+
+    def _gathered(self, places: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = self.count[places]
+        upto = np.r_[0, np.cumsum(count)]
+        at = np.repeat(self.begin[places] - upto[:-1], count) + np.arange(upto[-1])
+        return self.pool[at], upto[bounds]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text with the end id. Texts with signs of special tokens go apart."""
+        special = [i for i, t in enumerate(texts) if b"<|" in t]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if special and self.ends.any():
+            for i in special:
+                words = self.ids_of(texts[i].split())
+                out[i] = np.concatenate([*words, np.array([self.end], np.uint32)])
+        plain = [i for i, x in enumerate(out) if x is None]
+        raw = np.frombuffer(b"".join(texts[i] for i in plain), np.uint8)
+        ids, bounds = self.arrays(raw, np.cumsum([0, *(len(texts[i]) for i in plain)]))
+        for i, part in zip(plain, np.split(ids, bounds[1:-1])):
+            out[i] = part
+        return out
 
 
 def encoder(path: str, end_id: int) -> Encoder:
@@ -113,22 +200,31 @@ def width_of(path: str, end_id: int) -> int:
     return 2 if most < 1 << 16 else 4
 
 
-def narrow(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+def narrow(ids: np.ndarray, width: int) -> bytes:
+    return ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """A dictionary from SAMPLE_DOCS documents at most (those first by hash); empty if the sample is too small for one."""
-    rows = sampled(documents(docs, id_col, text_col), SAMPLE_DOCS, "id", "text")
-    sample = [r.t.encode() for r in rows.select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_BYTES).alias("t")).collect()]
+    """A dictionary from SAMPLE_DOCS documents at most (those first by hash)."""
+    rows = sampled(documents(docs, id_col, text_col), SAMPLE_DOCS, "id", "text").select(F.coalesce("text", F.lit("")).alias("t"))
+    length, whole = F.length("t"), SAMPLE_SLICES * SAMPLE_CHARS
+    # slices at even distances; a text that they would cover is taken whole
+    slices = [F.substr("t", F.floor((length - SAMPLE_CHARS) * F.lit(k) / (SAMPLE_SLICES - 1)).cast("int") + 1, F.lit(SAMPLE_CHARS)) for k in range(SAMPLE_SLICES)]
+    told = rows.select(F.when(length <= whole, F.array("t")).otherwise(F.array(*slices)).alias("slices")).toArrow().column("slices").to_pylist()
     width = width_of(tokenizer, end_id)
-    ids = [narrow(x, width) for x in encoder(tokenizer, end_id).encode(sample)]
-    if sum(map(len, ids)) < 8 * DICTIONARY_BYTES or len(ids) < 16:
-        return b""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, ids).as_bytes()
-    except zstandard.ZstdError:  # samples too alike
-        return b""
+    return dictionary_of([narrow(x, width) for x in encoder(tokenizer, end_id).encode([t.encode() for x in told for t in x])])
+
+
+def dictionary_of(samples: list[bytes]) -> bytes:
+    """Trained for an eighth of the samples' bytes and DICTIONARY_BYTES at most; else the samples' last bytes as they are; empty without any."""
+    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
+    if size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples).as_bytes()
+        except zstandard.ZstdError:  # too few samples, or too alike
+            pass
+    raw = b"".join(samples)[-DICTIONARY_BYTES:]
+    return raw and raw.rjust(8, raw[:1])  # the library wants eight bytes at least
 
 
 def _file_system(folder: str) -> tuple[pa.fs.FileSystem, str]:
@@ -148,31 +244,40 @@ def _hash(data: bytes) -> bytes:
 class ShardWriter:
     """One shard, streamed to a file of its own name until it is whole."""
 
-    def __init__(self, folder: str, number: int, dictionary: bytes, width: int):
+    def __init__(self, folder: str, name: str, dictionary: bytes, width: int):
         self.fs, self.root = _file_system(folder)
         self.fs.create_dir(self.root, recursive=True)
-        self.name, self.part = f"shard-{number:06d}.ids", f"{self.root}/.part-{uuid.uuid4().hex}"
+        self.name, self.part = name, f"{self.root}/.part-{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.part)
         held = _dictionary(dictionary)
         self.press = zstandard.ZstdCompressor(level=3, dict_data=held) if held else zstandard.ZstdCompressor(level=3)
         self.head, self.width = _HEAD.pack(MAGIC, 1, width, _hash(dictionary), 0, 0), width
         self.out.write(self.head)
-        self.index: list[tuple[int, int, int, int]] = []
-        self.at = len(self.head)
-
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        data = self.press.compress(narrow(ids, self.width))
-        self.index.append((doc_id or 0, int(doc_id is not None), self.at, len(ids) // 4))
-        self.out.write(data)
-        self.at += len(data)
+        self.index: list[np.ndarray] = []
+        self.at, self.n_docs, self.n_ids = len(self.head), 0, 0
+
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> None:
+        """Documents with their ids, one after the other; text i has ids[bounds[i]:bounds[i + 1]]."""
+        data, cuts, press = memoryview(narrow(ids, self.width)), (bounds * self.width).tolist(), self.press.compress
+        frames = [press(data[a:b]) for a, b in zip(cuts, cuts[1:])]
+        index = np.zeros(len(frames), _INDEX)
+        index["doc_id"] = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+        index["has_id"] = doc_ids.is_valid().to_numpy(zero_copy_only=False)
+        sizes = np.array([len(x) for x in frames], np.int64)
+        index["offset"], index["n_ids"] = self.at + np.cumsum(sizes) - sizes, np.diff(bounds)
+        self.index.append(index)
+        self.out.write(b"".join(frames))
+        self.at, self.n_docs, self.n_ids = self.at + int(sizes.sum()), self.n_docs + len(frames), self.n_ids + int(bounds[-1] - bounds[0])
 
     def close(self) -> tuple[str, int, int]:
-        index = np.array(self.index, _INDEX).tobytes()
-        self.out.write(index)
-        self.out.write(_FOOT.pack(self.at, len(index), MAGIC))
+        begin = self.at
+        for part in self.index:
+            self.out.write(part.tobytes())
+            self.at += part.nbytes
+        self.out.write(_FOOT.pack(begin, self.at - begin, MAGIC))
         self.out.close()
         self.fs.move(self.part, f"{self.root}/{self.name}")
-        return self.name, len(self.index), sum(x[3] for x in self.index)
+        return self.name, self.n_docs, self.n_ids
 
 
 class ShardReader:
@@ -201,9 +306,9 @@ class ShardReader:
 
 
 def write(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
-    """Write shards below `folder` in ascending doc_id order; returns (number, name, n_docs, start, n_tokens) per shard."""
+    """Write shards of about `shard_bytes` below `folder` in ascending doc_id order; returns (number, name, n_docs, start, n_tokens) per shard."""
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer, end_id, id_col, text_col)
     fs, root = _file_system(folder)
@@ -216,23 +321,32 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, work = None, encoder(tokenizer, end_id)
-        number = TaskContext.get().partitionId()
+        shard, work, part, done = None, encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+
+        def told() -> pa.RecordBatch:
+            name, n_docs, n_tokens = shard.close()
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([n_docs]), pa.array([n_tokens])], ["number", "name", "n_docs", "n_tokens"])
+
         for batch in batches:
             for piece in pieces(batch):
                 if not len(piece):
                     continue
-                shard = shard or ShardWriter(folder, number, dictionary, width)
-                texts = piece.column("text").fill_null("").cast(pa.large_binary()).to_pylist()
-                for doc_id, ids in zip(piece.column("id").to_pylist(), work.encode(texts)):
-                    shard.add(doc_id, ids)
+                shard = shard or ShardWriter(folder, f"shard-{part:06d}-{done:05d}.ids", dictionary, width)
+                raw, offsets = utf8(piece.column("text"))
+                if b"<|" in raw.tobytes() and work.ends.any():
+                    ids = work.encode(piece.column("text").fill_null("").cast(pa.large_binary()).to_pylist())
+                    shard.add(piece.column("id"), np.concatenate(ids), np.cumsum([0, *map(len, ids)]))
+                else:
+                    shard.add(piece.column("id"), *work.arrays(raw, offsets))
+                if shard.at >= shard_bytes:
+                    yield told()
+                    shard, done = None, done + 1
         if shard:
-            name, n_docs, n_tokens = shard.close()
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([name]), pa.array([n_docs]), pa.array([n_tokens])], ["number", "name", "n_docs", "n_tokens"])
+            yield told()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h").select("id", "text")
-    shards = sorted(placed.mapInArrow(run, "number long, name string, n_docs long, n_tokens long").collect(), key=lambda r: r.number)
+    shards = sorted(placed.mapInArrow(run, "number long, name string, n_docs long, n_tokens long").collect(), key=lambda r: r.name)
     start, table = 0, []
     for r in shards:
         table.append((r.number, r.name, r.n_docs, start, r.n_tokens))

@@ -708,8 +708,8 @@ judged AS (
 qualification AS (
   SELECT *, in_category AND NOT left_out AND costs_enough AND earns_little AND returns_little AND has_skus AS qualified FROM judged),
 shares AS (
-  SELECT s.*, f.mean_cost / f.sku_count AS family_share, s.sku_mean_cost > f.mean_cost / f.sku_count AS above_share, f.qualified
-  FROM skus s JOIN qualification f USING ("SPU"))"""
+  SELECT s.*, f.family_share, s.sku_mean_cost > f.family_share AS above_share, g.qualified
+  FROM skus s JOIN (SELECT "SPU", sum(cost) / 12.0 / count(*) AS family_share FROM skus GROUP BY "SPU") f USING ("SPU") JOIN qualification g USING ("SPU"))"""
 _RULE_FLAGS = ["in_category", "left_out", "costs_enough", "earns_little", "returns_little", "has_skus", "qualified"]
 add("q20_spu_qualification", "SELECT * FROM qualification", ["SPU"], ["mean_cost", "mean_gmv", "return"], whole=["sku_count", *_RULE_FLAGS], ctes=_PRUNING)
 add("q21_sku_family_share", "SELECT * FROM shares", ["SPU", "SKU"], ["sku_mean_cost", "family_share"], whole=["above_share"], ctes=_PRUNING)

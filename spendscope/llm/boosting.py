@@ -1,4 +1,9 @@
-"""Gradient-boosted trees of fixed depth for two classes, in numpy: histogram splits, logistic loss."""
+"""Gradient-boosted trees of fixed depth for two classes, in numpy: histogram splits, logistic loss.
+
+Defined cases: features are finite numbers, which callers see to (not-a-number would pass no cut
+and spoil the quantiles); equal gains go to the first feature, then to the lowest cut; a node that no cut
+improves keeps its rows together; without rows, or with one label only, the trees are a constant.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Connected components of a distributed list of links, by alternating large and small stars."""
+"""Connected components of a distributed list of links, by alternating large and small stars.
+
+Defined cases: a link with a null end, or from a node to itself, is none; links may repeat and
+run either way; without links there are no rows.
+"""
 
 from __future__ import annotations
 

@@ -110,3 +110,11 @@ def test_repeated_id_with_other_text_is_one_document(make):
 def test_hexadecimal(spark):
     df = spark.createDataFrame([(0,), (-1,), (255,)], "fp long").select(simhash.hexadecimal(F.col("fp")))
     assert [r[0] for r in df.collect()] == ["0" * 16, "f" * 16, "0" * 14 + "ff"]
+
+
+def test_links_with_null_ends_and_loops_are_none(spark):
+    from spendscope.llm.components import components
+
+    links = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (None, 3), (4, None), (5, 5), (None, None)], "a long, b long")
+    assert sorted(map(tuple, components(links).collect())) == [(1, 1), (2, 1), (3, 1)]
+    assert components(links.limit(0)).count() == 0

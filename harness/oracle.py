@@ -570,6 +570,7 @@ add("q11_spu_cost_vectors_long",
 _YEAR = with_ratios(rollup("mon_rows", YEAR_KEYS, within("Month", ch.YEAR)), 1.0, "Sensor ROI")
 _YEAR_NUM = ["Sale Price", *ALL, "Sensor ROI", "ads ROI", "CTR"]
 add("q12_yearly_summary", _YEAR, YEAR_KEYS[:4], _YEAR_NUM)
+add("g2_summary_by_spu", _YEAR, YEAR_KEYS[:4], _YEAR_NUM)
 add("q12_spu_lookup",
     f"""SELECT *, case when "Sensor ROI" < 1.5 then 'weak' when "Sensor ROI" > 2.5 then 'strong' else 'none' end
       AS roi_band, case old_or_new when '2023新品' then 'new' when '老品' then 'old' else 'other' end AS generation_flag

@@ -418,6 +418,7 @@ query("q11_spu_cost_vectors_long")(
 )
 query("q11_spu_cost_matrix_every_day")(lambda s, d: spu.spu_cost_matrix(*spu_tables(s, d), ch.SPUS))
 query("q12_yearly_summary")(lambda s, d: yearly.yearly_summary(*month_tables(s, d)))
+query("g2_summary_by_spu")(lambda s, d: yearly.by_spu(yearly.yearly_summary(*month_tables(s, d))))
 query("q12_spu_lookup")(
     lambda s, d: yearly.spu_lookup(yearly.yearly_summary(*month_tables(s, d), spus=ch.SPUS), ch.SPUS)
 )

@@ -26,15 +26,20 @@ def yearly_summary(
 ) -> DataFrame:
     """Sums and ratios per SKU over the months; SKUs without a price drop out.
 
-    ``ads`` and ``sensor`` are monthly. Rows come sorted by SPU, then SKU, as one SPU may hold many.
+    ``ads`` and ``sensor`` are monthly. Rows come in no order; ``by_spu`` sorts them for showing. A sort
+    inside would run the sums twice, as it samples its input to deal it into ranges.
     """
     rows = folded_rows(
         ads, sensor, spu, label, monthly=True, dates=(first_month, last_month), spus=spus,
         generation=True, attributes=(n.PRICE,),
     )
     sums = with_ratios(group_sum(rows, SUMMARY_KEYS, ALL_MEASURES), sensor_roi=n.YEAR_SENSOR_ROI)
-    shown = sums.drop(n.CPC, n.CONVERSION, n.ADD_TO_CART)
-    return shown.orderBy(F.asc_nulls_last("SPU"), F.asc_nulls_last("SKU"))
+    return sums.drop(n.CPC, n.CONVERSION, n.ADD_TO_CART)
+
+
+def by_spu(summary: DataFrame) -> DataFrame:
+    """The summary in the order in which it is shown: by SPU, then SKU, as one SPU may hold many."""
+    return summary.orderBy(F.asc_nulls_last("SPU"), F.asc_nulls_last("SKU"))
 
 
 def spu_lookup(summary: DataFrame, spus: Keys) -> DataFrame:

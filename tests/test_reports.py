@@ -350,7 +350,8 @@ def test_campaigns_dearest_first(spark):
     tables = (ads(spark, *[{**r, "Month": DAY} for r in rows], monthly=True), sensor(spark, monthly=True),
               index(spark, *[(f"S{i}", "s") for i in range(4)]), label(spark, *[{"SKU": f"S{i}"} for i in range(4)]))
     summary = yearly.yearly_summary(*tables)
-    assert [r["SKU"] for r in summary.collect()] == ["S0", "S1", "S2", "S3"]
+    assert [r["SKU"] for r in yearly.by_spu(summary).collect()] == ["S0", "S1", "S2", "S3"]
+    assert "Sort [" not in summary._jdf.queryExecution().optimizedPlan().toString()
     assert [r["SKU"] for r in yearly.spu_lookup(summary, ["s"]).collect()] == ["S1", "S3", "S0", "S2"]
 
 

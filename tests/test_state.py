@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from data import ads, records
-from spendscope import names as n
 from spendscope.operators import cleaning
 from spendscope.sources import checked, state, statistics, tables as t
 from spendscope.sources.scratch import shared_folder

@@ -7,11 +7,13 @@ convex dual is sum_d size_d * exp(sum_k x_k(d)) - sum_g target_g * x_g, d runnin
 over documents and g over groups; its minimum gives every document the exponentially tilted
 rate exp(sum of the x of its groups).
 
-Each iteration sums gradient and Hessian up by group. Documents alike in all
-dimensions have one rate, so they are added up once, into cells, and iterations
+Each round sums gradient and Hessian up by group. Documents alike in all
+dimensions have one rate, so they are added up once, into cells, and rounds
 run over cells. Within a dimension groups are disjoint, so its block of the
-Hessian is diagonal and equals the words that the groups bring at present; dimensions
-take turns. A step is held to 1, as the exponential makes Newton overshoot from below.
+Hessian is diagonal and equals the words that the groups bring at present; with the other
+dimensions held, those grow with exp(x), so a round takes a dimension's Newton steps one after the
+other from one sum, and dimensions take turns. A step is held to 1, as the exponential
+makes Newton overshoot from below.
 
 A rate r becomes floor(r) or floor(r) + 1 copies. A document's hash gives it a
 fixed place; those below the source's border get the extra copy. The border is
@@ -54,8 +56,8 @@ SALTS = 64
 #: The share of its target by which a source may miss it while documents that fit are left behind its window.
 MISS = 0.01
 _PLACES = 1 << 48
-#: Rounds of the dual at most, and the relative miss from which one more step is exact to the last digits.
-MOST_ROUNDS, _SOLVED = 200, 1e-8
+#: Rounds of the dual at most, Newton steps in a round, and the relative miss from which one more round is exact to the last digits.
+MOST_ROUNDS, _NEWTON, _SOLVED = 200, 60, 1e-8
 _CLOSE = 1e-9
 
 
@@ -129,10 +131,12 @@ def tilts(cells: DataFrame, constraints: dict[str, DataFrame], size_col: str = "
         worst = 0.0
         for d in duals:
             now = tilted(rows).groupBy(d).agg(F.sum(F.col(size_col) * F.exp("tilt")).alias("words"))
-            gradient, hessian = F.col("words") - F.col("target"), F.col("words")
-            step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gradient / hessian))
             both = duals[d].drop("miss").join(now, d, "left")
-            duals[d] = stored(both.select(d, "target", F.when(hessian > 0, F.col("x") - step).otherwise(F.col("x")).alias("x"), F.coalesce(F.abs(gradient) / F.col("target"), F.lit(0.0)).alias("miss")), "dual")
+            hessian = lambda move: F.col("words") * F.exp(move)
+            step = lambda move: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (hessian(move) - F.col("target")) / hessian(move)))
+            move = F.aggregate(F.sequence(F.lit(1), F.lit(_NEWTON)), F.lit(0.0), lambda m, _: m - step(m))
+            miss = F.coalesce(F.abs(F.col("words") - F.col("target")) / F.col("target"), F.lit(0.0))
+            duals[d] = stored(both.select(d, "target", F.when(F.col("words") > 0, F.col("x") + move).otherwise(F.col("x")).alias("x"), miss.alias("miss")), "dual")
             worst = max(worst, duals[d].agg(F.max("miss")).first()[0] or 0.0)
         if worst <= _SOLVED or (worst > 0.999 * before and len(duals) > 1):
             break

@@ -28,7 +28,6 @@ shard; other columns are not read.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import struct
@@ -103,7 +102,8 @@ class Encoder:
 
     def forget(self) -> None:
         """Place 0 of the memory is the end id."""
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.pool, self.begin, self.count = np.array([self.end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def ids_of(self, words: list[bytes]) -> list[np.ndarray]:
@@ -125,9 +125,11 @@ class Encoder:
         return out
 
     def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """New words by their rising hashes."""
         found = self.ids_of(words)
         count = np.array([len(x) for x in found], np.int64)
-        self.place.update(zip(keys.tolist(), range(len(self.count), len(self.count) + len(words))))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, len(self.count) + np.arange(len(words)))
         self.begin = np.r_[self.begin, len(self.pool) + np.cumsum(count) - count]
         self.count = np.r_[self.count, count]
         self.pool = np.concatenate([self.pool, *found])
@@ -138,9 +140,12 @@ class Encoder:
             return self._whole([raw[a:b].tobytes().split() for a, b in zip(offsets.tolist(), offsets[1:].tolist())])
         starts, ends, hashes, bounds = _cut(raw, offsets)
         keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        places = np.fromiter(map(self.place.get, keys.tolist(), itertools.repeat(-1)), np.int64, len(keys))
+        places = np.full(len(keys), -1)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            places = np.where(self.keys[at] == keys, self.slots[at], -1)
         new = np.flatnonzero(places < 0)
-        if len(new) and len(self.place) + len(new) > CACHE_WORDS:
+        if len(new) and len(self.keys) + len(new) > CACHE_WORDS:
             self.forget()
             places, new = np.full(len(keys), -1), np.arange(len(keys))
         if len(new):
@@ -212,7 +217,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     slices = [F.substr("t", F.floor((length - SAMPLE_CHARS) * F.lit(k) / (SAMPLE_SLICES - 1)).cast("int") + 1, F.lit(SAMPLE_CHARS)) for k in range(SAMPLE_SLICES)]
     told = rows.select(F.when(length <= whole, F.array("t")).otherwise(F.array(*slices)).alias("slices")).toArrow().column("slices").to_pylist()
     width = width_of(tokenizer, end_id)
-    return dictionary_of([narrow(x, width) for x in encoder(tokenizer, end_id).encode([t.encode() for x in told for t in x])])
+    texts, work, ids = [t.encode() for x in told for t in x], encoder(tokenizer, end_id), []
+    for i in range(0, len(texts), 200):
+        ids += [narrow(x, width) for x in work.encode(texts[i : i + 200])]
+    return dictionary_of(ids)
 
 
 def dictionary_of(samples: list[bytes]) -> bytes:

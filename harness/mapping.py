@@ -80,21 +80,30 @@ def _ads_measures(names: tuple[str, ...]) -> list[Column]:
     """Impressions, cost, clicks, conversions and value under the given names."""
     values = (
         c("l_quantity") * 100,
-        _whole(c("l_extendedprice") * c("l_discount") / 10),
+        c("cost_floor"),
         F.when(c("l_linenumber") == 1, 0.0).otherwise(c("l_quantity")),
         c("l_linenumber").cast("double"),
-        _whole(c("l_extendedprice") / 10),
+        c("value_floor"),
     )
     return [value.alias(name) for name, value in zip(names, values)]
 
 
-def _ads_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = _with_day(_table(spark, sf_dir, "lineitem"))
+def _ads_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as ads rows need them. Money is rounded down here: whole numbers shuffle in fewer bytes than prices do."""
+    price, discount = c("l_extendedprice"), c("l_discount")
+    return _with_day(_table(spark, sf_dir, "lineitem")).select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "Date",
+        _whole(price * discount / 10).alias("cost_floor"), _whole(price / 10).alias("value_floor"),
+    )
+
+
+def _with_products(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their part and their supplier's nation; the nations come last, as they are wide beside a key."""
     part = _table(spark, sf_dir, "part")
     # 25 nations by definition, whatever the scale
     nation = F.broadcast(_table(spark, sf_dir, "nation"))
     supplier = _table(spark, sf_dir, "supplier").join(nation, c("s_nationkey") == c("n_nationkey"))
-    return lineitem.join(part, c("l_partkey") == c("p_partkey")).join(supplier, c("l_suppkey") == c("s_suppkey"))
+    return lines.join(part, c("l_partkey") == c("p_partkey")).join(supplier, c("l_suppkey") == c("s_suppkey"))
 
 
 @cache
@@ -105,7 +114,7 @@ def ads_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 @cache
 def ads_sku_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ads rows of the SKU page; rows may lack country and up to two labels."""
-    return _ads_base(spark, sf_dir).select(
+    return _with_products(_ads_lines(spark, sf_dir), spark, sf_dir).select(
         _ads_sku().alias("SKU"), _currency().alias("Currency"), c("p_brand").alias(n.PT1),
         F.concat(F.lit("S"), (c("p_size") % 5).cast("string")).alias(n.PT2), c("p_type").alias(n.PT3),
         _country().alias("Country"), _generation_text(c("l_partkey")).alias("customlabel1"),
@@ -136,8 +145,8 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @cache
 def ads_campaign_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ads_base(spark, sf_dir).join(_orders(spark, sf_dir), c("l_orderkey") == c("o_orderkey"))
-    return rows.select(
+    lines = _ads_lines(spark, sf_dir).join(_orders(spark, sf_dir), c("l_orderkey") == c("o_orderkey"))
+    return _with_products(lines, spark, sf_dir).select(
         "Campaign", _ads_sku().alias("SKU"), _currency().alias("currency"), c("p_type").alias(n.PT3),
         _country().alias("Country"), "Campaign ID", _merchant().alias("MC ID"), "Date",
         *_ads_measures(n.CAMPAIGN_ADS_MEASURES),
@@ -145,19 +154,20 @@ def ads_campaign_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sensor_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = _with_day(_table(spark, sf_dir, "lineitem"))
-    return lineitem.where(c("l_suppkey") % 5 != 0).withColumn(
-        "SKU", F.concat(F.lit("SKU-"), c("l_partkey").cast("string"))
+    """Lines with their SKU, GMV and visits, whole numbers that shuffle in fewer bytes than prices do."""
+    visits = F.when(c("l_linenumber") <= 2, 0.0).otherwise(c("l_quantity") * 3)
+    return _with_day(_table(spark, sf_dir, "lineitem")).where(c("l_suppkey") % 5 != 0).select(
+        "l_orderkey", F.concat(F.lit("SKU-"), c("l_partkey").cast("string")).alias("SKU"), "Date", "l_quantity", "l_linenumber",
+        _whole(c("l_extendedprice") * (1 - c("l_discount"))).alias("line_gmv"), visits.alias("line_visits"),
     )
 
 
 def _sensor_sums(sale: str) -> list[Column]:
-    visits = F.when(c("l_linenumber") <= 2, 0.0).otherwise(c("l_quantity") * 3)
     return [
         F.sum("l_quantity").alias(sale),
-        F.sum(_whole(c("l_extendedprice") * (1 - c("l_discount")))).alias("GMV"),
+        F.sum("line_gmv").alias("GMV"),
         F.sum("l_linenumber").cast("double").alias("AddtoCart"),
-        F.sum(visits).alias("UV"),
+        F.sum("line_visits").alias("UV"),
     ]
 
 
@@ -175,7 +185,9 @@ def sensor_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @cache
 def sensor_campaign_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sensor_base(spark, sf_dir).join(_orders(spark, sf_dir), c("l_orderkey") == c("o_orderkey"))
-    return rows.groupBy("SKU", "Campaign", "Campaign ID", "Date").agg(
+    # dealt by the group once: else the distinct buyers need a shuffle of their own before that of the groups
+    keys = ("SKU", "Campaign", "Campaign ID", "Date")
+    return rows.repartition(*keys).groupBy(*keys).agg(
         F.countDistinct("o_custkey").cast("double").alias("saleuser"), *_sensor_sums("sale")
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -100,7 +101,7 @@ def merge_repeats(rows: DataFrame, shape: AdsShape) -> DataFrame:
 
 
 def clean_ads(
-    ads: DataFrame, shape: AdsShape, only: DataFrame | None = None, merge: bool = True
+    ads: DataFrame, shape: AdsShape, only: DataFrame | None = None, merge: bool = True, dealt_by: Sequence[str] | None = None
 ) -> DataFrame:
     """Cleaned ads rows.
 
@@ -109,12 +110,23 @@ def clean_ads(
     shuffled; whole merge groups stay or go, as the SKU is one of their keys.
     ``merge=False`` leaves repeated rows apart: consumers that do nothing but
     add measures up get the same sums with one shuffle less.
+
+    ``dealt_by`` names columns of the result, SKU among them, that all keys of a
+    merge share. Rows are then dealt by them before they merge, and a join on them
+    (in that order) needs no shuffle of the facts any more. Repeated rows meet only
+    after that shuffle.
     """
     rows = repair_rows(drop_null_keys(ads, shape.sheet_keys), shape)
     if only is not None:
         wanted = only.select(F.col("SKU").alias("wanted_sku"))
         sku = F.coalesce(text.normalise_sku(rows["SKU"]), F.lit(""))
         rows = rows.join(wanted, sku == F.col("wanted_sku"), "left_semi")
+    if merge and dealt_by:
+        named = ["normalised" if k == "SKU" else k for k in dealt_by]
+        rows = rows.withColumn("normalised", F.coalesce(text.normalise_sku(F.col("SKU")), F.lit("")))
+        rows = sum_by(rows.repartition(*named), [*shape.keys, "normalised"], shape.measures)
+        kept = [k for k in shape.keys if k not in shape.internal]
+        return rows.select(*[F.col("normalised").alias("SKU") if k == "SKU" else k for k in kept], *shape.measures)
     if merge:
         rows = sum_by(rows, shape.keys, shape.measures)
     else:

@@ -106,6 +106,8 @@ def enrich(
 
 
 CAMPAIGN_KEYS = ("Date", "Campaign", "Campaign ID", "SKU")
+#: The order in which sensor rows are grouped; facts dealt in the same one meet them without another shuffle.
+CAMPAIGN_DEAL = ("SKU", "Campaign", "Campaign ID", "Date")
 
 
 def fill_missing(df: DataFrame) -> DataFrame:
@@ -117,12 +119,16 @@ def fill_missing(df: DataFrame) -> DataFrame:
 def enrich_campaign(
     ads: DataFrame, label: DataFrame, sensor: DataFrame, spu_index: DataFrame
 ) -> DataFrame:
-    """Cleaned campaign ads with products and sensor measures, filled."""
-    rows = attach_products(ads, products_of(spu_index, label, (n.PRICE, "imagelink")))
-    joined = rows.withColumnRenamed("imagelink", "image").join(
-        sensor.select(*CAMPAIGN_KEYS, *n.CAMPAIGN_SENSOR_MEASURES), list(CAMPAIGN_KEYS), "left"
-    )
-    return fill_missing(joined)
+    """Cleaned campaign ads with products and sensor measures, filled.
+
+    Sensor rows are joined first: facts that were dealt by the campaign keys when they merged stay where they are.
+    """
+    visits = sensor.select(*CAMPAIGN_KEYS, *n.CAMPAIGN_SENSOR_MEASURES)
+    joined = attach_products(ads.join(visits, list(CAMPAIGN_DEAL), "left"), products_of(spu_index, label, (n.PRICE, "imagelink")))
+    rest = [x for x in ads.columns if x not in CAMPAIGN_KEYS]
+    shown = joined.withColumnRenamed("imagelink", "image").select(
+        *[f"`{x}`" for x in (*CAMPAIGN_KEYS, *rest, "SPU", n.GENERATION, n.PRICE, "image", *n.CAMPAIGN_SENSOR_MEASURES)])
+    return fill_missing(shown)
 
 
 def presented(rows: DataFrame) -> DataFrame:
@@ -171,11 +177,15 @@ def fold_enriched(
     sensor_by_products: bool = True,
     spus: Keys | None = None,
     ads_count: str | None = None,
+    sensor_first: bool = False,
 ) -> DataFrame:
     """Folded form of the joins; see the module text.
 
     ``ads_count`` names a column that tells how many ads rows a given one is
-    the sum of; without it, each is one.
+    the sum of; without it, each is one. ``sensor_first`` joins sensor rows before
+    products: for ads rows that are dealt by ``keys`` already, which then stay
+    where they are, and sums by SKU and more follow the products' join without a
+    shuffle.
 
     ``generation`` and ``attributes`` name what is needed of the label table;
     without any it only counts. ``sensor_by_products`` tells whether sensor
@@ -190,8 +200,11 @@ def fold_enriched(
     )
     if spus is not None:
         products = restrict(products, "SPU", spus)
-    rows = ads.join(products, "SKU", "left" if spus is None else "inner")
-    rows = rows.join(add_up_sensor(sensor, keys, sensor_measures), list(keys), "left")
+    kind, visits = "left" if spus is None else "inner", add_up_sensor(sensor, keys, sensor_measures)
+    if sensor_first:
+        rows = ads.join(visits, list(keys), "left").join(products, "SKU", kind)
+    else:
+        rows = ads.join(products, "SKU", kind).join(visits, list(keys), "left")
 
     ads_rows = _or_one("spu_copies") * _or_one("label_copies")
     per_sensor = _or_one("spu_rows") * _or_one("label_rows") if sensor_by_products else F.lit(1.0)

@@ -11,7 +11,7 @@ from spendscope.functions.dates import within
 from spendscope.functions.ratios import protected_ratio
 from spendscope.operators.cleaning import CAMPAIGN, clean_ads
 from spendscope.operators.enrich import (
-    CAMPAIGN_KEYS,
+    CAMPAIGN_DEAL,
     enrich_campaign,
     fill_missing,
     fold_enriched,
@@ -26,7 +26,7 @@ Day = date | str
 
 def enriched_rows(ads: DataFrame, sensor: DataFrame, spu: DataFrame, label: DataFrame) -> DataFrame:
     """Every campaign row joined with products and sensor facts, filled; ``enrich.presented`` sorts them."""
-    return enrich_campaign(clean_ads(ads, CAMPAIGN), label, sensor, normalise_index(spu))
+    return enrich_campaign(clean_ads(ads, CAMPAIGN, dealt_by=CAMPAIGN_DEAL), label, sensor, normalise_index(spu))
 
 
 def _chosen(df: DataFrame, first: Day, last: Day, campaigns: Keys | None) -> DataFrame:
@@ -46,11 +46,11 @@ def folded_rows(
     """Folded campaign rows of a range, filled, with their cost per click."""
     ads, sensor = (_chosen(df, first, last, campaigns) for df in (ads, sensor))
     # the ratio is taken before folding: rows that share it must share every bit of it
-    cleaned = clean_ads(ads, CAMPAIGN).withColumn(n.CPC, protected_ratio(F.col("cost"), F.col("clicks")))
+    cleaned = clean_ads(ads, CAMPAIGN, dealt_by=CAMPAIGN_DEAL).withColumn(n.CPC, protected_ratio(F.col("cost"), F.col("clicks")))
     rows = fold_enriched(
-        cleaned, label, sensor, normalise_index(spu), keys=CAMPAIGN_KEYS,
+        cleaned, label, sensor, normalise_index(spu), keys=CAMPAIGN_DEAL,
         ads_measures=n.CAMPAIGN_ADS_MEASURES, sensor_measures=n.CAMPAIGN_SENSOR_MEASURES,
-        generation=True, attributes=(n.PRICE, "imagelink"), sensor_by_products=False,
+        generation=True, attributes=(n.PRICE, "imagelink"), sensor_by_products=False, sensor_first=True,
     )
     return fill_missing(rows.withColumnRenamed("imagelink", "image"))
 

@@ -173,3 +173,45 @@ def test_no_job_runs_while_a_report_is_planned(spark, stored, build):
 def test_two_tables_of_visits_and_products_meet_ads_once(stored):
     text = plan(spu.enriched_rows(stored["ads"], stored["sensor"], stored["index"], stored["label"]))
     assert len([s for s in scans(text) if "/label" in s]) == 1 and len([s for s in scans(text) if "/index" in s]) == 1
+
+
+def exchanges(spark, df):
+    """(columns, partitioning) of every shuffle, without broadcasts."""
+    previous = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", previous)
+    return re.findall(r"\) Exchange\nInput \[\d+\]: (.*)\nArguments: (.*)", text)
+
+
+def test_campaign_facts_are_shuffled_twice_only(spark, stored):
+    """Once to merge and meet sensor rows, once to meet products, which sums by product then follow."""
+    tables = stored["ads_campaign"], stored["sensor_campaign"], stored["index"], stored["label"]
+    for df in (campaign.enriched_rows(*tables), campaign.campaign_points(*tables, *WEEK)):
+        assert len([x for x, _ in exchanges(spark, df) if "Impression" in x]) == 2
+
+
+def test_distinct_buyers_need_no_shuffle_of_their_own(spark):
+    rows = REPORTS["a3_sensor_campaign_daily"](spark, SF)
+    assert not [by for _, by in exchanges(spark, rows) if "SKU" in by and "o_custkey" in by]
+
+
+def test_partitions_grow_with_the_stored_facts(spark, monkeypatch):
+    from harness.registry import QUERIES
+    from spendscope import session
+
+    key, file_size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes"
+    kept = {k: spark.conf.get(k, None) for k in (key, *session.TASK_SIZES)}
+    try:
+        spark.conf.set(file_size, "7MB")
+        QUERIES["f4_ctr"](spark, SF)
+        assert spark.conf.get(key) == "4" and spark.conf.get(file_size) == "7MB"
+        monkeypatch.setattr(session, "STORED_BYTES_A_PARTITION", 4096)
+        rows = QUERIES["f4_ctr"](spark, SF)
+        assert int(spark.conf.get(key)) > 20
+        assert f", {spark.conf.get(key)})" in " ".join(by for _, by in exchanges(spark, rows))
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

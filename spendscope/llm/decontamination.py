@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendscope.llm.common import Words, covered, documents, mapped, pieces, rolling, stored, utf8
+from spendscope.llm.common import Words, covered, documents, given_back, mapped, pieces, rolling, stored, utf8
 
 #: Bits of the seed bitmap, whatever the number of seeds.
 BITMAP_BITS = 1 << 24
@@ -209,6 +209,7 @@ def _tiled(pairs: DataFrame, k: int) -> DataFrame:
             for piece in pieces(batch):
                 out = work(piece)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names)
+        given_back()
 
     return pairs.mapInArrow(run, _TILES)
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendscope.llm.common import pieces, utf8
+from spendscope.llm.common import given_back, pieces, small_batches, utf8
 
 BUCKETS = 1 << 14
 _ORDERS = (1, 2, 3)
@@ -111,11 +111,14 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", most
         for label, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at), pa.array(total[at])], ["label", "bucket", "n"])
+        given_back()
 
     summed = rows.mapInArrow(run, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     table = summed.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("cells")).limit(most_labels + 1)
     labels, counts = [], []
-    for label, cells in sorted((r.label, r.cells) for r in table.toLocalIterator()):
+    with small_batches(docs.sparkSession):
+        learned = sorted((r.label, r.cells) for r in table.toLocalIterator())
+    for label, cells in learned:
         column = np.zeros(BUCKETS + 1)
         column[[c.bucket for c in cells]] = [c.n for c in cells]
         if column[BUCKETS] and label != UNKNOWN:
@@ -155,6 +158,7 @@ def predictor(model: Model, docs: DataFrame):
                 good = letters[rows]
                 lang[rows[good]] = np.array(model.labels, object)[pick[good]]
                 best[rows[good]] = (odds.max(1) / odds.sum(1))[good]
+        given_back()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(best)], fields=list(kind))
 
     from pyspark.sql.functions import arrow_udf

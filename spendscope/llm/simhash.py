@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendscope.llm.common import documents, mapped, stored
+from spendscope.llm.common import documents, given_back, mapped, stored
 from spendscope.llm.components import components
 
 #: Rows of a chunk; it sets how work is cut, not what is compared.
@@ -209,6 +209,7 @@ def _compared(rows: DataFrame, radius: int) -> DataFrame:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
                 rest_k, rest_f = rest_k[cut:], rest_f[cut:]
+        given_back()
 
     return rows.mapInArrow(run, "a long, b long")
 

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendscope.llm.common import BYTE_LOWER, Words, documents, pieces, rolling, sampled, shared_folder, utf8
+from spendscope.llm.common import BYTE_LOWER, Words, documents, given_back, pieces, rolling, sampled, shared_folder, small_batches, utf8
 
 #: Documents that the dictionary is made of at most, and what is read of each.
 SAMPLE_DOCS, SAMPLE_SLICES, SAMPLE_CHARS = 2_000, 4, 5_000
@@ -351,10 +351,12 @@ def write(
                     shard, done = None, done + 1
         if shard:
             yield told()
+        given_back()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h").select("id", "text")
-    shards = sorted(placed.mapInArrow(run, "number long, name string, n_docs long, n_tokens long").collect(), key=lambda r: r.name)
+    with small_batches(spark):
+        shards = sorted(placed.mapInArrow(run, "number long, name string, n_docs long, n_tokens long").collect(), key=lambda r: r.name)
     start, table = 0, []
     for r in shards:
         table.append((r.number, r.name, r.n_docs, start, r.n_tokens))
@@ -383,6 +385,7 @@ def read(shards: DataFrame, folder: str, arrays: bool = False) -> DataFrame:
                         out.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(out, names)
+        given_back()
 
     kinds = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * arrays
     n = max(1, shards.count())

@@ -110,3 +110,19 @@ def test_messy_rows(spark, messy, empty):
     assert [r.doc_id for r in order] == [None, None, 1, 2, 2, 3, 4, 5, 6, 7, 8, 9]
     assert [r.start for r in order] == np.r_[0, np.cumsum([r.n_tokens for r in order])][:-1].tolist()
     assert t.encoded(empty, tokenizer_path(), END_ID).count() == 0
+
+
+def test_batches_of_texts_are_small_and_the_bound_comes_back(spark, monkeypatch):
+    """Whole texts reach Python by BATCH_ROWS at most; the session's own number holds again afterwards, also after an error."""
+    from spendscope.llm import common
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with common.small_batches(spark):
+        rows = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: batches, "id long")
+        sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "id", __import__("pyarrow").array([len(b)])) for b in batches), "id long").collect()
+        assert rows.count() == 5000 and max(r.id for r in sizes) <= common.BATCH_ROWS
+    assert spark.conf.get(key) == before
+    with pytest.raises(ValueError), common.small_batches(spark):
+        raise ValueError
+    assert spark.conf.get(key) == before

@@ -13,8 +13,8 @@ Two forms of the same result:
 
 In both forms the index and the labels are joined with each other first, so
 that facts meet products in one join. No join carries a broadcast hint, as the
-product tables grow with the catalogue, and no shuffle is asked for by hand:
-adaptive execution sees the true sizes, broadcasts what is small and splits a
+product tables grow with the catalogue, and no shuffle is asked for by hand
+(but campaign facts are dealt by the campaign keys while they merge): adaptive execution sees the true sizes, broadcasts what is small and splits a
 SKU that holds a large share of the facts.
 """
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from spendscope import names as n
 from spendscope.functions import text
-from spendscope.operators.rollup import drop_null_keys, group_sum, sum_by
+from spendscope.operators.rollup import drop_null_keys, group_sum, sum_by, to_ends
 
 
 @dataclass(frozen=True)
@@ -122,9 +122,11 @@ def clean_ads(
         sku = F.coalesce(text.normalise_sku(rows["SKU"]), F.lit(""))
         rows = rows.join(wanted, sku == F.col("wanted_sku"), "left_semi")
     if merge and dealt_by:
-        named = ["normalised" if k == "SKU" else k for k in dealt_by]
-        rows = rows.withColumn("normalised", F.coalesce(text.normalise_sku(F.col("SKU")), F.lit("")))
-        rows = sum_by(rows.repartition(*named), [*shape.keys, "normalised"], shape.measures)
+        normalised = F.coalesce(text.normalise_sku(F.col("SKU")), F.lit(""))
+        rows = to_ends(rows.select(*shape.keys, *shape.measures), (shape.currency, "MC ID", "SKU"), (n.PT3, "Country", "Campaign"))
+        # dealt by the expression: a SKU is not shuffled twice
+        rows = rows.repartition(*[normalised if k == "SKU" else k for k in dealt_by]).withColumn("normalised", normalised)
+        rows = sum_by(rows, [*shape.keys, "normalised"], shape.measures)
         kept = [k for k in shape.keys if k not in shape.internal]
         return rows.select(*[F.col("normalised").alias("SKU") if k == "SKU" else k for k in kept], *shape.measures)
     if merge:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from spendscope import names as n
 from spendscope.functions.text import listing_generation
 from spendscope.operators.cleaning import label_generation, normalise_sku
-from spendscope.operators.rollup import total
+from spendscope.operators.rollup import to_ends, total
 from spendscope.sources.keys import Keys, restrict
 
 
@@ -107,7 +107,10 @@ def enrich(
 
 CAMPAIGN_KEYS = ("Date", "Campaign", "Campaign ID", "SKU")
 #: The order in which sensor rows are grouped; facts dealt in the same one meet them without another shuffle.
-CAMPAIGN_DEAL = ("SKU", "Campaign", "Campaign ID", "Date")
+#: The campaign comes first: sorted rows then have it in common with their neighbours, and the next shuffle packs them tighter.
+CAMPAIGN_DEAL = ("Campaign", "Campaign ID", "SKU", "Date")
+#: Columns that are alike in the rows of a SKU.
+PRODUCT_COLUMNS = ("SKU", n.PT3, "SPU", n.GENERATION, n.PRICE, "image")
 
 
 def fill_missing(df: DataFrame) -> DataFrame:
@@ -124,7 +127,8 @@ def enrich_campaign(
     Sensor rows are joined first: facts that were dealt by the campaign keys when they merged stay where they are.
     """
     visits = sensor.select(*CAMPAIGN_KEYS, *n.CAMPAIGN_SENSOR_MEASURES)
-    joined = attach_products(ads.join(visits, list(CAMPAIGN_DEAL), "left"), products_of(spu_index, label, (n.PRICE, "imagelink")))
+    met = to_ends(ads.join(visits, list(CAMPAIGN_DEAL), "left"), ("Campaign", "Campaign ID", "SKU"), (n.PT3,))
+    joined = attach_products(met, products_of(spu_index, label, (n.PRICE, "imagelink")))
     rest = [x for x in ads.columns if x not in CAMPAIGN_KEYS]
     shown = joined.withColumnRenamed("imagelink", "image").select(
         *[f"`{x}`" for x in (*CAMPAIGN_KEYS, *rest, "SPU", n.GENERATION, n.PRICE, "image", *n.CAMPAIGN_SENSOR_MEASURES)])
@@ -133,7 +137,8 @@ def enrich_campaign(
 
 def presented(rows: DataFrame) -> DataFrame:
     """Campaign rows in the order in which they are shown: by SKU, the last day first."""
-    return rows.orderBy(F.asc_nulls_last("SKU"), F.desc_nulls_last("Date"))
+    ordered = to_ends(rows, PRODUCT_COLUMNS, ["Campaign"]).orderBy(F.asc_nulls_last("SKU"), F.desc_nulls_last("Date"))
+    return ordered.select(*[f"`{x}`" for x in rows.columns])
 
 
 # -- folded form ------------------------------------------------------------

@@ -86,3 +86,13 @@ def relabel(df: DataFrame, labels: Mapping[str, str]) -> DataFrame:
 
 def to_front(df: DataFrame, column: str) -> DataFrame:
     return df.select(column, *[f"`{c}`" for c in df.columns if c != column])
+
+
+def to_ends(df: DataFrame, first: Sequence[str], last: Sequence[str]) -> DataFrame:
+    """Columns ``first`` in front and ``last`` behind all others, those that are there.
+
+    For rows about to be shuffled: what neighbouring rows have alike compresses to little if it stands
+    together, and before texts of any length, which move all that follows them.
+    """
+    front, back = ([c for c in columns if c in df.columns] for columns in (first, last))
+    return df.select(*[f"`{c}`" for c in (*front, *[c for c in df.columns if c not in (*front, *back)], *back)])

@@ -215,3 +215,39 @@ def test_partitions_grow_with_the_stored_facts(spark, monkeypatch):
     finally:
         for k, v in kept.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def columns_of(shuffled):
+    return re.sub(r"#\d+L?", "", shuffled).strip("[]").split(", ")
+
+
+def test_suppliers_that_can_be_broadcast_cost_no_shuffle_of_the_lines(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    previous = spark.conf.get(key)
+    spark.conf.set(key, "20000")  # more than the suppliers hold, less than Spark expects of their join with nations
+    try:
+        text = plan(REPORTS["a1_ads_campaign_daily"](spark, SF))
+    finally:
+        spark.conf.set(key, previous)
+    assert "hashpartitioning(l_orderkey" in text and "hashpartitioning(l_suppkey" not in text and "s_suppkey" in text
+
+
+def test_orders_are_shuffled_once_for_ads_and_sensor_rows(spark, low_thresholds):
+    text = final_plan(REPORTS["q4_enriched_campaign"](spark, SF))
+    assert len(re.findall(r"\+- Exchange hashpartitioning\(o_orderkey", text)) == 1
+
+
+def test_campaign_facts_are_shuffled_without_what_follows_from_them(spark):
+    names = [set(columns_of(x)) for x, _ in exchanges(spark, REPORTS["q4_enriched_campaign_sorted"](spark, SF))]
+    assert any({"l_orderkey", "noted"} <= x for x in names) and any({"line_gmv", "o_custkey"} <= x for x in names)
+    assert not any({"l_returnflag", "l_linestatus", "normalised", "line_visits"} & x for x in names)
+    assert not any({"line_gmv", "SKU"} <= x or {"o_orderkey", "Campaign ID"} <= x for x in names)
+
+
+def test_sorted_rows_are_shuffled_with_what_their_sku_has_alike_in_front(spark):
+    rows = REPORTS["q4_enriched_campaign_sorted"](spark, SF)
+    columns = [x for x, by in exchanges(spark, rows) if "rangepartitioning" in by]
+    assert len(columns) == 1
+    shown = columns_of(columns[0])
+    assert shown[:6] == ["SKU", "Product Type 3", "SPU", "old_or_new", "Sale Price", "image"] and shown[-1] == "Campaign"
+    assert rows.columns == REPORTS["q4_enriched_campaign"](spark, SF).columns

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from data import DAY, ads, records, sensor
+from harness import mapping
 from spendscope import names as n
 from spendscope.operators import rollup
 from spendscope.sources import keys, tables as t
@@ -89,3 +90,21 @@ def test_small_aggregates(spark):
     assert records(rollup.grand_total(facts.where("false"), ["cost"])) == [(0.0,)]
     assert rollup.to_front(facts, "cost").columns[0] == "cost"
     assert "费用" in rollup.relabel(facts, n.REPORT_LABELS).columns
+
+
+def test_noted_lines_give_line_numbers_and_flags_back(spark):
+    lines = [(number, flag, status, supplier) for number in (None, -3, 0, 1, 6, 7, 2**31 - 1) for flag in (None, "R", "A", "N")
+             for status in (None, "F", "O") for supplier in (None, 17, 18)]
+    given = spark.createDataFrame(lines, "l_linenumber int, l_returnflag string, l_linestatus string, l_suppkey bigint")
+    got = given.withColumn("noted", mapping._noted()).select(
+        mapping._line_number().alias("number"), *[mapping._marked(m).alias(m) for m in mapping._marks()],
+        mapping._merchant().alias("merchant"), mapping._currency().alias("currency")).collect()
+    for (number, flag, status, supplier), row in zip(lines, got, strict=True):
+        assert tuple(row) == (number, flag == "R", flag == "A", status == "F", status == "O", supplier == 18, number is not None,
+                              n.SUFFIXED_MERCHANT if status == "F" else n.MAIN_MERCHANT, "HKD" if flag == "A" else "USD")
+
+
+def test_columns_go_to_either_end(spark):
+    rows = spark.createDataFrame([(1, 2, 3, 4)], "a int, `b c` int, d int, e int")
+    assert rollup.to_ends(rows, ["d", "none"], ["a"]).columns == ["d", "b c", "e", "a"]
+    assert records(rollup.to_ends(rows, ["d"], ["a"])) == [(3, 2, 4, 1)]
